@@ -77,7 +77,7 @@ class Powers:
 
     def upto(self, n: int) -> np.ndarray:
         while len(self.known) < n:
-            step = self.known[-1] * self.base
+            step = self.known[-1:] * self.base  # an array, so that it wraps without a warning
             self.known = np.concatenate([self.known, self.known * step])
         return self.known[:n]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, langid, licenses, toxicity, warc
+from sluice.llm import chat, langid, licenses, pieces, toxicity, warc
 from sluice.llm.common import drop_path, new_path, table
 
 #: Rows that op9 formats beside the table: both turns hold control strings.
@@ -46,6 +46,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, normal).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sampled pieces, with whether decoding gave each text back."""
+    return pieces.encoded(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "lossless")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted and read back, with one that holds control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_licenses": op4_licenses,
     "op6_warc": op6_warc,
+    "op8_pieces": op8_pieces,
     "op9_chat": op9_chat,
 }
 ORACLES = {
