@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, langid, licenses, pieces, toxicity, warc
+from sluice.llm import chat, langid, licenses, ngram_join, pieces, toxicity, warc
 from sluice.llm.common import drop_path, new_path, table
 
 #: Rows that op9 formats beside the table: both turns hold control strings.
@@ -58,6 +58,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share most of their four-word shingles, as components."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_toxicity": op2_toxicity,
@@ -65,8 +70,10 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op8_pieces": op8_pieces,
     "op9_chat": op9_chat,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES = {
+    "op10_ngram_join": ngram_join.oracle(4, 85, 100),
     "op4_licenses": licenses.oracle(),
     "op6_warc": warc.ORACLE,
     "op9_chat": chat.oracle(f"SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}'"),
