@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, langid, licenses, ngram_join, pieces, toxicity, warc
+from sluice.llm import chat, embeddings, langid, licenses, ngram_join, pieces, toxicity, warc
 from sluice.llm.common import drop_path, new_path, table
 
 #: Rows that op9 formats beside the table: both turns hold control strings.
@@ -32,6 +32,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of each label, as counts of links and components."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_toxicity": op2_toxicity,
+    "op3_embeddings": op3_embeddings,
     "op4_licenses": op4_licenses,
     "op6_warc": op6_warc,
     "op8_pieces": op8_pieces,
@@ -73,6 +79,7 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
 }
 ORACLES = {
+    "op3_embeddings": embeddings.ORACLE,
     "op10_ngram_join": ngram_join.oracle(4, 85, 100),
     "op4_licenses": licenses.oracle(),
     "op6_warc": warc.ORACLE,
