@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,3 +107,39 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = out * np.uint64(BASE) + words[k : k + n]
     return mix(out)
+
+
+#: Bits of a bitmap of keys: a fixed size, so that it can be sent to all tasks; the more keys, the more others pass it too.
+FILTER_BITS = 1 << 25
+
+
+def bitmap(keys: DataFrame, column: str) -> bytes:
+    """A bitmap in which the bit (key mod FILTER_BITS) of each key of a long column is set.
+
+    Tasks send the parts of the bitmap in which they set bits, which are joined part by part, so neither grows with the keys.
+    """
+    part_bits = 1 << 16
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            own[batch["bit"].to_numpy(np.int64)] = True
+        parts = np.packbits(own.reshape(-1, part_bits), axis=1)
+        used = np.flatnonzero(parts.any(1))
+        yield pd.DataFrame({"part": used, "bits": [parts[k].tobytes() for k in used]})
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": frame["part"][:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in frame["bits"]]).tobytes()]})
+
+    found = keys.select(F.pmod(F.col(column), F.lit(FILTER_BITS)).alias("bit")).mapInPandas(bits, "part long, bits binary").groupBy("part").applyInPandas(join, "part long, bits binary")
+    out = np.zeros((FILTER_BITS // part_bits, part_bits // 8), np.uint8)
+    for row in found.collect():  # at most FILTER_BITS / 8 bytes
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.tobytes()
+
+
+def in_bitmap(held: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which keys of a 64-bit array may be among those of the bitmap."""
+    bit = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    bits = np.frombuffer(held, np.uint8)
+    return (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & 1 == 1

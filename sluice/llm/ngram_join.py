@@ -41,13 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import BASE, drop_path, mix, span_hashes, window_hashes, written
+from sluice.llm.common import BASE, bitmap, drop_path, in_bitmap, mix, span_hashes, window_hashes, written
 from sluice.llm.components import connected
 
 #: Signatures met in one block, fragments of the verification, members up to which a signature's pairs are listed at once.
 BLOCK_SIGNATURES, FRAGMENTS, FEW = 3_000_000, 4, 8
-#: Bits of the filter of ids whose sets are fetched: a fixed size, so that it can be sent to all tasks.
-FILTER_BITS = 1 << 25
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -190,38 +188,13 @@ def met(packed: DataFrame) -> DataFrame:
     return packed.groupBy("block").applyInPandas(run, "a long, b long, crowd array<long>")
 
 
-def id_filter(ids: DataFrame) -> bytes:
-    """A bitmap of FILTER_BITS bits in which the bit of each id is set; tasks send their own set parts, which are joined by part."""
-    part_bits = 1 << 16
-
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            own[batch["bit"].to_numpy(np.int64)] = True
-        parts = np.packbits(own.reshape(-1, part_bits), axis=1)
-        used = np.flatnonzero(parts.any(1))
-        yield pd.DataFrame({"part": used, "bits": [parts[k].tobytes() for k in used]})
-
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": frame["part"][:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in frame["bits"]]).tobytes()]})
-
-    found = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")).mapInPandas(bits, "part long, bits binary").groupBy("part").applyInPandas(join, "part long, bits binary")
-    out = np.zeros((FILTER_BITS // part_bits, part_bits // 8), np.uint8)
-    for row in found.collect():  # at most FILTER_BITS / 8 bytes
-        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.tobytes()
-
-
 def fetched(docs: DataFrame, id_col: str, text_col: str, width: int, ids: DataFrame) -> DataFrame:
     """(doc_id, fragment, size, tokens) of the documents with the given ids: the set in fragments of the global order."""
-    held = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("key")), "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.uint8)
         for batch in batches:
-            bit = np.asarray(batch.column(2))
-            wanted = pa.array((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1)
-            batch = batch.filter(wanted)
+            batch = batch.filter(pa.array(in_bitmap(held.value, np.asarray(batch.column(2)))))
             keys, cuts, sizes, fragments, tokens = [], [0], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingles(text, width)
@@ -237,7 +210,7 @@ def fetched(docs: DataFrame, id_col: str, text_col: str, width: int, ids: DataFr
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)], names=["doc_id", "fragment", "size", "tokens"])
 
     key = F.col(id_col).cast("long")
-    source = docs.filter(key.isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("bit"))
+    source = docs.filter(key.isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"), F.xxhash64(key).alias("key"))
     found = source.mapInArrow(run, "doc_id long, fragment int, size long, tokens array<long>")
     return found.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "fragment"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, embeddings, langid, licenses, ngram_join, pieces, toxicity, warc
+from sluice.llm import chat, decontaminate, embeddings, langid, licenses, ngram_join, pieces, quality, toxicity, warc
 from sluice.llm.common import drop_path, new_path, table
 
 #: Rows that op9 formats beside the table: both turns hold control strings.
@@ -42,6 +42,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, as they are or with other numbers, names and units."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives, normalised and read back."""
     mono, normal = new_path(spark, "warc-mono"), new_path(spark, "warc")
@@ -51,6 +56,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, normal).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document: hosts are sources, paths the languages within them; learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), residue("doc_id", 5) != 0)
+    return quality.score(docs, model, F.col("source"), F.col("lang"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sampled pieces, with whether decoding gave each text back."""
     return pieces.encoded(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "lossless")
@@ -73,7 +85,9 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_embeddings": op3_embeddings,
     "op4_licenses": op4_licenses,
+    "op5_decontaminate": op5_decontaminate,
     "op6_warc": op6_warc,
+    "op7_quality": op7_quality,
     "op8_pieces": op8_pieces,
     "op9_chat": op9_chat,
     "op10_ngram_join": op10_ngram_join,
