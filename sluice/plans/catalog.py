@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sluice.plans import queries_registry, queries_round
+
+QUERIES: dict = queries_registry.QUERIES | queries_round.QUERIES
+ORACLES: dict[str, str] = queries_registry.ORACLES | queries_round.ORACLES
