@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.plans import queries_registry, queries_round
+from sluice.plans import queries_dispatch, queries_registry, queries_round
 
-QUERIES: dict = queries_registry.QUERIES | queries_round.QUERIES
-ORACLES: dict[str, str] = queries_registry.ORACLES | queries_round.ORACLES
+QUERIES: dict = queries_registry.QUERIES | queries_round.QUERIES | queries_dispatch.QUERIES
+ORACLES: dict[str, str] = queries_registry.ORACLES | queries_round.ORACLES | queries_dispatch.ORACLES
