@@ -125,25 +125,25 @@ def _bound(flows: DataFrame, resources: DataFrame, priorities: DataFrame, qos: D
     )
 
 
+def binding_arms() -> list[tuple[Column, str]]:
+    """What may be wrong with a flow's bindings, in order."""
+    bound = c("reservation_id").isNotNull()
+    return [
+        (c("_resource").isNull(), "unknown-resource"),
+        (c("_resource") != c("resource_generation"), "stale-resource-generation"),
+        (c("_priority").isNull(), "unknown-policy"),
+        (c("_priority") != c("priority_generation"), "stale-priority-generation"),
+        (c("_qos").isNull(), "unknown-policy"),
+        (c("_qos") != c("qos_generation"), "stale-qos-generation"),
+        (bound & c("_reservation").isNull(), "unknown-reservation"),
+        (bound & (c("_reservation") != c("reservation_generation")), "stale-reservation-generation"),
+        (bound & (c("_on") != c("resource_id")), "invalid-argument"),
+    ]
+
+
 def admission_status() -> Column:
     """The code of an admission, over flows joined with what they bind; _valid and _again say whether the descriptor is well formed and its id taken."""
-    bound = c("reservation_id").isNotNull()
-    return first_match(
-        [
-            (c("_valid") != "ok", c("_valid")),
-            (c("_again"), "already-exists"),
-            (c("_resource").isNull(), "unknown-resource"),
-            (c("_resource") != c("resource_generation"), "stale-resource-generation"),
-            (c("_priority").isNull(), "unknown-policy"),
-            (c("_priority") != c("priority_generation"), "stale-priority-generation"),
-            (c("_qos").isNull(), "unknown-policy"),
-            (c("_qos") != c("qos_generation"), "stale-qos-generation"),
-            (bound & c("_reservation").isNull(), "unknown-reservation"),
-            (bound & (c("_reservation") != c("reservation_generation")), "stale-reservation-generation"),
-            (bound & (c("_on") != c("resource_id")), "invalid-argument"),
-        ],
-        "ok",
-    )
+    return first_match([(c("_valid") != "ok", c("_valid")), (c("_again"), "already-exists"), *binding_arms()], "ok")
 
 
 def admit_flows(offered: DataFrame, resources: DataFrame, priorities: DataFrame, qos: DataFrame, reservations: DataFrame, order: str | None = None) -> DataFrame:
@@ -157,14 +157,13 @@ def admit_flows(offered: DataFrame, resources: DataFrame, priorities: DataFrame,
     return _bound(rows, resources, priorities, qos, reservations).withColumn("status", admission_status()).select(*offered.columns, "status")
 
 
-def update_flows(state: DataFrame, offered: DataFrame, resources: DataFrame) -> DataFrame:
-    """(flow_id, generation, status, releases_window) of updates offered: one generation on, bindings known, and no change of work or dependencies once served.
+def update_flows(state: DataFrame, offered: DataFrame, resources: DataFrame, priorities: DataFrame, qos: DataFrame, reservations: DataFrame) -> DataFrame:
+    """(flow_id, generation, status, releases_window) of updates offered: one generation on, all bindings known, and no change of work or dependencies once served.
 
     state: flows joined with their state.  releases_window says that the flow holds a scheduled window under its old generation.
     """
     old = state.select("flow_id", c("generation").alias("_generation"), c("dependencies").alias("_deps"), c("estimated_work").alias("_work"), "lifecycle", "served_work")
-    known = resources.select("resource_id", c("generation").alias("_resource"))
-    rows = offered.withColumn("_valid", validate_flow()).join(old, "flow_id", "left").join(known, "resource_id", "left")
+    rows = _bound(offered.withColumn("_valid", validate_flow()).join(old, "flow_id", "left"), resources, priorities, qos, reservations)
     frozen = ((F.size("_deps") > 0) | (F.size("dependencies") > 0) | (c("_work") != c("estimated_work"))) & (c("lifecycle") != "waiting") & (c("served_work") > 0)
     status = first_match(
         [
@@ -172,8 +171,7 @@ def update_flows(state: DataFrame, offered: DataFrame, resources: DataFrame) ->
             (c("_generation").isNull(), "unknown-flow"),
             (c("generation") != c("_generation") + 1, "invalid-argument"),
             (frozen, "invalid-state"),
-            (c("_resource").isNull(), "unknown-resource"),
-            (c("_resource") != c("resource_generation"), "stale-resource-generation"),
+            *binding_arms(),
         ],
         "ok",
     )

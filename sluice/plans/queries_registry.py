@@ -85,13 +85,14 @@ def admit_flow(t):
 
 
 @query("update_flow", f""", o AS (SELECT f.*, s.lifecycle, s.served_work, CASE WHEN flow_id % 6 = 0 THEN 3 ELSE 2 END AS offered, {VALID} AS v FROM flows f LEFT JOIN flow_state s USING (flow_id))
-    SELECT flow_id, CAST(offered AS BIGINT) AS generation, CASE WHEN v <> 'ok' THEN v WHEN offered <> 2 THEN 'invalid-argument' WHEN (len(dependencies) > 0 OR flow_id % 4 = 0) AND lifecycle <> 'waiting' AND served_work > 0 THEN 'invalid-state' ELSE 'ok' END AS status,
-    coalesce(v = 'ok' AND offered = 2 AND NOT ((len(dependencies) > 0 OR flow_id % 4 = 0) AND lifecycle <> 'waiting' AND served_work > 0) AND lifecycle = 'scheduled', false) AS releases_window FROM o WHERE lifecycle IS NOT NULL""")
+    SELECT flow_id, CAST(offered AS BIGINT) AS generation, status, coalesce(status = 'ok' AND lifecycle = 'scheduled', false) AS releases_window FROM (SELECT o.*, CASE WHEN v <> 'ok' THEN v WHEN offered <> 2 THEN 'invalid-argument'
+    WHEN (len(dependencies) > 0 OR flow_id % 4 = 0) AND lifecycle <> 'waiting' AND served_work > 0 THEN 'invalid-state' WHEN o.reservation_id IS NOT NULL AND r.reservation_id IS NULL THEN 'unknown-reservation'
+    WHEN r.generation <> o.reservation_generation THEN 'stale-reservation-generation' ELSE 'ok' END AS status FROM o LEFT JOIN (SELECT reservation_id, generation FROM reservations WHERE NOT retired) r USING (reservation_id)) WHERE lifecycle IS NOT NULL""")
 def update_flow(t):
     known = t.flow_state.select("flow_id")
     offered = t.flows.join(known, "flow_id", "left_semi").withColumn("generation", F.when(c("flow_id") % 6 == 0, F.lit(3)).otherwise(F.lit(2)).cast("long")).withColumn("estimated_work", F.when(c("flow_id") % 4 == 0, c("estimated_work") + 1).otherwise(c("estimated_work")))
     offered = offered.withColumn("min_service", F.when((c("flow_id") % 4 == 0) & (c("min_service") == c("estimated_work")), c("min_service") + 1).otherwise(c("min_service")))
-    return registry.update_flows(t.state, offered, t.resources)
+    return registry.update_flows(t.state, offered, t.resources, t.priority_classes, t.qos_classes, t.reservations)
 
 
 @query("descriptor_digest")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.scalars import div
 from sluice.operators import arbitrate, assign, lifecycle, ranking, readiness
+from sluice.plans import rounds
 from sluice.plans.world import world_of
 from sluice.policy import Policy
 from sluice.sources.derived import DUCK, NOW, tables
@@ -243,3 +244,14 @@ def release_schedule(t):
 def retention(t):
     schedules = t.entries.groupBy(c("schedule_id").alias("position")).agg(F.bool_or((c("consumed") == 1) & (c("schedule_id") % 3 == 0)).alias("open"))
     return lifecycle.retained(schedules, 16)
+
+
+@query("population")
+def population(t):
+    return rounds.population(t.spark, 500)
+
+
+@query("round_simulation")
+def round_simulation(t):
+    limits = t.resources.filter(c("resource_id") == 1).withColumn("capacity", F.lit(64).cast("long")).withColumn("interval_ticks", F.lit(1000).cast("long"))
+    return rounds.simulate(rounds.population(t.spark, 250), limits, t.priority_classes, Policy(starvation_bound_ticks=16_000, deadline_urgency_ticks=2_000, preemption="none"))
