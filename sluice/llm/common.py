@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,9 +15,21 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, read by Spark so that any store works."""
+    light_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows handed to a Python worker at once, and Spark's own setting that this replaces.
+BATCH_BYTES, DEFAULT_BYTES = 8 << 20, 64 << 20
+
+
+def light_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in small batches, unless the session says otherwise: both sides hold several batches a task, outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, str(DEFAULT_BYTES)).rstrip("b") == str(DEFAULT_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     context = spark.sparkContext
@@ -52,6 +65,13 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on between stages, and what it keeps is the executor's loss."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: Odd multiplier of the polynomial hash, its inverse modulo 2**64, and the mixer's constants.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)

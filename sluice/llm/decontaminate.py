@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import BASE, bitmap, in_bitmap, mix, span_hashes, window_hashes
+from sluice.llm.common import BASE, bitmap, give_back, in_bitmap, light_batches, mix, span_hashes, window_hashes
 
 WINDOW, MIN_TOKENS, MIN_LITERALS, MIN_COVERAGE = 8, 4, 0.5, 0.3
 # Words that are units.
@@ -147,12 +147,14 @@ def document_windows(docs: DataFrame, widths: list[int], held: bytes) -> DataFra
                     if len(at):
                         found.append((k, keys[at], at, width, value, kind))
             yield _batch(ids, found)
+            give_back()
 
     return docs.mapInArrow(run, SCHEMA)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """A row per contaminated document and item: doc_id, item_id, windows, coverage (share of the item's windows found), verbatim."""
+    light_batches(docs.sparkSession)
     bench = item_windows(items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")), window)
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # at most as many as a window has tokens
     held = bitmap(bench, "key")

@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.llm.common import give_back, light_batches
+
 #: Bounds of the training sample: documents a language, bytes of such a document, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICT_BYTES = 120, 20_000, 96 << 10
 CHUNK_BYTES = 4096
@@ -93,6 +95,7 @@ def classify(text: str | None, langs: list[str], by_lang: list[zstandard.ZstdCom
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """docs with lang_pred, score and rejected."""
+    light_batches(docs.sparkSession)
     langs, held = list(dictionaries), docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -100,6 +103,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
         for batch in batches:
             found = [classify(t, langs, by_lang) for t in batch]
             yield pd.DataFrame({"lang": [x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[0] == UNKNOWN or x[2] < min_margin for x in found]})
+            give_back()
 
     told = F.pandas_udf(run, "lang string, score double, rejected boolean", F.PandasUDFType.SCALAR_ITER)
     names = [F.col(c) for c in docs.columns if c not in ("lang_pred", "score", "rejected")]

@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import BASE, INVERSES, POWERS, mix
+from sluice.llm.common import BASE, INVERSES, POWERS, give_back, light_batches, mix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL_MARK = "▁", "\ud800"  # a text that holds the mark itself has a lone surrogate, which no text can hold, in its place
 PARTS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Characters whose lattices are built together: what bounds a task's memory beside one text.
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 1 << 19
 #: Probabilities are whole multiples of 1 / DRAW.
 DRAW = 1 << 39
 
@@ -227,6 +227,7 @@ class Sampler:
 
 def encode(docs: DataFrame, vocabulary: dict, key: str = "doc_id", text: str = "text", sharpness: float = 1.0, seed: int = 0) -> DataFrame:
     """docs with ids (array of int), n_tokens and lossless (decoding the ids gave the text back)."""
+    light_batches(docs.sparkSession)
     added = ("ids", "n_tokens", "lossless")
     kept = [c for c in docs.columns if c not in added]
     source, held = docs.select(*kept), docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -251,6 +252,7 @@ def encode(docs: DataFrame, vocabulary: dict, key: str = "doc_id", text: str = "
                 same = [t is None or sampler.decode(flat[a:b]) == t for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 nulls = pa.array(np.append([t is None for t in texts], False)) if None in texts else None
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=None if nulls is None else np.asarray(nulls)), pa.array(ids, pa.int32()))
+                give_back()
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes, pa.int64()), pa.array(same)], names=[*batch.schema.names, *added])
 
     return source.mapInArrow(run, schema)

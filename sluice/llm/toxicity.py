@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.llm.common import give_back, light_batches
+
 #: Bounds of the training sample: texts of each class, bytes of such a text.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES = 2500, 12_000
 SIZES, BUCKET_BITS, DIM, SPAN_WORDS = (3, 4, 5, 6), 18, 8, 2
@@ -216,11 +218,13 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with score and predicted."""
+    light_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([score(t, held.value) for t in batch], dtype=float)
+            give_back()
 
     told = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
     names = [F.col(c) for c in docs.columns if c not in ("score", "predicted")]
