@@ -10,15 +10,19 @@ that similar ones lie in one class or neighbouring ones, each class has its own
 number of fragments, and every document emits one signature a fragment: a hash
 of all its n-grams there.  Signatures are met in blocks.  As a fragment holds
 n-grams from all over a text, documents that merely share a passage do not
-meet.  Small sets, whose fragments could be empty in both, are cut several
-times by different orders (a pair is missed with a probability under 1e-9), and
-the smallest meet by the classic prefix of rare positions.
-
-Verification.  Candidates' sets are cut into a few fragments; the overlap in
-each is counted separately and the counts are summed per pair; the sum decides
-exactly.  Only links that can still join components are counted: first each
-document against its least partner, then all candidates between components,
-those of crowded signatures included.
+meet.  Fragments that hold next to nothing are left out, and small sets are cut
+several times by different orders, which leaves a pair at the threshold a chance
+under 1e-6 to be missed.  The smallest meet by subsets of the prefix: of the
+first n-grams in the global order, as many as may differ and PREFIX more, two
+similar sets share PREFIX, so they share one of the subsets of that size.
+
+Verification.  Documents that meet, directly or through others, form a cell.
+The sets of a cell are cut into tiles and each tile into a few fragments of the
+global order; for two tiles the overlaps in each fragment are counted
+separately, for all pairs at once, and the counts are summed per pair; the sum
+decides exactly.  First every tile is compared with itself; then, in cells of
+several tiles, those tiles that still hold documents of different components.
+Tiles give back spanning forests, so a large group costs no rows.
 
 Equal sets are one class from the start, and are met once in each block, so
 that a hot group of copies costs as much as one document.
@@ -34,18 +38,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import BASE, bitmap, drop_path, in_bitmap, mix, span_hashes, window_hashes, written
-from sluice.llm.components import connected
+from sluice.llm.common import BASE, bitmap, drop_path, give_back, in_bitmap, light_batches, mix, span_hashes, window_hashes, written
+from sluice.llm.components import connected, forest
 
-#: Signatures met in one block, fragments of the verification, members up to which a signature's pairs are listed at once.
-BLOCK_SIGNATURES, FRAGMENTS, FEW = 3_000_000, 4, 8
+#: Signatures met in one block, fragments of the verification, documents and n-grams of a tile.
+BLOCK_SIGNATURES, FRAGMENTS, TILE_DOCS, TILE_TOKENS = 1_500_000, 4, 256, 500_000
+#: Documents parsed at once, for the sake of memory.
+SLICE = 1024
+#: N-grams in at least so many documents of two tiles are counted by a matrix product, others pair by pair.
+COMMON, PAIRS_AT_ONCE = 16, 1_000_000
+PREFIX = 6
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -82,7 +93,12 @@ class Classes:
 
 
 def signatures(tokens: np.ndarray, classes: Classes) -> np.ndarray:
-    """Hashes of the fragments by which a document meets others: of its own size class and the next."""
+    """Hashes of the fragments by which a document meets others: of its own size class and the next.
+
+    Fragments of fewer than three n-grams (four, where there are many fragments) are left out: by them documents would
+    meet that share a line.  Two similar sets have more than a third of their fragments in common at the very threshold,
+    so another one stands for each left out.
+    """
     size, out = len(tokens), []
     own = classes.of(size)
     mixed = mix(tokens + np.uint64(BASE))
@@ -92,17 +108,30 @@ def signatures(tokens: np.ndarray, classes: Classes) -> np.ndarray:
         if count == 1:
             continue  # only equal sets can be similar, and they are one class already
         if count < 4:
-            out.append(mix(tokens[: size - -(-classes.num * size // classes.den) + 1] ^ salt))
+            need = -(-classes.num * size // classes.den)
+            width = min(PREFIX, need)
+            subsets = np.array(list(combinations(range(size - need + width), width)))
+            out.append(mix(mixed[subsets].sum(axis=1, dtype=np.uint64) + salt))
             continue
+        least = 4 if count >= 60 else 3
         for turn in range(4 if count < 8 else 3 if count < 24 else 1):
             order = tokens if not turn else np.sort(mix(tokens + np.uint64(turn)))
             values = mixed if not turn else mix(order + np.uint64(BASE))
             fragment = ((order >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
-            out.append(mix(np.add.reduceat(values, first) + (fragment[first] << np.uint64(3)) * np.uint64(BASE) + salt + np.uint64(turn)))
+            full = np.diff(np.append(first, size)) >= least
+            sums = np.add.reduceat(values, first)[full]
+            out.append(mix(sums + (fragment[first[full]] << np.uint64(3)) * np.uint64(BASE) + salt + np.uint64(turn)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            yield batch.slice(k, SLICE)
+        give_back()
+
+
 def parsed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, blocks: int) -> DataFrame:
     """Rows of two kinds: (doc_id, n_shingles, digest) for each document, and (block, packed) with the signatures of many documents."""
 
@@ -122,7 +151,7 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(num, den)
-        for batch in batches:
+        for batch in _slices(batches):
             ids, rows, seen, found = batch.column(0).to_pylist(), [], set(), []
             for key, text in zip(ids, batch.column(1).to_pylist(), strict=True):
                 tokens = shingles(text, width)
@@ -149,9 +178,12 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
 
 
 def met(packed: DataFrame) -> DataFrame:
-    """Rows of two kinds: (a, b), a below b, of documents that share a signature; and crowd, all documents of a signature shared by more than a few, whose pairs with the least document alone are listed."""
+    """Links (a, b) with the same components as all pairs of documents that share a signature.
+
+    Each block gives one row with its forest, and each task that reads such rows a forest of them.
+    """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
         docs, marks = [], []
         for raw in frame["packed"]:
             n = int(np.frombuffer(raw, np.int64, 1)[0])
@@ -163,71 +195,134 @@ def met(packed: DataFrame) -> DataFrame:
         order = np.argsort(mark, kind="stable")
         doc, mark = doc[order], mark[order]
         same = mark[1:] == mark[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        doc, mark = doc[keep], mark[keep]
-        empty = pd.DataFrame({"a": pd.array([], "Int64"), "b": pd.array([], "Int64"), "crowd": pd.Series([], dtype=object)})
-        if not len(doc):
-            return empty
-        order = np.lexsort((doc, mark))
-        doc, mark = doc[order], mark[order]
-        fresh = np.concatenate([[True], (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])])
-        doc, mark = doc[fresh], mark[fresh]
-        first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
-        size = np.diff(np.append(first, len(doc)))
-        least, sizes = np.repeat(doc[first], size), np.repeat(size, size)
-        pairs = [np.stack([least, doc], 1)]
-        for gap in range(1, FEW):
-            near = (mark[gap:] == mark[:-gap]) & (sizes[gap:] <= FEW)
-            pairs.append(np.stack([doc[:-gap][near], doc[gap:][near]], 1))
-        pairs = np.concatenate(pairs)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        crowds = list({doc[k : k + n].tobytes() for k, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist(), strict=True)})
-        blank = [None] * len(crowds)
-        return pd.DataFrame({"a": pd.array([*pairs[:, 0].tolist(), *blank], "Int64"), "b": pd.array([*pairs[:, 1].tolist(), *blank], "Int64"), "crowd": [*[None] * len(pairs), *[np.frombuffer(c, np.int64).tolist() for c in crowds]]})
-
-    return packed.groupBy("block").applyInPandas(run, "a long, b long, crowd array<long>")
+        a, b = forest(doc[:-1][same], doc[1:][same])
+        del doc, mark, order, same
+        give_back()
+        return pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_a, held_b = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                held_a, held_b = forest(np.concatenate([held_a, np.frombuffer(a, np.int64)]), np.concatenate([held_b, np.frombuffer(b, np.int64)]))
+        yield pd.DataFrame({"a": held_a, "b": held_b})
+
+    return packed.groupBy("block").applyInPandas(meet, "a binary, b binary").mapInPandas(merge, "a long, b long")
 
 
 def fetched(docs: DataFrame, id_col: str, text_col: str, width: int, ids: DataFrame) -> DataFrame:
-    """(doc_id, fragment, size, tokens) of the documents with the given ids: the set in fragments of the global order."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("key")), "key"))
+    """(doc_id, cell, size, tokens) of the documents that ids (doc_id, cell) names: their sets, in the global order, as bytes."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("key")), "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             batch = batch.filter(pa.array(in_bitmap(held.value, np.asarray(batch.column(2)))))
-            keys, cuts, sizes, fragments, tokens = [], [0], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = shingles(text, width)
-                edges = np.searchsorted(own >> np.uint64(62), np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                for k in range(FRAGMENTS):
-                    if edges[k + 1] > edges[k]:
-                        keys.append(key)
-                        fragments.append(k)
-                        sizes.append(len(own))
-                        tokens.append(own[edges[k] : edges[k + 1]].view(np.int64))
-                        cuts.append(cuts[-1] + len(tokens[-1]))
-            values = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)], names=["doc_id", "fragment", "size", "tokens"])
+            own = [shingles(text, width) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc_id", "size", "tokens"])
 
     key = F.col(id_col).cast("long")
     source = docs.filter(key.isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"), F.xxhash64(key).alias("key"))
-    found = source.mapInArrow(run, "doc_id long, fragment int, size long, tokens array<long>")
-    return found.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "fragment"])
+    return source.mapInArrow(run, "doc_id long, size long, tokens binary").join(ids, "doc_id").dropDuplicates(["doc_id"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps counted in each fragment, summed per pair."""
-    left = sets.select(F.col("doc_id").alias("a"), "fragment", F.col("size").alias("size_a"), F.col("tokens").alias("tokens_a"))
-    right = sets.select(F.col("doc_id").alias("b"), "fragment", F.col("size").alias("size_b"), F.col("tokens").alias("tokens_b"))
-    counted = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
-    counted = counted.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("part"))
-    summed = counted.groupBy("a", "b").agg(F.sum("part").alias("both"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-    return summed.filter(den * F.col("both") >= num * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b")
+TILE = "tile string, cells binary, parts binary, ids binary, sizes binary, tokens binary, first long, last long, part long"
+
+
+def tiles(sets: DataFrame) -> DataFrame:
+    """Sets (doc_id, cell, component, size, tokens) packed into tiles, in the order of cell, component and id.
+
+    first and last are the cells at the tile's ends, which may go on in others; part is the component if all of the tile is of one.
+    """
+
+    def tile(part: int, number: int, rows: list[tuple]) -> tuple:
+        cells, comps = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        one = int(comps[0]) if (comps == comps[0]).all() else None
+        return f"{part}-{number}", cells.tobytes(), comps.tobytes(), np.array([r[2] for r in rows], np.int64).tobytes(), np.array([r[3] for r in rows], np.int64).tobytes(), b"".join(r[4] for r in rows), int(cells[0]), int(cells[-1]), one
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, number, rows, size, out = TaskContext.get().partitionId(), 0, [], 0, []
+        names = [x.split()[0] for x in TILE.split(", ")]
+        for batch in batches:
+            for row in batch[["cell", "component", "doc_id", "size", "tokens"]].itertuples(index=False):
+                if rows and (len(rows) >= TILE_DOCS or size + row[3] > TILE_TOKENS):
+                    out.append(tile(part, number, rows))
+                    number, rows, size = number + 1, [], 0
+                rows.append(row)
+                size += row[3]
+            if out:
+                yield pd.DataFrame(out, columns=names).astype({"part": "Int64"})
+                out = []
+        if rows:
+            yield pd.DataFrame([tile(part, number, rows)], columns=names).astype({"part": "Int64"})
+
+    return sets.repartitionByRange("cell", "component", "doc_id").sortWithinPartitions("cell", "component", "doc_id").mapInPandas(run, TILE)
+
+
+def overlaps(x: np.ndarray, at_x: np.ndarray, n_x: int, y: np.ndarray, at_y: np.ndarray, n_y: int) -> np.ndarray:
+    """How many n-grams each document of one tile shares with each of another, of one fragment; x and y are n-grams, at_x and at_y whose they are."""
+    out = np.zeros((n_x, n_y), np.float32)
+    known, code = np.unique(np.concatenate([x, y]), return_inverse=True)
+    code_x, code_y = code[: len(x)], code[len(x) :]
+    times_x, times_y = np.bincount(code_x, minlength=len(known)), np.bincount(code_y, minlength=len(known))
+    common = (times_x > 0) & (times_y > 0) & (times_x + times_y >= COMMON)
+    places = np.flatnonzero(common)
+    column = np.full(len(known), -1)
+    column[places] = np.arange(len(places))
+    for k in range(0, len(places), 4096):
+        width = min(4096, len(places) - k)
+        left, right = np.zeros((n_x, width), np.float32), np.zeros((n_y, width), np.float32)
+        for side, at, own in ((left, at_x, column[code_x]), (right, at_y, column[code_y])):
+            on = (own >= k) & (own < k + width)
+            side[at[on], own[on] - k] = 1
+        out += left @ right.T
+    rare = (times_x > 0) & (times_y > 0) & ~common
+    on_x, on_y = np.flatnonzero(rare[code_x]), np.flatnonzero(rare[code_y])
+    if len(on_x):
+        on_y = on_y[np.argsort(code_y[on_y], kind="stable")]
+        begin = np.searchsorted(code_y[on_y], code_x[on_x])
+        many = times_y[code_x[on_x]]
+        upto = np.cumsum(many)
+        cuts = np.searchsorted(upto, np.arange(PAIRS_AT_ONCE, upto[-1] + PAIRS_AT_ONCE, PAIRS_AT_ONCE))
+        for lo, hi in zip(np.concatenate([[0], cuts[:-1] + 1]).tolist(), (cuts + 1).tolist(), strict=True):
+            part = many[lo:hi]
+            rows = np.repeat(at_x[on_x[lo:hi]], part)
+            step = np.arange(len(rows)) - np.repeat(np.cumsum(part) - part, part)
+            cols = at_y[on_y[np.repeat(begin[lo:hi], part) + step]]
+            out += np.bincount(rows * n_y + cols, minlength=n_x * n_y).reshape(n_x, n_y)
+    return out
+
+
+def compared(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b): for each pair of tiles (columns with _x and _y) a forest of what links between documents of one cell but different components."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        longs = lambda raw: np.frombuffer(raw, np.int64)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                sizes_x, sizes_y = longs(r.sizes_x), longs(r.sizes_y)
+                tokens_x, tokens_y = np.frombuffer(r.tokens_x, np.uint64), np.frombuffer(r.tokens_y, np.uint64)
+                at_x, at_y = np.repeat(np.arange(len(sizes_x)), sizes_x), np.repeat(np.arange(len(sizes_y)), sizes_y)
+                both = np.zeros((len(sizes_x), len(sizes_y)))
+                part_x, part_y = tokens_x >> np.uint64(62), tokens_y >> np.uint64(62)
+                for k in range(FRAGMENTS):
+                    on_x, on_y = part_x == k, part_y == k
+                    both += overlaps(tokens_x[on_x], at_x[on_x], len(sizes_x), tokens_y[on_y], at_y[on_y], len(sizes_y))
+                both = np.rint(both).astype(np.int64)
+                linked = den * both >= num * (sizes_x[:, None] + sizes_y - both)
+                linked &= (longs(r.cells_x)[:, None] == longs(r.cells_y)) & (longs(r.parts_x)[:, None] != longs(r.parts_y))
+                rows, cols = np.nonzero(linked)
+                if len(rows):
+                    a, b = forest(longs(r.ids_x)[rows], longs(r.ids_y)[cols])
+                    yield pd.DataFrame({"a": a, "b": b})
+            give_back()
+
+    return pairs.mapInPandas(run, "a long, b long")
 
 
 def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id; two documents link if den * intersection >= num * union."""
     spark = docs.sparkSession
+    light_batches(spark)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     signs = total / 6 * 4.5 * (den - num) / (den + num)  # a word has six bytes; each n-gram makes so many signatures
     blocks = max(int(signs // BLOCK_SIGNATURES) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -237,33 +332,32 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
     member = rows.filter(F.col("doc_id").isNotNull()).join(copies, "digest").filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("id"), "rep").distinct()
     member, member_path = written(member, "copies")
 
-    found, found_path = written(met(table.filter(F.col("packed").isNotNull()).select("block", "packed")), "met")
-    named = lambda frame, column: frame.join(member.select(F.col("id").alias(column), F.col("rep").alias("_rep")), column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
-    pairs = named(named(found.filter(F.col("a").isNotNull()).select("a", "b"), "a"), "b").filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs, pairs_path = written(pairs, "pairs")
-    crowds = found.filter(F.col("crowd").isNotNull()).select(F.xxhash64("crowd").alias("crowd"), F.explode("crowd").alias("id"))
-    crowds, crowds_path = written(named(crowds, "id").distinct(), "crowds")
-    drop_path(spark, found_path)
-    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets, sets_path = written(fetched(docs, id_col, text_col, width, involved), "sets")
-
-    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links, links_path = written(verified(first, sets, num, den), "linked")
+    copied = member.select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    cells, cells_path = connected(met(table.filter(F.col("packed").isNotNull()).select("block", "packed")).unionByName(copied))
+    placed = cells.select(F.col("id").alias("doc_id"), F.col("component").alias("cell")).unionByName(cells.select(F.col("component").alias("doc_id"), F.col("component").alias("cell")).distinct())
+    placed = placed.join(member.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    several = placed.groupBy("cell").agg(F.count("doc_id").alias("_n")).filter(F.col("_n") > 1).select("cell")
+    sets, sets_path = written(fetched(docs, id_col, text_col, width, placed.join(several, "cell").select("doc_id", "cell")), "sets")
+
+    side = lambda frame, end: frame.select([F.col(c).alias(f"{c}_{end}") for c in ("tile", "cells", "parts", "ids", "sizes", "tokens")])
+    cut, cut_path = written(tiles(sets.withColumn("component", F.col("doc_id"))), "tiles")
+    own = cut.select([F.col(c).alias(f"{c}_{end}") for end in "xy" for c in ("tile", "cells", "parts", "ids", "sizes", "tokens")])
+    links, links_path = written(compared(own, num, den), "linked")
     parts, parts_path = connected(links)
-    at = lambda frame, column, name: frame.join(parts.select(F.col("id").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-    apart = at(at(pairs, "a", "_x"), "b", "_y").filter(F.col("_x") != F.col("_y")).select("a", "b")
-    placed = at(crowds, "id", "_x")
-    split = placed.groupBy("crowd").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high")).filter(F.col("_low") != F.col("_high")).select("crowd")
-    placed = placed.join(split, "crowd")
-    other = placed.select("crowd", F.col("id").alias("b"), F.col("_x").alias("_y"))
-    across = placed.select("crowd", F.col("id").alias("a"), "_x").join(other, "crowd").filter((F.col("a") < F.col("b")) & (F.col("_x") != F.col("_y"))).select("a", "b")
-    more, more_path = written(verified(apart.unionByName(across).join(first, ["a", "b"], "left_anti").distinct(), sets, num, den), "linked")
-    parts, final_path = connected(links.unionByName(more).unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    ends = cut.select("tile", F.explode(F.array_distinct(F.array("first", "last"))).alias("cell"))
+    wide = ends.groupBy("cell").agg(F.count("tile").alias("_n")).filter(F.col("_n") > 1).select("cell")
+    left = sets.join(wide, "cell").join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    again, again_path = written(tiles(left), "tiles")
+    ends = again.select("tile", "part", F.explode(F.array_distinct(F.array("first", "last"))).alias("cell"))
+    apart = (F.col("tile_x") < F.col("tile_y")) & ~F.coalesce(F.col("part_x") == F.col("part_y"), F.lit(False))
+    near = ends.select(F.col("tile").alias("tile_x"), F.col("part").alias("part_x"), "cell").join(ends.select(F.col("tile").alias("tile_y"), F.col("part").alias("part_y"), "cell"), "cell").filter(apart | ((F.col("tile_x") == F.col("tile_y")) & F.col("part_x").isNull())).select("tile_x", "tile_y").distinct()
+    more, more_path = written(compared(near.join(side(again, "x"), "tile_x").join(side(again, "y"), "tile_y"), num, den), "linked")
+    parts, final_path = connected(links.unionByName(more))
 
     keyed = rows.join(member.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("_rep", F.coalesce("rep", "doc_id"))
     out = keyed.join(parts.withColumnRenamed("id", "_rep"), "_rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "_rep").alias("component_id"))
     out, _ = written(out, "similar")
-    drop_path(spark, table_path, member_path, pairs_path, crowds_path, sets_path, links_path, parts_path, more_path, final_path)
+    drop_path(spark, table_path, member_path, cells_path, sets_path, cut_path, again_path, links_path, parts_path, more_path, final_path)
     return out
 
 
