@@ -14,7 +14,9 @@ meet.  Fragments that hold next to nothing are left out, and small sets are cut
 several times by different orders, which leaves a pair at the threshold a chance
 under 1e-6 to be missed.  The smallest meet by subsets of the prefix: of the
 first n-grams in the global order, as many as may differ and PREFIX more, two
-similar sets share PREFIX, so they share one of the subsets of that size.
+similar sets share PREFIX, so they share one of the subsets of that size.  Where
+similar sets of a class may share fewer than PREFIX n-grams in all, the subsets
+have that many, for all documents that meet in the class.
 
 Verification.  Documents that meet, directly or through others, form a cell.
 The sets of a cell are cut into tiles and each tile into a few fragments of the
@@ -91,6 +93,10 @@ class Classes:
             self.lows.append(self.lows[-1] * self.den // self.num + 1)
         return 2 * (self.lows[k + 1] - 1) * (self.den - self.num) // (self.den + self.num) + 1
 
+    def overlap(self, k: int) -> int:
+        """The least number of n-grams that two similar sets share of which the larger is of class k."""
+        return -(-self.num * self.lows[k] // self.den)
+
 
 def signatures(tokens: np.ndarray, classes: Classes) -> np.ndarray:
     """Hashes of the fragments by which a document meets others: of its own size class and the next.
@@ -108,8 +114,10 @@ def signatures(tokens: np.ndarray, classes: Classes) -> np.ndarray:
         if count == 1:
             continue  # only equal sets can be similar, and they are one class already
         if count < 4:
-            need = -(-classes.num * size // classes.den)
-            width = min(PREFIX, need)
+            shared = classes.overlap(k)
+            if size < shared:
+                continue  # too small for any set of class k
+            need, width = max(-(-classes.num * size // classes.den), shared), min(PREFIX, shared)
             subsets = np.array(list(combinations(range(size - need + width), width)))
             out.append(mix(mixed[subsets].sum(axis=1, dtype=np.uint64) + salt))
             continue

@@ -77,6 +77,32 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, width, num, den):
     assert got == {k: (len(sets[k]), want[k]) for k in sets}
 
 
+def test_ngram_join_links_short_texts_that_gain_a_word(spark):
+    texts = []
+    for k in range(40):
+        words = [f"w{k}x{i}" for i in range(9 + k % 2)]
+        texts += [" ".join(words), " ".join(["more", *words] if k % 4 < 2 else [*words, "more"])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(table, 5, 80, 100).collect()}
+    assert got == {k: k // 2 * 2 for k in range(80)}
+
+
+def meet(classes, draw, a, b, both):
+    """Whether two sets of a and b n-grams that share so many have a signature in common."""
+    drawn = np.array([draw.getrandbits(64) for _ in range(a + b - both)], np.uint64)
+    return bool(np.intersect1d(ngram_join.signatures(np.unique(drawn[:a]), classes), ngram_join.signatures(np.unique(drawn[a - both :]), classes)).size)
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100)])
+def test_smallest_similar_sets_always_meet(num, den):
+    classes, draw = ngram_join.Classes(num, den), random.Random(4)
+    for b in range(2, 14):
+        for a in range(1, b + 1):
+            for both in range(1, a + (a < b)):
+                if den * both >= num * (a + b - both):
+                    assert all(meet(classes, draw, a, b, both) for _ in range(20)), (a, b, both)
+
+
 def test_ngram_join_of_an_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
