@@ -10,10 +10,12 @@ that similar ones lie in one class or neighbouring ones, each class has its own
 number of fragments, and every document emits one signature a fragment: a hash
 of all its n-grams there.  Signatures are met in blocks.  As a fragment holds
 n-grams from all over a text, documents that merely share a passage do not
-meet.  Fragments that hold next to nothing are left out, and small sets are cut
-several times by different orders, which leaves a pair at the threshold a chance
-under 1e-6 to be missed.  The smallest meet by subsets of the prefix: of the
-first n-grams in the global order, as many as may differ and PREFIX more, two
+meet.  Fragments that hold next to nothing are left out, and sets of few fragments
+are cut several times by different orders.  This leaves a pair at the threshold
+a chance to be missed, if all its equal fragments are left out in each order:
+at 80/100 and 85/100 under 1e-8 in every size class.
+Sets of classes of fewer than SUBSETS fragments (up to 36 n-grams at 80/100,
+up to 51 at 85/100) are never missed, as they meet by subsets of the prefix: of the first n-grams in the global order, as many as may differ and PREFIX more, two
 similar sets share PREFIX, so they share one of the subsets of that size.  Where
 similar sets of a class may share fewer than PREFIX n-grams in all, the subsets
 have that many, for all documents that meet in the class.
@@ -40,6 +42,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -58,7 +61,8 @@ BLOCK_SIGNATURES, FRAGMENTS, TILE_DOCS, TILE_TOKENS = 1_500_000, 4, 256, 500_000
 SLICE = 1024
 #: N-grams in at least so many documents of two tiles are counted by a matrix product, others pair by pair.
 COMMON, PAIRS_AT_ONCE = 16, 1_000_000
-PREFIX = 6
+#: Classes of fewer fragments than this meet by subsets of PREFIX n-grams instead.
+SUBSETS, PREFIX = 10, 6
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -98,12 +102,27 @@ class Classes:
         return -(-self.num * self.lows[k] // self.den)
 
 
+def orders(count: int) -> int:
+    """By how many orders sets of so many fragments are cut."""
+    return 4 if count < 24 else 2 if count < 100 else 1
+
+
+def least_held(count: int) -> int:
+    """How many n-grams a fragment must hold to count, where there are so many fragments."""
+    return 4 if count >= 60 else 3
+
+
+@lru_cache(64)
+def _subsets(prefix: int, width: int) -> np.ndarray:
+    return np.array(list(combinations(range(prefix), width)), np.int16)
+
+
 def signatures(tokens: np.ndarray, classes: Classes) -> np.ndarray:
     """Hashes of the fragments by which a document meets others: of its own size class and the next.
 
     Fragments of fewer than three n-grams (four, where there are many fragments) are left out: by them documents would
     meet that share a line.  Two similar sets have more than a third of their fragments in common at the very threshold,
-    so another one stands for each left out.
+    so another one, of this order or the next, stands for each left out but for the chance named above.
     """
     size, out = len(tokens), []
     own = classes.of(size)
@@ -113,21 +132,20 @@ def signatures(tokens: np.ndarray, classes: Classes) -> np.ndarray:
         salt = np.uint64((k * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
         if count == 1:
             continue  # only equal sets can be similar, and they are one class already
-        if count < 4:
+        if count < SUBSETS:
             shared = classes.overlap(k)
             if size < shared:
                 continue  # too small for any set of class k
             need, width = max(-(-classes.num * size // classes.den), shared), min(PREFIX, shared)
-            subsets = np.array(list(combinations(range(size - need + width), width)))
+            subsets = _subsets(size - need + width, width)
             out.append(mix(mixed[subsets].sum(axis=1, dtype=np.uint64) + salt))
             continue
-        least = 4 if count >= 60 else 3
-        for turn in range(4 if count < 8 else 3 if count < 24 else 1):
+        for turn in range(orders(count)):
             order = tokens if not turn else np.sort(mix(tokens + np.uint64(turn)))
             values = mixed if not turn else mix(order + np.uint64(BASE))
             fragment = ((order >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
-            full = np.diff(np.append(first, size)) >= least
+            full = np.diff(np.append(first, size)) >= least_held(count)
             sums = np.add.reduceat(values, first)[full]
             out.append(mix(sums + (fragment[first[full]] << np.uint64(3)) * np.uint64(BASE) + salt + np.uint64(turn)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -332,7 +350,7 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
     spark = docs.sparkSession
     light_batches(spark)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    signs = total / 6 * 4.5 * (den - num) / (den + num)  # a word has six bytes; each n-gram makes so many signatures
+    signs = total / 6 * 9 * (den - num) / (den + num)  # a word has six bytes; each n-gram makes so many signatures, by two orders
     blocks = max(int(signs // BLOCK_SIGNATURES) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table, table_path = written(parsed(docs, id_col, text_col, width, num, den, blocks), "shingles")
     rows = table.filter(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "digest")

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 
@@ -103,6 +104,38 @@ def test_smallest_similar_sets_always_meet(num, den):
                     assert all(meet(classes, draw, a, b, both) for _ in range(20)), (a, b, both)
 
 
+def test_short_similar_sets_always_meet():
+    for num, den, a, b, both in ((80, 100, 12, 15, 12), (80, 100, 16, 20, 16), (80, 100, 24, 30, 24), (85, 100, 17, 20, 17)):
+        classes, draw = ngram_join.Classes(num, den), random.Random(8)
+        assert all(meet(classes, draw, a, b, both) for _ in range(8000 if b < 20 else 2000)), (a, b, both)
+
+
+def missed(common, apart, count, least):
+    """The chance that each of so many fragments has one of the n-grams apart or fewer than least of the common ones."""
+    touched = [1.0]
+    for _ in range(apart):
+        touched = [sum(p) for p in zip([x * k / count for k, x in enumerate([*touched, 0])], [0, *(x * (count - k) / count for k, x in enumerate(touched))], strict=True)]
+    ways, total = np.array([1.0]), 0.0  # of the common ones, in the fragments not touched, by how many there are
+    for free in range(count):
+        held = sum(math.exp(math.lgamma(common + 1) - math.lgamma(common - k + 1) + math.log(w) + (common - k) * math.log(count - free) - common * math.log(count)) for k, w in enumerate(ways) if k <= common)
+        total += held * (touched[count - free] if count - free < len(touched) else 0)
+        ways = np.convolve(ways, [1 / math.factorial(k) for k in range(least)])
+    return total
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100)])
+def test_similar_sets_are_missed_as_seldom_as_said(num, den):
+    classes = ngram_join.Classes(num, den)
+    classes.of(600)
+    for k, low in enumerate(classes.lows[:-1]):
+        count = classes.fragments(k)
+        for b in range(low, classes.lows[k + 1]) if count >= 10 else ():
+            for a in {-(-num * b // den), -(-num * b // den) + 1, b}:
+                both = -(-num * (a + b) // (num + den))
+                if both <= a <= b:
+                    assert missed(both, a + b - 2 * both, count, ngram_join.least_held(count)) ** ngram_join.orders(count) < 1e-8, (a, b)
+
+
 def test_ngram_join_of_an_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
