@@ -6,7 +6,9 @@ benchmark item is a template; windows of documents are hash-joined to them.
 Matches that lie on one diagonal (same shift between document and item) must
 fill the slots consistently: where the item says one thing twice, the document
 does too.  A question with other numbers or names is thus still found, while a
-text that only looks alike is not.
+text that only looks alike is not.  Whether the capitalised word that opens a
+sentence is a name cannot be told, so windows that hold one are taken twice: with
+it as it is, and with it as a name; each reading must be consistent in itself.
 
 Documents' windows pass a bitmap of the benchmark's windows before they leave
 the task, so only likely matches are joined.
@@ -38,6 +40,8 @@ UNITS = (
     "dollar dollars usd cent cents euro euros eur pounds gbp yen percent degree degrees celsius fahrenheit kelvin joule joules watt watts volt volts mph kmh hz khz mhz ghz kb mb gb tb"
 ).split()
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Windows without a capitalised word that opens a sentence, and those with one: as it is, or as a name.
+PLAIN, OPENED, NAMED = 0, 1, 2
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
@@ -56,10 +60,10 @@ UNIT_HASHES = _unit_hashes()
 
 
 def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template, value, kind) of each token: the hash it has in a template, that of what stands there, and the placeholder's kind or 0."""
+    """(value, kind, opener) of each token: the hash of what stands there, the placeholder's kind or 0, and whether it may be a name that opens a sentence."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
     if not len(raw):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8)
+        return np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, bool)
     upper, data = _UPPER[raw], _LOWERED[raw]
     latin = np.zeros(len(raw), bool)
     latin[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
@@ -74,7 +78,7 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = span_hashes(data, starts, ends)
     kind = np.zeros(len(starts), np.int8)
     if not len(starts):
-        return value, value, kind
+        return value, kind, np.zeros(0, bool)
     stops = np.concatenate([[0], np.cumsum(_ENDS[raw] & ~word)])
     opens = stops[starts] > np.concatenate([[-1], stops[ends[:-1]]])  # first of a sentence
     capitals = np.concatenate([[0], np.cumsum(upper | latin)])
@@ -82,28 +86,33 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind[np.isin(value, UNIT_HASHES)] = UNIT
     kind[first_upper[starts] & ~opens & ~shouted] = NAME
     kind[digit[starts]] = NUMBER
-    return np.where(kind > 0, mix(kind.astype(np.uint64) * np.uint64(BASE)), value), value, kind
+    return value, kind, first_upper[starts] & opens & ~shouted & (kind == 0)
 
 
-def windows(text: str | None, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each width: the width, template hashes of all windows, which of them are literal enough, and the tokens' values and kinds."""
-    template, value, kind = tokens(text)
-    literal = np.concatenate([[0], np.cumsum(kind == 0)])
-    for width in widths:
-        if len(template) >= width:
-            keys = window_hashes(template, width) ^ np.uint64(width)
-            yield width, keys, literal[width:] - literal[:-width] >= MIN_LITERALS * width, value, kind
+def windows(text: str | None, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each width and reading: the width, hashes of all windows, which of them count, their forms, and the tokens' values and kinds."""
+    value, kind, opener = tokens(text)
+    held = np.concatenate([[0], np.cumsum(opener)])
+    for own in [kind, np.where(opener, NAME, kind)] if opener.any() else [kind]:
+        template = np.where(own > 0, mix(own.astype(np.uint64) * np.uint64(BASE)), value)
+        literal = np.concatenate([[0], np.cumsum(own == 0)])
+        for width in widths:
+            if len(value) >= width:
+                keys = window_hashes(template, width) ^ np.uint64(width)
+                enough, opened = literal[width:] - literal[:-width] >= MIN_LITERALS * width, held[width:] > held[:-width]
+                yield width, keys, enough if own is kind else enough & opened, opened * (OPENED if own is kind else NAMED), value, own
 
 
-SCHEMA = "id long, key long, pos int, slots array<long>"
+SCHEMA = "id long, key long, pos int, slots array<long>, form int"
 
 
 def _batch(ids: list, found: list[tuple]) -> pa.RecordBatch:
-    """A batch of windows: found has id's place, keys, positions, width, values and kinds of a text each."""
-    keys, places, owners, cuts, slots = [], [], [], [0], []
-    for who, own, at, width, value, kind in found:
+    """A batch of windows: found has id's place, keys, positions, forms, width, values and kinds of a text each."""
+    keys, places, forms, owners, cuts, slots = [], [], [], [], [0], []
+    for who, own, at, form, width, value, kind in found:
         keys.append(own)
         places.append(at)
+        forms.append(form)
         owners += [ids[who]] * len(own)
         for p in at.tolist():
             filled = value[p : p + width][kind[p : p + width] > 0]
@@ -111,23 +120,25 @@ def _batch(ids: list, found: list[tuple]) -> pa.RecordBatch:
             cuts.append(cuts[-1] + len(filled))
     flat = pa.array(np.concatenate(slots) if slots else np.empty(0, np.int64))
     return pa.RecordBatch.from_arrays(
-        [pa.array(owners, pa.int64()), pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)), pa.array(np.concatenate(places).astype(np.int32) if places else np.empty(0, np.int32)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)],
-        names=["id", "key", "pos", "slots"],
+        [pa.array(owners, pa.int64()), pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)), pa.array(np.concatenate(places).astype(np.int32) if places else np.empty(0, np.int32)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat), pa.array(np.concatenate(forms).astype(np.int32) if forms else np.empty(0, np.int32))],
+        names=["id", "key", "pos", "slots", "form"],
     )
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, key, pos, slots, width, total) of every template window of the benchmark."""
+    """(id, key, pos, slots, form, width, total) of every template window of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found, sizes = batch.column(0).to_pylist(), [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 n = len(tokens(text)[0])
-                for width, keys, literal, value, kind in windows(text, [min(n, window)] if n >= MIN_TOKENS else []):
-                    at = np.flatnonzero(literal)
-                    found.append((k, keys[at], at, width, value, kind))
-                    sizes += [(width, len(at))] * len(at)
+                own = list(windows(text, [min(n, window)] if n >= MIN_TOKENS else []))
+                total = int(own[0][2].sum()) if own else 0
+                for width, keys, counts, form, value, kind in own:
+                    at = np.flatnonzero(counts)
+                    found.append((k, keys[at], at, form[at], width, value, kind))
+                    sizes += [(width, total)] * len(at)
             out = _batch(ids, found)
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array([s[0] for s in sizes], pa.int32()), pa.array([s[1] for s in sizes], pa.int64())], names=[*out.schema.names, "width", "total"])
 
@@ -135,17 +146,17 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, widths: list[int], held: bytes) -> DataFrame:
-    """(id, key, pos, slots) of the documents' windows that pass the bitmap."""
+    """(id, key, pos, slots, form) of the documents' windows that pass the bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = batch.column(0).to_pylist(), []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                for width, keys, literal, value, kind in windows(text, widths):
-                    at = np.flatnonzero(in_bitmap(sent.value, keys) & literal)
+                for width, keys, counts, form, value, kind in windows(text, widths):
+                    at = np.flatnonzero(in_bitmap(sent.value, keys) & counts)
                     if len(at):
-                        found.append((k, keys[at], at, width, value, kind))
+                        found.append((k, keys[at], at, form[at], width, value, kind))
             yield _batch(ids, found)
             give_back()
 
@@ -159,10 +170,12 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # at most as many as a window has tokens
     held = bitmap(bench, "key")
     found = document_windows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), widths, held)
-    item = bench.select(F.col("id").alias("item_id"), "key", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "total")
+    item = bench.select(F.col("id").alias("item_id"), "key", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("form").alias("item_form"), "total")
     met = found.withColumnRenamed("id", "doc_id").join(item, "key").filter(F.size("slots") == F.size("item_slots"))
+    form = F.greatest("form", "item_form")  # plain windows belong to both readings
+    met = met.withColumn("reading", F.explode(F.when(form == PLAIN, F.array(F.lit(OPENED), F.lit(NAMED))).otherwise(F.array(form))))
     filled = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    line = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("filled"), F.first("total").alias("total"))
+    line = met.groupBy("doc_id", "item_id", "reading", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("filled"), F.first("total").alias("total"))
     consistent = F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["item"])))
     same = F.forall("filled", lambda x: x["item"] == x["doc"])
     whole = line.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("long").alias("windows"), F.bool_and(same).alias("verbatim"), F.first("total").alias("total"))

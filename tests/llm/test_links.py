@@ -182,6 +182,18 @@ def test_decontamination(spark):
     assert decontaminate.matches(table.limit(0), items).count() == 0 and decontaminate.matches(table, items.limit(0)).count() == 0
 
 
+def contaminated(spark, texts, items):
+    frame = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, text string")
+    return {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontaminate.matches(frame(texts, "doc_id"), frame(items, "item_id")).collect()}
+
+
+def test_decontamination_takes_names_that_open_sentences(spark):
+    item = "Alice has 5 red apples in her basket. Alice buys 3 more apples at the market. Alice gives 2 apples to her brother. How many apples does Alice have now?"
+    bob = item.replace("Alice", "Bob")
+    mixed = item.replace("Alice has", "Bob has").replace("Alice buys", "Carol buys").replace("Alice gives", "Dora gives").replace("does Alice", "does Eve")
+    assert contaminated(spark, [bob, item, mixed, "he asked Where is the old bridge?"], [item, "Where is the old bridge?"]) == {(0, 0): False, (1, 0): True, (3, 1): True}
+
+
 # -- archives ----------------------------------------------------------------
 
 
