@@ -9,14 +9,17 @@ does too.  A question with other numbers or names is thus still found, while a
 text that only looks alike is not.  Whether the capitalised word that opens a
 sentence is a name cannot be told, so windows that hold one are taken twice: with
 it as it is, and with it as a name; each reading must be consistent in itself.
+Windows of which less than MIN_LITERALS is literal are not templates.  All
+windows, these too, are also met verbatim, word by word, so that copies of items
+dense in numbers and units are found.  An item is reported if MIN_COVERAGE of its
+templates are found, or of all its windows, be it as templates or verbatim.
 
 Documents' windows pass a bitmap of the benchmark's windows before they leave
 the task, so only likely matches are joined.
 
 Edge cases: a null or empty text, on either side, matches nothing; items
 shorter than a window are one window of their own length, those of fewer than
-MIN_TOKENS tokens are not searched for; windows of placeholders alone are not
-templates; repeated items are reported each; repeated documents count once by
+MIN_TOKENS tokens are not searched for; repeated items are reported each; repeated documents count once by
 id; a null id is reported as null; empty tables give no rows; other columns are
 ignored.
 """
@@ -40,8 +43,8 @@ UNITS = (
     "dollar dollars usd cent cents euro euros eur pounds gbp yen percent degree degrees celsius fahrenheit kelvin joule joules watt watts volt volts mph kmh hz khz mhz ghz kb mb gb tb"
 ).split()
 NUMBER, NAME, UNIT = 1, 2, 3
-#: Windows without a capitalised word that opens a sentence, and those with one: as it is, or as a name.
-PLAIN, OPENED, NAMED = 0, 1, 2
+#: Windows without a capitalised word that opens a sentence, and those with one: as it is, or as a name; windows taken verbatim.
+PLAIN, OPENED, NAMED, VERBATIM = 0, 1, 2, 3
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
@@ -101,6 +104,10 @@ def windows(text: str | None, widths: list[int]) -> Iterator[tuple[int, np.ndarr
                 keys = window_hashes(template, width) ^ np.uint64(width)
                 enough, opened = literal[width:] - literal[:-width] >= MIN_LITERALS * width, held[width:] > held[:-width]
                 yield width, keys, enough if own is kind else enough & opened, opened * (OPENED if own is kind else NAMED), value, own
+    for width in widths:
+        if len(value) >= width:
+            n = len(value) - width + 1
+            yield width, window_hashes(value, width) ^ np.uint64(width + BASE), np.ones(n, bool), np.full(n, VERBATIM), value, np.zeros_like(kind)
 
 
 SCHEMA = "id long, key long, pos int, slots array<long>, form int"
@@ -126,7 +133,7 @@ def _batch(ids: list, found: list[tuple]) -> pa.RecordBatch:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, key, pos, slots, form, width, total) of every template window of the benchmark."""
+    """(id, key, pos, slots, form, width, templates, total) of every template window of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,15 +141,15 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
             for k, text in enumerate(batch.column(1).to_pylist()):
                 n = len(tokens(text)[0])
                 own = list(windows(text, [min(n, window)] if n >= MIN_TOKENS else []))
-                total = int(own[0][2].sum()) if own else 0
+                totals = (int(own[0][2].sum()), len(own[0][2])) if own else (0, 0)
                 for width, keys, counts, form, value, kind in own:
                     at = np.flatnonzero(counts)
                     found.append((k, keys[at], at, form[at], width, value, kind))
-                    sizes += [(width, total)] * len(at)
+                    sizes += [(width, *totals)] * len(at)
             out = _batch(ids, found)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([s[0] for s in sizes], pa.int32()), pa.array([s[1] for s in sizes], pa.int64())], names=[*out.schema.names, "width", "total"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([s[0] for s in sizes], pa.int32()), *[pa.array([s[k] for s in sizes], pa.int64()) for k in (1, 2)]], names=[*out.schema.names, "width", "templates", "total"])
 
-    return items.mapInArrow(run, f"{SCHEMA}, width int, total long")
+    return items.mapInArrow(run, f"{SCHEMA}, width int, templates long, total long")
 
 
 def document_windows(docs: DataFrame, widths: list[int], held: bytes) -> DataFrame:
@@ -164,20 +171,21 @@ def document_windows(docs: DataFrame, widths: list[int], held: bytes) -> DataFra
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """A row per contaminated document and item: doc_id, item_id, windows, coverage (share of the item's windows found), verbatim."""
+    """A row per contaminated document and item: doc_id, item_id, windows, coverage (share of the item's windows or templates found, the larger), verbatim."""
     light_batches(docs.sparkSession)
     bench = item_windows(items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")), window)
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # at most as many as a window has tokens
     held = bitmap(bench, "key")
     found = document_windows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), widths, held)
-    item = bench.select(F.col("id").alias("item_id"), "key", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("form").alias("item_form"), "total")
+    item = bench.select(F.col("id").alias("item_id"), "key", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("form").alias("item_form"), "templates", "total")
     met = found.withColumnRenamed("id", "doc_id").join(item, "key").filter(F.size("slots") == F.size("item_slots"))
     form = F.greatest("form", "item_form")  # plain windows belong to both readings
     met = met.withColumn("reading", F.explode(F.when(form == PLAIN, F.array(F.lit(OPENED), F.lit(NAMED))).otherwise(F.array(form))))
     filled = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    line = met.groupBy("doc_id", "item_id", "reading", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("filled"), F.first("total").alias("total"))
+    line = met.groupBy("doc_id", "item_id", "reading", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("filled"), F.first("templates").alias("templates"), F.first("total").alias("total"))
     consistent = F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["item"])))
     same = F.forall("filled", lambda x: x["item"] == x["doc"])
-    whole = line.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("long").alias("windows"), F.bool_and(same).alias("verbatim"), F.first("total").alias("total"))
-    out = whole.withColumn("coverage", F.col("windows") / F.col("total"))
+    places = lambda at: F.size(F.array_distinct(F.flatten(F.collect_set(at)))).cast("long")
+    whole = line.filter(consistent).groupBy("doc_id", "item_id").agg(places("at").alias("windows"), places(F.when(F.col("reading") != VERBATIM, F.col("at"))).alias("shaped"), F.bool_and(same).alias("verbatim"), F.first("templates").alias("templates"), F.first("total").alias("total"))
+    out = whole.withColumn("coverage", F.greatest(F.col("windows") / F.col("total"), F.when(F.col("templates") > 0, F.col("shaped") / F.col("templates"))))
     return out.filter(F.col("coverage") >= min_coverage).select("doc_id", "item_id", "windows", "coverage", "verbatim")

@@ -194,6 +194,12 @@ def test_decontamination_takes_names_that_open_sentences(spark):
     assert contaminated(spark, [bob, item, mixed, "he asked Where is the old bridge?"], [item, "Where is the old bridge?"]) == {(0, 0): False, (1, 0): True, (3, 1): True}
 
 
+def test_decontamination_finds_copies_dense_in_numbers(spark):
+    items = ["Convert 12 km to miles and 5 kg to pounds", "Compute 12 + 35 * 7 - 4 / 2"]
+    texts = [*items, *[f"Now: {x}, please." for x in items], "Convert 13 km to miles and 6 kg to pounds", "Compute 12 + 35 * 7 - 4 / 3"]
+    assert contaminated(spark, texts, items) == {(0, 0): True, (1, 1): True, (2, 0): True, (3, 1): True}
+
+
 # -- archives ----------------------------------------------------------------
 
 
