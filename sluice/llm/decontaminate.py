@@ -12,7 +12,8 @@ it as it is, and with it as a name; each reading must be consistent in itself.
 Windows of which less than MIN_LITERALS is literal are not templates.  All
 windows, these too, are also met verbatim, word by word, so that copies of items
 dense in numbers and units are found.  An item is reported if MIN_COVERAGE of its
-templates are found, or of all its windows, be it as templates or verbatim.
+templates are found, or of all its windows, be it as templates or verbatim, or
+if RUN of its tokens are found verbatim in a row, whatever their share.
 
 Documents' windows pass a bitmap of the benchmark's windows before they leave
 the task, so only likely matches are joined.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import BASE, bitmap, give_back, in_bitmap, light_batches, mix, span_hashes, window_hashes
 
-WINDOW, MIN_TOKENS, MIN_LITERALS, MIN_COVERAGE = 8, 4, 0.5, 0.3
+WINDOW, MIN_TOKENS, MIN_LITERALS, MIN_COVERAGE, RUN = 8, 4, 0.5, 0.3, 13
 # Words that are units.
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces oz pound pounds lb lbs ton tons tonnes "
@@ -186,6 +187,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     consistent = F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["item"])))
     same = F.forall("filled", lambda x: x["item"] == x["doc"])
     places = lambda at: F.size(F.array_distinct(F.flatten(F.collect_set(at)))).cast("long")
-    whole = line.filter(consistent).groupBy("doc_id", "item_id").agg(places("at").alias("windows"), places(F.when(F.col("reading") != VERBATIM, F.col("at"))).alias("shaped"), F.bool_and(same).alias("verbatim"), F.first("templates").alias("templates"), F.first("total").alias("total"))
+    at, steps = F.sort_array("at"), max(RUN - window, 0)
+    run = (F.col("reading") == VERBATIM) & F.exists(F.arrays_zip(at.alias("first"), F.slice(at, steps + 1, F.size("at")).alias("last")), lambda x: x["last"] - x["first"] == steps)
+    whole = line.filter(consistent).groupBy("doc_id", "item_id").agg(places("at").alias("windows"), places(F.when(F.col("reading") != VERBATIM, F.col("at"))).alias("shaped"), F.bool_and(same).alias("verbatim"), F.max(F.coalesce(run, F.lit(False))).alias("run"), F.first("templates").alias("templates"), F.first("total").alias("total"))
     out = whole.withColumn("coverage", F.greatest(F.col("windows") / F.col("total"), F.when(F.col("templates") > 0, F.col("shaped") / F.col("templates"))))
-    return out.filter(F.col("coverage") >= min_coverage).select("doc_id", "item_id", "windows", "coverage", "verbatim")
+    return out.filter((F.col("coverage") >= min_coverage) | F.col("run")).select("doc_id", "item_id", "windows", "coverage", "verbatim")

@@ -200,6 +200,12 @@ def test_decontamination_finds_copies_dense_in_numbers(spark):
     assert contaminated(spark, texts, items) == {(0, 0): True, (1, 1): True, (2, 0): True, (3, 1): True}
 
 
+def test_decontamination_finds_a_verbatim_passage_of_a_long_item(spark):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra") for b in ("ban", "der", "fil", "gos", "hum", "jat", "kel", "mor", "nip", "sud")]
+    texts = [f"zzz yyy {' '.join(words[20 : 20 + n])} xxx www" for n in (22, 13, 12)]
+    assert contaminated(spark, texts, [" ".join(words)]) == {(0, 0): True, (1, 0): True}
+
+
 # -- archives ----------------------------------------------------------------
 
 
