@@ -1,389 +1,389 @@
 """Similarity join on word n-grams (Jaccard), by vertical partitioning.
 
-All n-grams stand in one global order, that of their hashes.  The order is cut
-into fragments, and a document's set with it.
-
-Candidates.  Two sets of at most U n-grams whose similarity reaches the
-threshold differ in at most D n-grams, D a fixed share of 2 U; of D + 1
-fragments at least one is therefore equal in both.  Sets are classed by size so
-that similar ones lie in one class or neighbouring ones, each class has its own
-number of fragments, and every document emits one signature a fragment: a hash
-of all its n-grams there.  Signatures are met in blocks.  As a fragment holds
-n-grams from all over a text, documents that merely share a passage do not
-meet.  Fragments that hold next to nothing are left out, and sets of few fragments
-are cut several times by different orders.  This leaves a pair at the threshold
-a chance to be missed, if all its equal fragments are left out in each order:
-at 80/100 and 85/100 under 1e-8 in every size class.
-Sets of classes of fewer than SUBSETS fragments (up to 36 n-grams at 80/100,
-up to 51 at 85/100) are never missed, as they meet by subsets of the prefix: of the first n-grams in the global order, as many as may differ and PREFIX more, two
-similar sets share PREFIX, so they share one of the subsets of that size.  Where
-similar sets of a class may share fewer than PREFIX n-grams in all, the subsets
-have that many, for all documents that meet in the class.
-
-Verification.  Documents that meet, directly or through others, form a cell.
-The sets of a cell are cut into tiles and each tile into a few fragments of the
-global order; for two tiles the overlaps in each fragment are counted
-separately, for all pairs at once, and the counts are summed per pair; the sum
-decides exactly.  First every tile is compared with itself; then, in cells of
-several tiles, those tiles that still hold documents of different components.
-Tiles give back spanning forests, so a large group costs no rows.
-
-Equal sets are one class from the start, and are met once in each block, so
-that a hot group of copies costs as much as one document.
+All n-grams stand in one global order: ordinary ones by their hash, and after
+them those that a count over all documents finds common, the commonest last.
+The order is cut into fragments, and a document's set with it.
+
+Candidates.  Two sets that reach the threshold share an n-gram of both their
+prefixes: the first n-grams in the order, one more than may differ.  So the
+documents of one n-gram's list are all that can link through it, and as common
+n-grams come last, a passage that many documents share makes no list.  First
+each document of a list meets the least one, and what links is one component;
+then, in lists that still hold several components, documents of different
+components meet.  Pairs whose sizes, or whose sketches (parities of the counts
+in SKETCH_BITS classes of n-grams, which differ in no more classes than the sets
+in n-grams), show that they cannot reach the threshold go no further.
+
+Verification.  The sets of the pairs left are cut into the fragments of the
+order.  For each pair the partial overlap of every fragment is counted by itself,
+and the counts are summed per pair; the sum decides.
+
+Nothing is left to chance: prefixes, sizes and sketches only rule out pairs that
+cannot link, whatever the counts of common n-grams are.  Equal sets are one
+from the start.  A group of near copies costs a row per document and list, and a
+pair only where documents of different components pass the sketch.  In the lists
+that remain for the second step the sketches of CHUNK documents at a time are
+compared with each other, which is quadratic in a list whose documents neither
+link nor are told apart by the order.
+
+Words are known by 64 bits of BLAKE2b, n-grams by a mixed linear combination of
+those, sets by 128 bits of BLAKE2b over their n-grams.
 
 Edge cases: words are runs of bytes other than space, tab, line feed, vertical
 tab, form feed and carriage return, with A-Z in lower case; with fewer words
 than an n-gram has, the whole text is one n-gram; a null or empty text has no
 n-gram and no link; a null id is kept, with a null component; rows with one id
-are one document; an empty table gives no rows; other columns are ignored.
+are one document and each gives a row, and where their texts differ the
+document's set is the one with the least digest, while n_shingles is the row's
+own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import BASE, bitmap, drop_path, give_back, in_bitmap, light_batches, mix, span_hashes, window_hashes, written
-from sluice.llm.components import connected, forest
+from sluice.llm.common import BASE, bitmap, drop_path, give_back, in_bitmap, light_batches, mix, written
+from sluice.llm.components import connected
+
+#: Fragments of the ordinary n-grams; the common ones are one more.
+FRAGMENTS = 4
+#: Classes of a sketch, and documents whose sketches are compared at once.
+SKETCH_BITS, CHUNK = 2048, 2048
+#: Characters parsed at once, words whose hashes a worker keeps.
+SLICE_BYTES, KNOWN_WORDS = 4 << 20, 1 << 19
+#: How many n-grams a task and the whole count may call common, and the least count of a task's: what is sent to all tasks is bounded by COMMON.
+COMMON, LEAST_COUNT = 1 << 16, 4
+
+
+class _Words(dict):
+    """Hashes of words, kept as long as there are not too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = value = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return value
+
+
+_WORDS = _Words()
+
+
+def shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-grams of words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes = np.asarray(pc.list_value_length(lists))
+    known = lists.flatten().dictionary_encode()
+    names, code = known.dictionary.to_pylist(), np.asarray(known.indices)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    if "" in names:  # before and after white space at the ends
+        real = code != names.index("")
+        code, owner = code[real], owner[real]
+    word = np.fromiter(map(_WORDS.__getitem__, names), np.uint64, len(names))[code]
+    counts = np.bincount(owner, minlength=len(sizes))
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    rolled = _rolled(word, width)
+    out = []
+    for k, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if lo == hi:
+            out.append(np.empty(0, np.uint64))
+        elif counts[k] < width:
+            out.append(mix(_rolled(word[lo:hi], hi - lo) + np.uint64(hi - lo)))
+        else:
+            own = np.sort(rolled[lo : hi - width + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+    return out
 
-#: Signatures met in one block, fragments of the verification, documents and n-grams of a tile.
-BLOCK_SIGNATURES, FRAGMENTS, TILE_DOCS, TILE_TOKENS = 1_500_000, 4, 256, 500_000
-#: Documents parsed at once, for the sake of memory.
-SLICE = 1024
-#: N-grams in at least so many documents of two tiles are counted by a matrix product, others pair by pair.
-COMMON, PAIRS_AT_ONCE = 16, 1_000_000
-#: Classes of fewer fragments than this meet by subsets of PREFIX n-grams instead.
-SUBSETS, PREFIX = 10, 6
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+def _rolled(word: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of width words."""
+    n = len(word) - width + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(width if n > 0 else 0):
+        out = out * np.uint64(BASE) + word[k : k + n]
+    return mix(out)
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-grams of words."""
-    raw = (text or "").encode().lower()
-    space = np.ones(len(raw) + 2, bool)
-    data = np.frombuffer(raw, np.uint8)
-    space[1:-1] = _SPACE[data]
-    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    words = span_hashes(data, starts, ends)
-    if not len(words):
-        return words
-    width = min(width, len(words))
-    return np.unique(window_hashes(words, width) ^ np.uint64(width))
 
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE_BYTES of the text column, or of one row."""
+    for batch in batches:
+        sums, at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+        give_back()
 
-class Classes:
-    """Size classes for a threshold num / den, and how many fragments each has."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.lows = num, den, [1]
+# -- the global order --------------------------------------------------------
 
-    def of(self, size: int) -> int:
-        while self.lows[-1] <= size:
-            self.lows.append(self.lows[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.lows, size, side="right")) - 1
 
-    def fragments(self, k: int) -> int:
-        while len(self.lows) < k + 2:
-            self.lows.append(self.lows[-1] * self.den // self.num + 1)
-        return 2 * (self.lows[k + 1] - 1) * (self.den - self.num) // (self.den + self.num) + 1
+def common(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """The commonest n-grams by the documents they are in, from the least common on.
 
-    def overlap(self, k: int) -> int:
-        """The least number of n-grams that two similar sets share of which the larger is of class k."""
-        return -(-self.num * self.lows[k] // self.den)
+    Tasks count in bounded memory: what a slice holds only once is forgotten, and every slice takes one from each count kept.
+    The counts only order n-grams; a wrong one costs time, not links.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, times = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in _slices(batches, 0):
+            own, n = np.unique(np.concatenate([np.empty(0, np.uint64), *shingles(batch.column(0), width)]), return_counts=True)
+            held, at = np.unique(np.concatenate([held, own[n > 1]]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([times, n[n > 1]]), len(held)).astype(np.int64)
+            held, times = held[times > 1], times[times > 1] - 1
+        kept = np.flatnonzero(times + 1 >= LEAST_COUNT)
+        kept = kept[np.argsort(times[kept], kind="stable")[-COMMON:]]
+        yield pa.RecordBatch.from_arrays([pa.array(held[kept].view(np.int64)), pa.array(times[kept])], names=["token", "n"])
 
-def orders(count: int) -> int:
-    """By how many orders sets of so many fragments are cut."""
-    return 4 if count < 24 else 2 if count < 100 else 1
+    found = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
+    return top["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-def least_held(count: int) -> int:
-    """How many n-grams a fragment must hold to count, where there are so many fragments."""
-    return 4 if count >= 60 else 3
+class Order:
+    """Where n-grams stand in the global order."""
 
+    def __init__(self, common: np.ndarray):
+        by_hash = np.argsort(common)
+        self.common, self.place = common[by_hash], by_hash + 1
 
-@lru_cache(64)
-def _subsets(prefix: int, width: int) -> np.ndarray:
-    return np.array(list(combinations(range(prefix), width)), np.int16)
+    def ranks(self, tokens: np.ndarray) -> np.ndarray:
+        """0 for ordinary n-grams, else the place among the common ones."""
+        if not len(self.common):
+            return np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.common, tokens), len(self.common) - 1)
+        return np.where(self.common[at] == tokens, self.place[at], 0)
 
+    def fragments(self, tokens: np.ndarray) -> list[np.ndarray]:
+        """A sorted set cut into its fragments."""
+        ordinary = self.ranks(tokens) == 0
+        first = tokens[ordinary]
+        cuts = np.searchsorted(first >> np.uint64(32), np.arange(FRAGMENTS + 1, dtype=np.uint64) * np.uint64((1 << 32) // FRAGMENTS))
+        return [*(first[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), tokens[~ordinary]]
 
-def signatures(tokens: np.ndarray, classes: Classes) -> np.ndarray:
-    """Hashes of the fragments by which a document meets others: of its own size class and the next.
 
-    Fragments of fewer than three n-grams (four, where there are many fragments) are left out: by them documents would
-    meet that share a line.  Two similar sets have more than a third of their fragments in common at the very threshold,
-    so another one, of this order or the next, stands for each left out but for the chance named above.
-    """
-    size, out = len(tokens), []
-    own = classes.of(size)
-    mixed = mix(tokens + np.uint64(BASE))
-    for k in (own, own + 1):
-        count = classes.fragments(k)
-        salt = np.uint64((k * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
-        if count == 1:
-            continue  # only equal sets can be similar, and they are one class already
-        if count < SUBSETS:
-            shared = classes.overlap(k)
-            if size < shared:
-                continue  # too small for any set of class k
-            need, width = max(-(-classes.num * size // classes.den), shared), min(PREFIX, shared)
-            subsets = _subsets(size - need + width, width)
-            out.append(mix(mixed[subsets].sum(axis=1, dtype=np.uint64) + salt))
-            continue
-        for turn in range(orders(count)):
-            order = tokens if not turn else np.sort(mix(tokens + np.uint64(turn)))
-            values = mixed if not turn else mix(order + np.uint64(BASE))
-            fragment = ((order >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
-            full = np.diff(np.append(first, size)) >= least_held(count)
-            sums = np.add.reduceat(values, first)[full]
-            out.append(mix(sums + (fragment[first[full]] << np.uint64(3)) * np.uint64(BASE) + salt + np.uint64(turn)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, SLICE):
-            yield batch.slice(k, SLICE)
-        give_back()
+def prefix(tokens: np.ndarray, ranks: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first n-grams of a set in the global order: one more than may be missing from a similar set."""
+    size = len(tokens) + num * len(tokens) // -den + 1
+    return tokens[np.argsort(ranks, kind="stable")[:size]] if ranks.any() else tokens[:size]
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parity of the number of n-grams in each class."""
+    return np.packbits(np.bincount((tokens & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
 
+def digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
-def parsed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, blocks: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, n_shingles, digest) for each document, and (block, packed) with the signatures of many documents."""
 
-    def pack(found: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
-        ids = np.array([x[0] for x in found], np.int64)
-        sizes = np.array([len(x[1]) for x in found])
-        flat, owner = np.concatenate([x[1] for x in found]), np.repeat(np.arange(len(found)), sizes)
-        block = flat % np.uint64(blocks)
-        order = np.argsort(block, kind="stable")
-        short, owner = (flat[order] // np.uint64(blocks)).astype(np.uint32), owner[order]
-        edges = np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
-        for k in range(blocks):
-            lo, hi = edges[k], edges[k + 1]
-            if hi > lo:
-                who, times = np.unique(owner[lo:hi], return_counts=True)
-                yield k, np.int64(len(who)).tobytes() + ids[who].tobytes() + times.astype(np.int32).tobytes() + short[lo:hi].tobytes()
+def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and m n-grams whose sketches are so many bits apart can reach the threshold."""
+    both = (n + m - apart) // 2
+    return den * both >= num * (n + m - both)
+
+
+# -- candidates --------------------------------------------------------------
+
+
+def parsed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, order: np.ndarray) -> DataFrame:
+    """(doc_id, n_shingles, digest, sketch, prefix) of each row; the last three are null for empty sets."""
+    held = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(num, den)
-        for batch in _slices(batches):
-            ids, rows, seen, found = batch.column(0).to_pylist(), [], set(), []
-            for key, text in zip(ids, batch.column(1).to_pylist(), strict=True):
-                tokens = shingles(text, width)
-                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
-                rows.append((len(tokens), digest))
-                if key is not None and digest is not None and digest not in seen:
-                    seen.add(digest)
-                    if len(own := signatures(tokens, classes)):
-                        found.append((key, own))
-            packed = list(pack(found)) if found else []
-            n, m = len(rows), len(packed)
+        place = Order(held.value)
+        for batch in _slices(batches, 1):
+            sets = shingles(batch.column(1), width)
+            sizes = np.array([len(s) for s in sets])
+            ranks, ends = place.ranks(np.concatenate(sets)), np.cumsum(sizes)
+            first = [prefix(s, ranks[e - len(s) : e], num, den) for s, e in zip(sets, ends.tolist(), strict=True)]
+            cuts = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]), pa.int32(), mask=np.append(sizes == 0, False))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*ids, *[None] * m], pa.int64()),
-                    pa.array([*[x[0] for x in rows], *[None] * m], pa.int64()),
-                    pa.array([*[x[1] for x in rows], *[None] * m], pa.binary()),
-                    pa.array([*[None] * n, *[x[0] for x in packed]], pa.int32()),
-                    pa.array([*[None] * n, *[x[1] for x in packed]], pa.binary()),
+                    batch.column(0),
+                    pa.array(sizes, pa.int64()),
+                    pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(first).view(np.int64))),
                 ],
-                names=["doc_id", "n_shingles", "digest", "block", "packed"],
+                names=["doc_id", "n_shingles", "digest", "sketch", "prefix"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, block int, packed binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary, prefix array<long>")
 
 
-def met(packed: DataFrame) -> DataFrame:
-    """Links (a, b) with the same components as all pairs of documents that share a signature.
+def starred(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a document and the least one of a list it is in that may link; lists has (token, rep, pivot)."""
 
-    Each block gives one row with its forest, and each task that reads such rows a forest of them.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = np.asarray(batch.column(1)), np.asarray(batch.column(4))
+            apart = _bits(batch.column(2)) ^ _bits(batch.column(5))
+            keep = pa.array(may_link(n, m, np.bitwise_count(apart).sum(1, dtype=np.int64), num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 3)], names=["a", "b"])
 
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        docs, marks = [], []
-        for raw in frame["packed"]:
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            ids, times = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n)
-            docs.append(np.repeat(ids, times))
-            marks.append(np.frombuffer(raw, np.uint32, -1, 8 + 12 * n))
-        doc, mark = np.concatenate(docs), np.concatenate(marks)
-        del docs, marks
-        order = np.argsort(mark, kind="stable")
-        doc, mark = doc[order], mark[order]
-        same = mark[1:] == mark[:-1]
-        a, b = forest(doc[:-1][same], doc[1:][same])
-        del doc, mark, order, same
-        give_back()
-        return pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
+    side = lambda name: sets.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    pairs = lists.filter(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
+    return pairs.select("a", "n_a", "sketch_a", "b", "n_b", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_a, held_b = np.empty(0, np.int64), np.empty(0, np.int64)
+
+def across(lists: DataFrame, sets: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that share a list, are of different components and may link; lists has (token, rep, pivot, docs).
+
+    A list of many documents is dealt to chunks, and every two chunks meet in a place of their own.
+    """
+    placed = lists.filter((F.col("docs") > 2) & (F.col("rep") != F.col("pivot"))).join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).filter(F.col("_least") != F.col("_most")).select("token")
+    rows = placed.join(mixed, "token").join(sets.select("rep", "n", "sketch"), "rep")
+    chunks = F.ceil(F.col("docs") / CHUNK)
+    own = F.pmod(F.xxhash64("rep"), chunks)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "sketch")
+
+    def met(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        part = frame["component"].to_numpy()
+        if (part == part[0]).all():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        frame = frame.iloc[np.argsort(frame["n"].to_numpy(), kind="stable")]
+        n, part, rep, own = (frame[c].to_numpy() for c in ("n", "component", "rep", "own"))
+        bits = _bits(pa.array(frame["sketch"], pa.binary()))
+        one = frame["i"].iloc[0] == frame["j"].iloc[0]
+        a, b = [], []
+        for k, upto in enumerate(np.searchsorted(n, n * den // num, side="right").tolist()):
+            to = np.flatnonzero((part[k + 1 : upto] != part[k]) & (one | (own[k + 1 : upto] != own[k]))) + k + 1
+            to = to[may_link(n[k], n[to], np.bitwise_count(bits[to] ^ bits[k]).sum(1, dtype=np.int64), num, den)]
+            a.append(np.full(len(to), rep[k]))
+            b.append(rep[to])
+        return np.concatenate(a), np.concatenate(b)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for batch in batches:
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                held_a, held_b = forest(np.concatenate([held_a, np.frombuffer(a, np.int64)]), np.concatenate([held_b, np.frombuffer(b, np.int64)]))
-        yield pd.DataFrame({"a": held_a, "b": held_b})
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            place = rest[["token", "i", "j"]].to_numpy()
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+            edges = [0, *cuts.tolist()]
+            yield _pairs([met(rest.iloc[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
+            rest = rest.iloc[edges[-1] :]  # the last place may go on
+        if rest is not None and len(rest):
+            yield _pairs([met(rest)])
 
-    return packed.groupBy("block").applyInPandas(meet, "a binary, b binary").mapInPandas(merge, "a long, b long")
+    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def fetched(docs: DataFrame, id_col: str, text_col: str, width: int, ids: DataFrame) -> DataFrame:
-    """(doc_id, cell, size, tokens) of the documents that ids (doc_id, cell) names: their sets, in the global order, as bytes."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("key")), "key"))
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]).astype(np.int64) for k in (0, 1))
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+# -- verification ------------------------------------------------------------
+
+
+def fragments(docs: DataFrame, id_col: str, text_col: str, width: int, order: np.ndarray, wanted: DataFrame) -> DataFrame:
+    """(rep, n, fragment, tokens) of the sets that wanted (rep, digest) names: a row for each fragment that holds n-grams."""
+    context = docs.sparkSession.sparkContext
+    held, place = context.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("key")), "key")), context.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        known = Order(place.value)
+        for batch in _slices(batches, 1):
             batch = batch.filter(pa.array(in_bitmap(held.value, np.asarray(batch.column(2)))))
-            own = [shingles(text, width) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc_id", "size", "tokens"])
+            sets = shingles(batch.column(1), width)
+            rows = [(key, digest(s), len(s), f, part.tobytes()) for key, s in zip(batch.column(0).to_pylist(), sets, strict=True) for f, part in enumerate(known.fragments(s)) if len(part)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["rep", "digest", "n", "fragment", "tokens"])
 
     key = F.col(id_col).cast("long")
     source = docs.filter(key.isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"), F.xxhash64(key).alias("key"))
-    return source.mapInArrow(run, "doc_id long, size long, tokens binary").join(ids, "doc_id").dropDuplicates(["doc_id"])
-
+    found = source.mapInArrow(run, "rep long, digest binary, n long, fragment int, tokens binary")
+    return found.join(wanted, ["rep", "digest"]).dropDuplicates(["rep", "fragment"]).drop("digest")
 
-TILE = "tile string, cells binary, parts binary, ids binary, sizes binary, tokens binary, first long, last long, part long"
 
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, both): for each pair and fragment that both have n-grams in, how many they share there."""
 
-def tiles(sets: DataFrame) -> DataFrame:
-    """Sets (doc_id, cell, component, size, tokens) packed into tiles, in the order of cell, component and id.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            both = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(both, pa.int64())], names=["a", "b", "n_a", "n_b", "both"])
+            give_back()
 
-    first and last are the cells at the tile's ends, which may go on in others; part is the component if all of the tile is of one.
-    """
+    side = lambda name: parts.select(F.col("rep").alias(name), "fragment", F.col("n").alias(f"n_{name}"), F.col("tokens").alias(f"tokens_{name}"))
+    met = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"])
+    return met.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, n_a long, n_b long, both long")
 
-    def tile(part: int, number: int, rows: list[tuple]) -> tuple:
-        cells, comps = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        one = int(comps[0]) if (comps == comps[0]).all() else None
-        return f"{part}-{number}", cells.tobytes(), comps.tobytes(), np.array([r[2] for r in rows], np.int64).tobytes(), np.array([r[3] for r in rows], np.int64).tobytes(), b"".join(r[4] for r in rows), int(cells[0]), int(cells[-1]), one
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number, rows, size, out = TaskContext.get().partitionId(), 0, [], 0, []
-        names = [x.split()[0] for x in TILE.split(", ")]
-        for batch in batches:
-            for row in batch[["cell", "component", "doc_id", "size", "tokens"]].itertuples(index=False):
-                if rows and (len(rows) >= TILE_DOCS or size + row[3] > TILE_TOKENS):
-                    out.append(tile(part, number, rows))
-                    number, rows, size = number + 1, [], 0
-                rows.append(row)
-                size += row[3]
-            if out:
-                yield pd.DataFrame(out, columns=names).astype({"part": "Int64"})
-                out = []
-        if rows:
-            yield pd.DataFrame([tile(part, number, rows)], columns=names).astype({"part": "Int64"})
-
-    return sets.repartitionByRange("cell", "component", "doc_id").sortWithinPartitions("cell", "component", "doc_id").mapInPandas(run, TILE)
-
-
-def overlaps(x: np.ndarray, at_x: np.ndarray, n_x: int, y: np.ndarray, at_y: np.ndarray, n_y: int) -> np.ndarray:
-    """How many n-grams each document of one tile shares with each of another, of one fragment; x and y are n-grams, at_x and at_y whose they are."""
-    out = np.zeros((n_x, n_y), np.float32)
-    known, code = np.unique(np.concatenate([x, y]), return_inverse=True)
-    code_x, code_y = code[: len(x)], code[len(x) :]
-    times_x, times_y = np.bincount(code_x, minlength=len(known)), np.bincount(code_y, minlength=len(known))
-    common = (times_x > 0) & (times_y > 0) & (times_x + times_y >= COMMON)
-    places = np.flatnonzero(common)
-    column = np.full(len(known), -1)
-    column[places] = np.arange(len(places))
-    for k in range(0, len(places), 4096):
-        width = min(4096, len(places) - k)
-        left, right = np.zeros((n_x, width), np.float32), np.zeros((n_y, width), np.float32)
-        for side, at, own in ((left, at_x, column[code_x]), (right, at_y, column[code_y])):
-            on = (own >= k) & (own < k + width)
-            side[at[on], own[on] - k] = 1
-        out += left @ right.T
-    rare = (times_x > 0) & (times_y > 0) & ~common
-    on_x, on_y = np.flatnonzero(rare[code_x]), np.flatnonzero(rare[code_y])
-    if len(on_x):
-        on_y = on_y[np.argsort(code_y[on_y], kind="stable")]
-        begin = np.searchsorted(code_y[on_y], code_x[on_x])
-        many = times_y[code_x[on_x]]
-        upto = np.cumsum(many)
-        cuts = np.searchsorted(upto, np.arange(PAIRS_AT_ONCE, upto[-1] + PAIRS_AT_ONCE, PAIRS_AT_ONCE))
-        for lo, hi in zip(np.concatenate([[0], cuts[:-1] + 1]).tolist(), (cuts + 1).tolist(), strict=True):
-            part = many[lo:hi]
-            rows = np.repeat(at_x[on_x[lo:hi]], part)
-            step = np.arange(len(rows)) - np.repeat(np.cumsum(part) - part, part)
-            cols = at_y[on_y[np.repeat(begin[lo:hi], part) + step]]
-            out += np.bincount(rows * n_y + cols, minlength=n_x * n_y).reshape(n_x, n_y)
-    return out
+def linked(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose summed partial overlaps reach the threshold."""
+    summed = overlaps(pairs, parts).groupBy("a", "b").agg(F.sum("both").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return summed.filter(den * F.col("both") >= num * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def compared(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b): for each pair of tiles (columns with _x and _y) a forest of what links between documents of one cell but different components."""
+# -- the join ----------------------------------------------------------------
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        longs = lambda raw: np.frombuffer(raw, np.int64)
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                sizes_x, sizes_y = longs(r.sizes_x), longs(r.sizes_y)
-                tokens_x, tokens_y = np.frombuffer(r.tokens_x, np.uint64), np.frombuffer(r.tokens_y, np.uint64)
-                at_x, at_y = np.repeat(np.arange(len(sizes_x)), sizes_x), np.repeat(np.arange(len(sizes_y)), sizes_y)
-                both = np.zeros((len(sizes_x), len(sizes_y)))
-                part_x, part_y = tokens_x >> np.uint64(62), tokens_y >> np.uint64(62)
-                for k in range(FRAGMENTS):
-                    on_x, on_y = part_x == k, part_y == k
-                    both += overlaps(tokens_x[on_x], at_x[on_x], len(sizes_x), tokens_y[on_y], at_y[on_y], len(sizes_y))
-                both = np.rint(both).astype(np.int64)
-                linked = den * both >= num * (sizes_x[:, None] + sizes_y - both)
-                linked &= (longs(r.cells_x)[:, None] == longs(r.cells_y)) & (longs(r.parts_x)[:, None] != longs(r.parts_y))
-                rows, cols = np.nonzero(linked)
-                if len(rows):
-                    a, b = forest(longs(r.ids_x)[rows], longs(r.ids_y)[cols])
-                    yield pd.DataFrame({"a": a, "b": b})
-            give_back()
 
-    return pairs.mapInPandas(run, "a long, b long")
+def one_text(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Of (doc_id, digest, ...) the rows of each document's own set, the others, and whether there are others."""
+    several = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("digest").alias("_own"), F.max("digest").alias("_last"), F.count(F.when(F.col("digest").isNull(), 1)).alias("_empty"))
+    several = several.filter((F.col("_own") != F.col("_last")) | ((F.col("_empty") > 0) & F.col("_own").isNotNull())).select("doc_id", "_own")
+    several, _ = written(several, "several")
+    if several.isEmpty():
+        return rows, rows.limit(0), False
+    marked = rows.join(several, "doc_id", "left")
+    own = F.col("_own").isNull() | F.coalesce(F.col("digest") == F.col("_own"), F.lit(False))
+    return marked.filter(own).drop("_own"), marked.filter(~own).drop("_own"), True
 
 
 def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id; two documents link if den * intersection >= num * union."""
     spark = docs.sparkSession
     light_batches(spark)
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    signs = total / 6 * 9 * (den - num) / (den + num)  # a word has six bytes; each n-gram makes so many signatures, by two orders
-    blocks = max(int(signs // BLOCK_SIGNATURES) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table, table_path = written(parsed(docs, id_col, text_col, width, num, den, blocks), "shingles")
-    rows = table.filter(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "digest")
-    copies = rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last")).filter(F.col("rep") != F.col("_last")).select("digest", "rep")
-    member = rows.filter(F.col("doc_id").isNotNull()).join(copies, "digest").filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("id"), "rep").distinct()
-    member, member_path = written(member, "copies")
-
-    copied = member.select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    cells, cells_path = connected(met(table.filter(F.col("packed").isNotNull()).select("block", "packed")).unionByName(copied))
-    placed = cells.select(F.col("id").alias("doc_id"), F.col("component").alias("cell")).unionByName(cells.select(F.col("component").alias("doc_id"), F.col("component").alias("cell")).distinct())
-    placed = placed.join(member.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    several = placed.groupBy("cell").agg(F.count("doc_id").alias("_n")).filter(F.col("_n") > 1).select("cell")
-    sets, sets_path = written(fetched(docs, id_col, text_col, width, placed.join(several, "cell").select("doc_id", "cell")), "sets")
-
-    side = lambda frame, end: frame.select([F.col(c).alias(f"{c}_{end}") for c in ("tile", "cells", "parts", "ids", "sizes", "tokens")])
-    cut, cut_path = written(tiles(sets.withColumn("component", F.col("doc_id"))), "tiles")
-    own = cut.select([F.col(c).alias(f"{c}_{end}") for end in "xy" for c in ("tile", "cells", "parts", "ids", "sizes", "tokens")])
-    links, links_path = written(compared(own, num, den), "linked")
-    parts, parts_path = connected(links)
-    ends = cut.select("tile", F.explode(F.array_distinct(F.array("first", "last"))).alias("cell"))
-    wide = ends.groupBy("cell").agg(F.count("tile").alias("_n")).filter(F.col("_n") > 1).select("cell")
-    left = sets.join(wide, "cell").join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    again, again_path = written(tiles(left), "tiles")
-    ends = again.select("tile", "part", F.explode(F.array_distinct(F.array("first", "last"))).alias("cell"))
-    apart = (F.col("tile_x") < F.col("tile_y")) & ~F.coalesce(F.col("part_x") == F.col("part_y"), F.lit(False))
-    near = ends.select(F.col("tile").alias("tile_x"), F.col("part").alias("part_x"), "cell").join(ends.select(F.col("tile").alias("tile_y"), F.col("part").alias("part_y"), "cell"), "cell").filter(apart | ((F.col("tile_x") == F.col("tile_y")) & F.col("part_x").isNull())).select("tile_x", "tile_y").distinct()
-    more, more_path = written(compared(near.join(side(again, "x"), "tile_x").join(side(again, "y"), "tile_y"), num, den), "linked")
-    parts, final_path = connected(links.unionByName(more))
-
-    keyed = rows.join(member.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("_rep", F.coalesce("rep", "doc_id"))
-    out = keyed.join(parts.withColumnRenamed("id", "_rep"), "_rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "_rep").alias("component_id"))
+    order = common(docs, text_col, width)
+    table, table_path = written(parsed(docs, id_col, text_col, width, num, den, order), "parsed")
+    own, others, torn = one_text(spark, table)
+    named = own.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
+    sets, sets_path = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "sets")
+
+    postings = sets.select("rep", F.explode("prefix").alias("token"))
+    shared = postings.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("rep").alias("docs")).filter(F.col("docs") > 1)
+    lists, lists_path = written(postings.join(shared, "token"), "lists")
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, list[str]]:
+        pairs, pairs_path = written(pairs, "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        parts, parts_path = written(fragments(docs, id_col, text_col, width, order, sets.select("rep", "digest").join(ends, "rep")), "fragments")
+        links, links_path = written(linked(pairs, parts, num, den), "linked")
+        return links, [pairs_path, parts_path, links_path]
+
+    near, near_paths = verified(starred(lists, sets, num, den))
+    parts, parts_path = connected(near)
+    more, more_paths = verified(across(lists, sets, parts, num, den))
+    if not more.isEmpty():
+        parts, again_path = connected(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        more_paths.append(again_path)
+
+    found = own.select("doc_id", "n_shingles", "digest").join(sets.select("digest", "rep"), "digest", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+    out = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    if torn:
+        out = out.unionByName(others.select("doc_id", "n_shingles").join(out.select("doc_id", "component_id").distinct(), "doc_id"))
     out, _ = written(out, "similar")
-    drop_path(spark, table_path, member_path, cells_path, sets_path, cut_path, again_path, links_path, parts_path, more_path, final_path)
+    drop_path(spark, table_path, sets_path, lists_path, parts_path, *near_paths, *more_paths)
     return out
 
 

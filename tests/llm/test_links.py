@@ -3,11 +3,11 @@
 import base64
 import gzip
 import hashlib
-import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import components, decontaminate, embeddings, ngram_join, warc
@@ -67,7 +67,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize(("width", "num", "den"), [(4, 85, 100), (5, 80, 100)])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, width, num, den):
-    monkeypatch.setattr(ngram_join, "TILE_DOCS", 6)
+    monkeypatch.setattr(ngram_join, "CHUNK", 4)
     texts = corpus(width)
     table = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(None, texts[0], 1)], "doc_id long, text string, component_id long").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(table, width, num, den).collect()}
@@ -88,52 +88,70 @@ def test_ngram_join_links_short_texts_that_gain_a_word(spark):
     assert got == {k: k // 2 * 2 for k in range(80)}
 
 
-def meet(classes, draw, a, b, both):
-    """Whether two sets of a and b n-grams that share so many have a signature in common."""
-    drawn = np.array([draw.getrandbits(64) for _ in range(a + b - both)], np.uint64)
-    return bool(np.intersect1d(ngram_join.signatures(np.unique(drawn[:a]), classes), ngram_join.signatures(np.unique(drawn[a - both :]), classes)).size)
-
-
-@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100)])
-def test_smallest_similar_sets_always_meet(num, den):
-    classes, draw = ngram_join.Classes(num, den), random.Random(4)
-    for b in range(2, 14):
-        for a in range(1, b + 1):
-            for both in range(1, a + (a < b)):
-                if den * both >= num * (a + b - both):
-                    assert all(meet(classes, draw, a, b, both) for _ in range(20)), (a, b, both)
-
-
-def test_short_similar_sets_always_meet():
-    for num, den, a, b, both in ((80, 100, 12, 15, 12), (80, 100, 16, 20, 16), (80, 100, 24, 30, 24), (85, 100, 17, 20, 17)):
-        classes, draw = ngram_join.Classes(num, den), random.Random(8)
-        assert all(meet(classes, draw, a, b, both) for _ in range(8000 if b < 20 else 2000)), (a, b, both)
-
-
-def missed(common, apart, count, least):
-    """The chance that each of so many fragments has one of the n-grams apart or fewer than least of the common ones."""
-    touched = [1.0]
-    for _ in range(apart):
-        touched = [sum(p) for p in zip([x * k / count for k, x in enumerate([*touched, 0])], [0, *(x * (count - k) / count for k, x in enumerate(touched))], strict=True)]
-    ways, total = np.array([1.0]), 0.0  # of the common ones, in the fragments not touched, by how many there are
-    for free in range(count):
-        held = sum(math.exp(math.lgamma(common + 1) - math.lgamma(common - k + 1) + math.log(w) + (common - k) * math.log(count - free) - common * math.log(count)) for k, w in enumerate(ways) if k <= common)
-        total += held * (touched[count - free] if count - free < len(touched) else 0)
-        ways = np.convolve(ways, [1 / math.factorial(k) for k in range(least)])
-    return total
-
-
-@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100)])
-def test_similar_sets_are_missed_as_seldom_as_said(num, den):
-    classes = ngram_join.Classes(num, den)
-    classes.of(600)
-    for k, low in enumerate(classes.lows[:-1]):
-        count = classes.fragments(k)
-        for b in range(low, classes.lows[k + 1]) if count >= 10 else ():
-            for a in {-(-num * b // den), -(-num * b // den) + 1, b}:
-                both = -(-num * (a + b) // (num + den))
-                if both <= a <= b:
-                    assert missed(both, a + b - 2 * both, count, ngram_join.least_held(count)) ** ngram_join.orders(count) < 1e-8, (a, b)
+def test_ngram_join_at_the_very_threshold(spark):
+    draw, texts = random.Random(6), []
+    for num, n in ((80, 40), (85, 60)):  # sets that share just enough, and one n-gram too few
+        for extra in (0, 1):
+            for _ in range(12):
+                words = [f"t{draw.getrandbits(40)}" for _ in range(n + 3)]
+                both = -(-2 * n * num // (100 + num)) - extra  # of two sets of n n-grams
+                texts += [" ".join(words), " ".join([f"u{draw.getrandbits(40)}" for _ in range(n - both)] + words[n - both :])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    for width, num in ((4, 80), (4, 85)):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(table, width, num, 100).collect()}
+        sets = [plain_set(t, width) for t in texts]
+        want = union(range(len(texts)), [(a, a + 1) for a in range(0, len(texts), 2) if 100 * len(sets[a] & sets[a + 1]) >= num * len(sets[a] | sets[a + 1])])
+        assert got == want and 0 < sum(k != v for k, v in want.items()) < len(texts) // 2
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100), (100, 100), (50, 100)])
+def test_similar_sets_share_a_prefix_and_pass_the_sketch(num, den):
+    draw = random.Random(4)
+    order = ngram_join.Order(np.array([draw.getrandbits(64) for _ in range(30)], np.uint64))
+    for b in (*range(1, 40), 300, 5000):
+        for a in {b, -(-num * b // den), max(1, b - 1)}:
+            both = -(-num * (a + b) // (num + den))
+            if both <= a and den * both >= num * (a + b - both):
+                drawn = np.array([draw.getrandbits(64) for _ in range(a + b - both)], np.uint64)
+                drawn[both // 2 : both // 2 + 30] = order.common[: len(drawn[both // 2 : both // 2 + 30])]
+                x, y = np.unique(drawn[:a]), np.unique(drawn[a - both :])
+                first = [ngram_join.prefix(s, order.ranks(s), num, den) for s in (x, y)]
+                assert np.intersect1d(*first).size, (a, b, both)
+                apart = sum((p ^ q).bit_count() for p, q in zip(ngram_join.sketch(x), ngram_join.sketch(y), strict=True))
+                assert ngram_join.may_link(np.array([a]), np.array([b]), np.array([apart]), num, den)[0]
+                assert sorted(np.concatenate(order.fragments(x)).tolist()) == x.tolist()
+
+
+def test_words_that_hash_alike_under_polynomials_stay_apart(spark):
+    thue = [bin(k).count("1") % 2 for k in range(1024)]
+    table = spark.createDataFrame([(k, "".join("ab"[x ^ k] for x in thue)) for k in range(2)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(table).collect()} == {0: 0, 1: 1}
+
+
+def test_a_document_with_two_texts_has_one_set(spark):
+    texts = {k: " ".join(f"{k}w{i}" for i in range(30)) for k in "ab"}
+    rows = [(1, texts["a"]), (1, texts["b"]), (1, texts["b"]), (1, ""), (2, texts["a"]), (3, texts["b"])]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"]) for r in got) == [(1, 0), (1, 26), (1, 26), (1, 26), (2, 26), (3, 26)]
+    own = min("ab", key=lambda k: ngram_join.digest(ngram_join.shingles(pa.array([texts[k]]), 5)[0]))
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1 if own == "a" else 2), (3, 1 if own == "b" else 3)}
+
+
+def test_ngram_join_of_a_group_whose_least_document_is_far_from_most(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 5)  # lists are dealt to several chunks
+    draw, base = random.Random(9), [f"b{k}" for k in range(60)]
+    texts = []
+    for k in range(40):
+        own = list(base)
+        for _ in range(6 if k == 0 else draw.randint(1, 3)):
+            own[draw.randrange(60)] = f"x{draw.getrandbits(30)}"
+        texts.append(" ".join(own))
+    texts.append(" ".join(base * 40))  # a long text
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(table, 4, 85, 100).collect()}
+    sets = [plain_set(t, 4) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert got == union(range(len(texts)), links) and len(set(got.values())) > 2
 
 
 def test_ngram_join_of_an_empty_table(spark):
