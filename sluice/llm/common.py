@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,22 @@ def light_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def sampled_ids(rows: DataFrame, group: str, values: list, count: int, id_col: str) -> DataFrame:
+    """(group, id) of at most count rows for each of a few values of group: those whose ids have the least hashes.
+
+    Each task keeps count ids of a value at most and sends no more.
+    """
+    least = [rows.filter(F.col(group) == value).select(group, id_col).orderBy(F.xxhash64(id_col), id_col).limit(count) for value in values]
+    return reduce(DataFrame.unionByName, least, rows.select(group, id_col).limit(0)).distinct()
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame, group: str, id_col: str, text_col: str) -> list[tuple]:
+    """(value of group, id, whole text) of the chosen ids, sorted; of an id's several texts the least."""
+    texts = docs.filter(F.octet_length(text_col) > 0).join(F.broadcast(chosen.select(F.col(id_col).alias("_id")).distinct()), F.col(id_col) == F.col("_id"), "left_semi")
+    texts = texts.groupBy(id_col).agg(F.min(text_col).alias("_text"))
+    return sorted((r[group], r[id_col], r["_text"]) for r in texts.join(F.broadcast(chosen), id_col).collect())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     context = spark.sparkContext
@@ -65,6 +82,12 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything lies at a path, in whatever store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def give_back() -> None:
     """Return freed memory to the system: a Python worker lives on between stages, and what it keeps is the executor's loss."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -7,7 +7,7 @@ text is rejected if the next language needs hardly more bytes, or if it has no
 letter.
 
 Edge cases: a null text and one without a letter are `und` with score 0 and are
-rejected; of languages that need equally many bytes the first by name is named,
+rejected; of an id's several training texts the least is taken; of languages that need equally many bytes the first by name is named,
 and the text is rejected; without any training text every text is `und`;
 repeated rows give repeated results; an empty table gives no rows; null ids are
 kept; other columns are ignored.
@@ -20,13 +20,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import give_back, light_batches
+from sluice.llm.common import give_back, light_batches, sampled_ids, sampled_texts
 
-#: Bounds of the training sample: documents a language, bytes of such a document, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICT_BYTES = 120, 20_000, 96 << 10
+#: Bounds of the training sample: documents a language, and languages (those of the most documents).
+SAMPLE_DOCS, MAX_LANGUAGES = 40, 200
 CHUNK_BYTES = 4096
 #: A text is rejected if the second language needs less than this share more bytes.
 MIN_MARGIN = 0.002
@@ -37,32 +37,20 @@ NOT_LETTERS = bytes(b for b in range(33, 127) if not chr(b).isalpha())
 SPACES = bytes(32 if b < 33 else b for b in range(256))
 
 
-def sampled(docs: DataFrame, keep: Column, per_group: int, max_bytes: int, group: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most per_group rows of each value of group, those whose ids have the smallest hashes; texts over max_bytes are left out of the sample.
-
-    The ranking moves ids alone and is cut to per_group rows in each task first; only the few ids chosen are broadcast.
-    """
-    rows = docs.filter(keep & F.col(group).isNotNull() & F.col(id_col).isNotNull() & F.octet_length(text_col).between(1, max_bytes))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(id_col), id_col))
-    chosen = rows.select(group, id_col).withColumn("_rank", rank).filter(F.col("_rank") <= per_group).select(F.col(id_col).alias("_id")).distinct()
-    return rows.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").select(id_col, group, text_col)
-
-
 def train(docs: DataFrame, keep: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
-    """The dictionary content of each language, from a bounded sample of the rows that satisfy keep."""
-    texts: dict[str, list[str]] = {}
-    rows = sampled(docs, keep, SAMPLE_DOCS, SAMPLE_DOC_BYTES, lang_col, id_col, text_col)
-    for row in sorted({(r[lang_col], r[id_col], r[text_col]) for r in rows.collect()}):
-        texts.setdefault(row[0], []).append(row[2])
-    out = {}
-    for lang, found in sorted(texts.items()):
-        share = max(1, DICT_BYTES // len(found))  # every sampled text gives as much
-        out[lang] = b" ".join(letters(t)[:share] for t in found)[-DICT_BYTES:]
-    return out
+    """The dictionary content of each language: the whole texts of a bounded number of the rows that satisfy keep."""
+    rows = docs.filter(keep & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0))
+    langs = [r[lang_col] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()]
+    texts: dict[str, list[bytes]] = {}
+    for lang, _, text in sampled_texts(rows, sampled_ids(rows, lang_col, langs, SAMPLE_DOCS, id_col), lang_col, id_col, text_col):
+        texts.setdefault(lang, []).append(letters(text))
+    return {lang: b" ".join(found) for lang, found in sorted(texts.items())}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> list[zstandard.ZstdCompressor]:
-    params = zstandard.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=16, search_log=2, min_match=4, target_length=8, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
+    """One for each dictionary, all with a window and tables that hold the longest."""
+    reach = max(17, (max(map(len, dictionaries.values()), default=0) + CHUNK_BYTES).bit_length())
+    params = zstandard.ZstdCompressionParameters(window_log=reach, chain_log=reach - 2, hash_log=reach - 1, search_log=2, min_match=4, target_length=8, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
     out = []
     for content in dictionaries.values():
         data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)

@@ -11,8 +11,9 @@ n-grams come last, a passage that many documents share makes no list.  First
 each document of a list meets the least one, and what links is one component;
 then, in lists that still hold several components, documents of different
 components meet.  Pairs whose sizes, or whose sketches (parities of the counts
-in SKETCH_BITS classes of n-grams, which differ in no more classes than the sets
-in n-grams), show that they cannot reach the threshold go no further.
+in some classes of n-grams, which differ in no more classes than the sets in
+n-grams), show that they cannot reach the threshold go no further; sets of many
+n-grams have a wider sketch, which is looked at last.
 
 Verification.  The sets of the pairs left are cut into the fragments of the
 order.  For each pair the partial overlap of every fragment is counted by itself,
@@ -44,7 +45,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -55,8 +55,10 @@ from sluice.llm.components import connected
 
 #: Fragments of the ordinary n-grams; the common ones are one more.
 FRAGMENTS = 4
-#: Classes of a sketch, and documents whose sketches are compared at once.
-SKETCH_BITS, CHUNK = 2048, 2048
+#: Classes of a sketch, and of the wider one that sets of more n-grams than the first has classes have too.
+SKETCH_BITS, WIDE_BITS = 1 << 11, 1 << 15
+#: Documents of a list whose sketches are compared in one place, and sketches of a place compared at once.
+CHUNK, AT_ONCE = 2048, 64
 #: Characters parsed at once, words whose hashes a worker keeps.
 SLICE_BYTES, KNOWN_WORDS = 4 << 20, 1 << 19
 #: How many n-grams a task and the whole count may call common, and the least count of a task's: what is sent to all tasks is bounded by COMMON.
@@ -176,9 +178,9 @@ def prefix(tokens: np.ndarray, ranks: np.ndarray, num: int, den: int) -> np.ndar
     return tokens[np.argsort(ranks, kind="stable")[:size]] if ranks.any() else tokens[:size]
 
 
-def sketch(tokens: np.ndarray) -> bytes:
+def sketch(tokens: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
     """The parity of the number of n-grams in each class."""
-    return np.packbits(np.bincount((tokens & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
 def digest(tokens: np.ndarray) -> bytes:
@@ -195,7 +197,7 @@ def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, num: int, den: int
 
 
 def parsed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, order: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, digest, sketch, prefix) of each row; the last three are null for empty sets."""
+    """(doc_id, n_shingles, digest, sketch, wide, prefix) of each row; all but the first two are null for empty sets, and wide for sets of few n-grams."""
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,83 +214,98 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
                     pa.array(sizes, pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([sketch(s, WIDE_BITS) if len(s) > SKETCH_BITS else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(first).view(np.int64))),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sketch", "prefix"],
+                names=["doc_id", "n_shingles", "digest", "sketch", "wide", "prefix"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary, wide binary, prefix array<long>")
 
 
-def starred(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a document and the least one of a list it is in that may link; lists has (token, rep, pivot)."""
+def starred(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, n_a, b, n_b): a document and the least one of a list it is in, if their sizes allow a link; lists has (token, rep, n, pivot, n_pivot)."""
+    pairs = lists.filter(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b"), F.col("n_pivot").alias("n_b"))
+    return pairs.filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).distinct()
+
+
+def sifted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) of (a, n_a, b, n_b) that their widest sketches let through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = np.asarray(batch.column(1)), np.asarray(batch.column(4))
-            apart = _bits(batch.column(2)) ^ _bits(batch.column(5))
-            keep = pa.array(may_link(n, m, np.bitwise_count(apart).sum(1, dtype=np.int64), num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 3)], names=["a", "b"])
+            n, m = np.asarray(batch.column(1)), np.asarray(batch.column(3))
+            wide = np.asarray(pc.and_(batch.column(5).is_valid(), batch.column(7).is_valid()))
+            apart = np.zeros(batch.num_rows, np.int64)
+            for rows, left, right in ((wide, 5, 7), (~wide, 4, 6)):
+                if rows.any():
+                    x, y = (_bits(batch.column(k).filter(pa.array(rows))) for k in (left, right))
+                    apart[rows] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            keep = pa.array(may_link(n, m, apart, num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 2)], names=["a", "b"])
 
-    side = lambda name: sets.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
-    pairs = lists.filter(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
-    return pairs.select("a", "n_a", "sketch_a", "b", "n_b", "sketch_b").mapInArrow(run, "a long, b long")
+    side = lambda name: sets.select(F.col("rep").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("wide").alias(f"wide_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "n_a", "b", "n_b", "sketch_a", "wide_a", "sketch_b", "wide_b").mapInArrow(run, "a long, b long")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
-    """Sketches as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
+    """Sketches of one width as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def across(lists: DataFrame, sets: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that share a list, are of different components and may link; lists has (token, rep, pivot, docs).
+    """(a, n_a, b, n_b): documents that share a list, are of different components and may link; lists has (token, rep, n, pivot, docs).
 
     A list of many documents is dealt to chunks, and every two chunks meet in a place of their own.
     """
     placed = lists.filter((F.col("docs") > 2) & (F.col("rep") != F.col("pivot"))).join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).filter(F.col("_least") != F.col("_most")).select("token")
-    rows = placed.join(mixed, "token").join(sets.select("rep", "n", "sketch"), "rep")
+    rows = placed.join(mixed, "token").join(sets.select("rep", "sketch"), "rep")
     chunks = F.ceil(F.col("docs") / CHUNK)
     own = F.pmod(F.xxhash64("rep"), chunks)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "sketch")
 
-    def met(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        part = frame["component"].to_numpy()
-        if (part == part[0]).all():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        frame = frame.iloc[np.argsort(frame["n"].to_numpy(), kind="stable")]
-        n, part, rep, own = (frame[c].to_numpy() for c in ("n", "component", "rep", "own"))
-        bits = _bits(pa.array(frame["sketch"], pa.binary()))
-        one = frame["i"].iloc[0] == frame["j"].iloc[0]
-        a, b = [], []
-        for k, upto in enumerate(np.searchsorted(n, n * den // num, side="right").tolist()):
-            to = np.flatnonzero((part[k + 1 : upto] != part[k]) & (one | (own[k + 1 : upto] != own[k]))) + k + 1
-            to = to[may_link(n[k], n[to], np.bitwise_count(bits[to] ^ bits[k]).sum(1, dtype=np.int64), num, den)]
-            a.append(np.full(len(to), rep[k]))
-            b.append(rep[to])
-        return np.concatenate(a), np.concatenate(b)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def met(rep: np.ndarray, part: np.ndarray, n: np.ndarray, own: np.ndarray, one: bool, bits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """The pairs of one place; its documents stand by size, so that those a document can link with follow it closely."""
+        upto = np.searchsorted(n, n * den // num, side="right")
+        for lo in range(0, len(n), AT_ONCE):
+            hi = min(lo + AT_ONCE, len(n))
+            a, b = np.nonzero((np.arange(lo, upto[hi - 1]) > np.arange(lo, hi)[:, None]) & (np.arange(lo, upto[hi - 1]) < upto[lo:hi, None]) & (part[lo : upto[hi - 1]] != part[lo:hi, None]))
+            a, b = a + lo, b + lo
+            if not one:
+                a, b = a[own[a] != own[b]], b[own[a] != own[b]]
+            for k in range(0, len(a), 1 << 14):
+                x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                keep = may_link(n[x], n[y], np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64), num, den)
+                if keep.any():
+                    yield rep[x[keep]], n[x[keep]], rep[y[keep]], n[y[keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            place = rest[["token", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
-            edges = [0, *cuts.tolist()]
-            yield _pairs([met(rest.iloc[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
-            rest = rest.iloc[edges[-1] :]  # the last place may go on
-        if rest is not None and len(rest):
-            yield _pairs([met(rest)])
-
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
-
-
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    a, b = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]).astype(np.int64) for k in (0, 1))
-    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+            if rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            token, i, j, own, rep, part, n = (np.asarray(batch.column(k)) for k in range(7))
+            cuts = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            yield from places(batch, [0, *cuts.tolist()])
+            rest = batch.slice(int(cuts[-1]) if len(cuts) else 0)  # the last place may go on
+        if rest is not None and rest.num_rows:
+            yield from places(rest, [0, rest.num_rows])
+
+    def places(batch: pa.RecordBatch, edges: list[int]) -> Iterator[pa.RecordBatch]:
+        _, i, j, own, rep, part, n = (np.asarray(batch.column(k)) for k in range(7))
+        bits, found = _bits(batch.column(7)), []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if (part[lo:hi] != part[lo]).any():
+                found += met(rep[lo:hi], part[lo:hi], n[lo:hi], own[lo:hi], i[lo] == j[lo], bits[lo:hi])
+        a, n_a, b, n_b = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in range(4))
+        swap = a < b
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, y, x)) for x, y in ((a, b), (n_a, n_b), (b, a), (n_b, n_a))], names=["a", "n_a", "b", "n_b"])
+
+    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
+    return dealt.mapInArrow(run, "a long, n_a long, b long, n_b long").distinct()
 
 
 # -- verification ------------------------------------------------------------
@@ -358,20 +375,20 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
     table, table_path = written(parsed(docs, id_col, text_col, width, num, den, order), "parsed")
     own, others, torn = one_text(spark, table)
     named = own.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    sets, sets_path = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "sets")
+    sets, sets_path = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")), "sets")
 
-    postings = sets.select("rep", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("rep").alias("docs")).filter(F.col("docs") > 1)
+    postings = sets.select("rep", "n", F.explode("prefix").alias("token"))
+    shared = postings.groupBy("token").agg(F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("n_pivot"), F.count("rep").alias("docs")).filter(F.col("docs") > 1)
     lists, lists_path = written(postings.join(shared, "token"), "lists")
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, list[str]]:
-        pairs, pairs_path = written(pairs, "pairs")
+        pairs, pairs_path = written(sifted(pairs, sets, num, den), "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         parts, parts_path = written(fragments(docs, id_col, text_col, width, order, sets.select("rep", "digest").join(ends, "rep")), "fragments")
         links, links_path = written(linked(pairs, parts, num, den), "linked")
         return links, [pairs_path, parts_path, links_path]
 
-    near, near_paths = verified(starred(lists, sets, num, den))
+    near, near_paths = verified(starred(lists, num, den))
     parts, parts_path = connected(near)
     more, more_paths = verified(across(lists, sets, parts, num, den))
     if not more.isEmpty():

@@ -11,7 +11,7 @@ nothing about it.
 Edge cases: a null or empty text has the features of an empty one; null hosts
 and paths are sites of their own; repeated rows count as documents of their
 own; an empty table gives no rows; null ids are kept and null labels not
-trained on; if a class has no example all evidence is 0.5; other columns are
+trained on; of an id's several labels the largest counts, of its texts the least; if a class has no example all evidence is 0.5; other columns are
 ignored.
 """
 
@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import drop_path, sampled_ids, sampled_texts, written
 
-#: Bounds of the training sample: documents of each class, bytes of such a document.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES = 3000, 30_000
+#: Bound of the training sample: documents of each class, taken whole.
+SAMPLE_DOCS = 3000
 #: How much of a site's log odds enters a document's score; bounds of the strength of a prior, in documents.
 SITE_WEIGHT, MIN_STRENGTH, MAX_STRENGTH = 0.5, 2.0, 10_000.0
 _KIND = np.array([1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b in (32, 10, 9, 13) else 6 if b in (44, 46) else 5 for b in range(256)])
@@ -74,11 +74,8 @@ def evidence(text: str | None, model: dict) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
     """A model of single documents from a bounded sample of the labelled rows that satisfy keep."""
-    known = labels.filter(keep & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    rank = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(id_col), id_col))
-    chosen = known.withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE_DOCS).select(id_col, "_label")
-    rows = docs.select(id_col, text_col).filter(F.octet_length(text_col) <= SAMPLE_DOC_BYTES).join(F.broadcast(chosen), id_col)
-    found = sorted({(r["_label"], r[id_col], r[text_col]) for r in rows.collect()})
+    known = labels.filter(keep & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    found = sampled_texts(docs.select(id_col, text_col), sampled_ids(known, "_label", [0, 1], SAMPLE_DOCS, id_col), "_label", id_col, text_col)
     return train([x[2] for x in found], [x[0] for x in found])
 
 
@@ -109,9 +106,9 @@ def score(docs: DataFrame, model: dict, host: Column, path: Column, id_col: str
 
     told = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(host.cast("string"), F.lit("\0")).alias("_host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("_path"), told(F.col(text_col)).alias("evidence"))
-    rows, _ = written(rows, "evidence")
+    rows, rows_path = written(rows, "evidence")
     sums = lambda frame, p: frame.agg(F.count("evidence").alias(f"_n{p}"), F.sum("evidence").alias(f"_s{p}"), F.sum(F.col("evidence") * F.col("evidence")).alias(f"_q{p}"))
-    paths, _ = written(sums(rows.groupBy("_host", "_path"), "p"), "paths")
+    paths, paths_path = written(sums(rows.groupBy("_host", "_path"), "p"), "paths")
     hosts = paths.groupBy("_host").agg(F.sum("_np").alias("_nh"), F.sum("_sp").alias("_sh"), F.sum("_qp").alias("_qh"))
     whole = hosts.agg(F.sum("_sh").alias("s"), F.sum("_nh").alias("n")).first()
     mean = min(max((whole["s"] or 0.5) / (whole["n"] or 1), 0.001), 0.999)
@@ -124,4 +121,6 @@ def score(docs: DataFrame, model: dict, host: Column, path: Column, id_col: str
     out = out.withColumn("path_mean", (F.col("_sp") - F.col("evidence") + by_path * F.col("host_mean")) / (F.col("_np") - 1 + by_path))
     bound = lambda c: F.greatest(F.least(c, F.lit(0.999)), F.lit(0.001))
     out = out.withColumn("score", 1 / (1 + F.exp(-(logit(F.col("evidence")) + SITE_WEIGHT * (logit(bound(F.col("path_mean"))) - logit(F.lit(mean)))))))
-    return out.select(id_col, "evidence", "host_mean", "path_mean", "score", (F.col("score") >= 0.5).alias("keep"))
+    out, _ = written(out.select(id_col, "evidence", "host_mean", "path_mean", "score", (F.col("score") >= 0.5).alias("keep")), "quality")
+    drop_path(docs.sparkSession, rows_path, paths_path)
+    return out

@@ -8,13 +8,14 @@ misspelling shares most n-grams with the word it stands for, it lies near it
 even if it was never seen.  A text's score is that of its worst span, so one
 insult in a long text counts as much as in a short one.
 
-Training knows only labels of whole texts: it starts from every span of a toxic
+Training knows only labels of whole texts: it starts from spans drawn from each
 text, then again and again keeps the worst spans of toxic texts and, as their
 counterpart, the worst and some other spans of clean ones.
 
 Edge cases: a null or empty text, and one without a word, scores as a text
 without evidence does; repeated rows give repeated results; an empty table
-gives no rows; null ids are kept; null labels are not trained on; if a class
+gives no rows; null ids are kept; null labels are not trained on, of an id's
+several labels the largest counts and of its texts the least; if a class
 has no example every score is 0; other columns are ignored.
 """
 
@@ -24,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import give_back, light_batches
+from sluice.llm.common import give_back, light_batches, sampled_ids, sampled_texts
 
-#: Bounds of the training sample: texts of each class, bytes of such a text.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES = 2500, 12_000
+#: Bound of the training sample: texts of each class, taken whole.
+SAMPLE_DOCS = 1500
+#: Bounds of the spans that a text of the sample gives to a round of training: drawn in the first; after it the worst ones of a toxic text, and of a clean one the worst and as many others.
+FIRST_SPANS, TOXIC_SPANS, CLEAN_SPANS = 24, 2, 6
 SIZES, BUCKET_BITS, DIM, SPAN_WORDS = (3, 4, 5, 6), 18, 8, 2
 ROUNDS, BATCH, RATE = 5, 512, 0.5
 #: Every such text of the sample sets the threshold instead of the weights.
@@ -158,10 +161,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> dict:
             if not n or spared:
                 continue
             if turn == 0:
-                pick = rng.permutation(n)[:24]
+                pick = rng.permutation(n)[:FIRST_SPANS]
             else:
                 worst = np.argsort(-model.margins(bag, weights))
-                pick = worst[: 2 if label else 6] if label else np.concatenate([worst[:6], rng.permutation(n)[:6]])
+                pick = worst[:TOXIC_SPANS] if label else np.concatenate([worst[:CLEAN_SPANS], rng.permutation(n)[:CLEAN_SPANS]])
             chosen += [bag.ids[bag.lo[k] : bag.hi[k]] for k in pick]
             marks += [int(label)] * len(pick)
         marks = np.array(marks)
@@ -207,13 +210,9 @@ def score(text: str | None, model: dict) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """A model from a bounded sample of the labelled rows that satisfy keep (a condition on the id)."""
-    known = labels.filter(keep & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    rank = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(id_col), id_col))
-    chosen = known.withColumn("_rank", rank).filter(F.col("_rank") <= 2 * SAMPLE_DOCS).select(id_col, "_label")  # half as many more, as long texts are left out
-    rows = docs.select(id_col, text_col).filter(F.octet_length(text_col).between(1, SAMPLE_DOC_BYTES)).join(F.broadcast(chosen), id_col)
-    found = sorted({(r["_label"], r[id_col], r[text_col]) for r in rows.collect()})
-    texts = [x for v in (0, 1) for x in [y for y in found if y[0] == v][:SAMPLE_DOCS]]
-    return train([x[2] for x in texts], [x[0] for x in texts])
+    known = labels.filter(keep & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    found = sampled_texts(docs.select(id_col, text_col), sampled_ids(known, "_label", [0, 1], SAMPLE_DOCS, id_col), "_label", id_col, text_col)
+    return train([x[2] for x in found], [x[0] for x in found])
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

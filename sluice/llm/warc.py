@@ -14,8 +14,10 @@ an empty member at its end, which ends in zero bytes too.
 
 Edge cases: a null payload is empty; a null url gives no target header; a null
 page id gives a record without one, never chosen as the response where another
-has an id; repeated rows give repeated records; an empty table gives no
-archive and no rows; other columns are ignored.
+has an id, and where none has one all are responses; of records of one page with
+equal payloads the one of the greatest url is the response, and of repeated rows
+one, while the rest revisit it; an empty table gives no archive and no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.common import exists, written
+
 #: Bytes of records after which a new archive begins; what a task holds at once.
 ARCHIVE_BYTES = 12 << 20
 ID_PREFIX = "urn:page:"
@@ -44,19 +48,30 @@ def sha1_base32(payload: bytes) -> str:
 
 
 def typed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, payload, keeper: of records with equal payloads, the largest page id.
+    """page_id, url, payload, keeper (of records with equal payloads, the largest page id) and response (whether the record is the one that others revisit).
 
     The digests are first reduced to one row each; the payloads then meet them in a join, whose skewed partitions AQE splits.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("_digest", F.sha2("payload", 256))
-    keepers = rows.groupBy("_digest").agg(F.max("page_id").alias("keeper"))
-    return rows.join(keepers, "_digest").drop("_digest")
-
-
-def record(page_id, url, payload: bytes, keeper) -> bytes:
+    key = ["_digest", "page_id", "url"]
+    again, _ = written(rows.groupBy(*key).count().filter(F.col("count") > 1), "repeated")
+    rows = rows.withColumn("_copy", F.lit(1))
+    if not again.isEmpty():  # repeated rows are numbered, which takes a row of each and how many there are
+        same = [rows[c].eqNullSafe(again[c]) for c in key]
+        one = rows.join(again, same, "left_semi").dropDuplicates(key)
+        copies = one.join(again.select("count", *[F.col(c).alias(f"{c}_") for c in key]), [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key])
+        copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select(*rows.columns)
+        rows = rows.join(again, same, "left_anti").unionByName(copies)
+    keepers = rows.groupBy("_digest").agg(F.max(F.struct("page_id", "url")).alias("_top"))
+    chosen = F.col("page_id").isNull() | ((F.col("page_id") == F.col("_top.page_id")) & F.col("url").eqNullSafe(F.col("_top.url")) & (F.col("_copy") == 1))
+    response = F.col("_top.page_id").isNull() | (chosen & F.col("page_id").isNotNull())
+    return rows.join(keepers, "_digest").select("page_id", "url", "payload", F.col("_top.page_id").alias("keeper"), response.alias("response"))
+
+
+def record(page_id, url, payload: bytes, keeper, response: bool) -> bytes:
     """One WARC record: a response with the payload, or a revisit of the keeper without it."""
-    revisit = keeper is not None and page_id != keeper
+    revisit = not response
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", "WARC-Date: 1970-01-01T00:00:00Z"]
@@ -92,9 +107,9 @@ def write_archives(typed_pages: DataFrame, path: str, archive_bytes: int = ARCHI
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number, size, out, stream = TaskContext.get().partitionId(), 0, 0, [], None
         for batch in batches:
-            for page_id, url, payload, keeper in zip(batch["page_id"], batch["url"], batch["payload"], batch["keeper"], strict=True):
+            for page_id, url, payload, keeper, response in zip(*(batch[c] for c in ("page_id", "url", "payload", "keeper", "response")), strict=True):
                 stream = stream or zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = record(_whole(page_id), url, bytes(payload), _whole(keeper))
+                data = record(_whole(page_id), url, bytes(payload), _whole(keeper), bool(response))
                 out.append(stream.compress(data))
                 size += len(data)
                 if size >= archive_bytes:
@@ -103,7 +118,7 @@ def write_archives(typed_pages: DataFrame, path: str, archive_bytes: int = ARCHI
         if stream:
             yield pd.DataFrame([_row(f"pages-{part:06d}-{number:06d}", "monolithic", b"".join(out) + stream.flush())])
 
-    _save(typed_pages.select("page_id", "url", "payload", "keeper").mapInPandas(pack, "kind string, name string, value binary"), path)
+    _save(typed_pages.select("page_id", "url", "payload", "keeper", "response").mapInPandas(pack, "kind string, name string, value binary"), path)
 
 
 def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -146,6 +161,8 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
 
 
 def _archives(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    if not exists(spark, f"{path}/kind={kind}"):  # no archive was written
+        return spark.createDataFrame([], "name string, content binary")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/kind={kind}")
     return files.select(F.regexp_extract("path", r"/name=([^/]+)/", 1).alias("name"), "content")
 
@@ -171,20 +188,44 @@ def normalise(spark: SparkSession, source: str, target: str) -> None:
     _save(_archives(spark, source, "monolithic").mapInPandas(rewrite, "kind string, name string, value binary"), target)
 
 
+def members(data: bytes, step: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each member of a gzip file."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        stream, out, to = zlib.decompressobj(31), [], at
+        while not stream.eof:
+            if to >= len(view):
+                raise ValueError("an archive ends within a member")
+            out.append(stream.decompress(view[to : to + step]))
+            to = min(to + step, len(view))
+        to -= len(stream.unused_data)
+        yield at, to - at, b"".join(out)
+        at = to
+
+
+def read_members(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
+    """The records of some index entries (archive, offset, length): only their members are inflated."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content, found in zip(batch["name"], batch["content"], batch["found"], strict=True):
+                for e in found:
+                    data = zlib.decompress(memoryview(content)[e["offset"] : e["offset"] + e["length"]], 31)
+                    rows += [(*described(headers, block), name, e["offset"], e["length"]) for headers, block, _ in records(iter([data]))]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD_SCHEMA.split(", ")], dtype=object)
+
+    wanted = entries.groupBy(F.col("archive").alias("name")).agg(F.collect_set(F.struct("offset", "length")).alias("found"))  # at most the members of one archive
+    return _archives(spark, path, "archive").join(wanted, "name").select("name", "content", "found").mapInPandas(read, RECORD_SCHEMA)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of the normalised archives under path, with where its member lies."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"], strict=True):
-                rows, at = [], 0
-                while at < len(content):
-                    stream = zlib.decompressobj(31)
-                    data = stream.decompress(memoryview(content)[at:])
-                    length = len(content) - at - len(stream.unused_data)
-                    for headers, block, _ in records(iter([data])):
-                        rows.append((*described(headers, block), name, at, length))
-                    at += length
+                rows = [(*described(headers, block), name, at, length) for at, length, data in members(content) for headers, block, _ in records(iter([data]))]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD_SCHEMA.split(", ")], dtype=object)
 
     return _archives(spark, path, "archive").mapInPandas(read, RECORD_SCHEMA)
