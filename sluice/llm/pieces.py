@@ -94,6 +94,8 @@ class Sampler:
         hashes = self._hashes(self._sums(flat), ends - lengths, ends)
         order = np.argsort(hashes)
         self.hashes, self.found = hashes[order], np.array([prefixes[x] for x in keys])[order]
+        sizes = np.array([len(t) for t in self.texts])
+        self.bytes, self.sizes, self.starts = np.frombuffer(b"".join(self.texts), np.uint8), sizes, np.cumsum(sizes) - sizes
         if self.longest > 63 or (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("a piece is too long, or two piece prefixes have one hash")
 
@@ -220,6 +222,15 @@ class Sampler:
         edges = np.concatenate([[0], np.cumsum(sizes)])
         return out.astype(np.int32), np.diff(total[edges])
 
+    def lossless(self, ids: np.ndarray, counts: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Whether the bytes of each text's pieces are those of the text after a space."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        found = self.bytes[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(sizes.sum())].tobytes()
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        want = [b" " + t.encode() if t else b"" for t in texts]
+        return np.array([found[a:b] == w for a, b, w in zip(edges[:-1], edges[1:], want, strict=True)], bool)
+
     def decode(self, ids) -> str:
         """The text of piece ids."""
         return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -248,8 +259,7 @@ def encode(docs: DataFrame, vocabulary: dict, key: str = "doc_id", text: str = "
                 texts = batch.column(text).to_pylist()
                 ids, sizes = sampler.encode([t or "" for t in texts], [k or 0 for k in batch.column(key).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                flat = ids.tolist()
-                same = [t is None or sampler.decode(flat[a:b]) == t for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                same = sampler.lossless(ids, sizes, texts)
                 nulls = pa.array(np.append([t is None for t in texts], False)) if None in texts else None
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=None if nulls is None else np.asarray(nulls)), pa.array(ids, pa.int32()))
                 give_back()
