@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def give_back() -> None:
     """Return freed memory to the system: a Python worker lives on between stages, and what it keeps is the executor's loss."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

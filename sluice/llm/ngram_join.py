@@ -59,13 +59,13 @@ FRAGMENTS = 4
 SKETCH_BITS, WIDE_BITS = 1 << 11, 1 << 15
 #: Documents of a list whose sketches are compared in one place, and sketches of a place compared at once.
 CHUNK, AT_ONCE = 2048, 64
-#: Characters parsed at once, words whose hashes a worker keeps.
-SLICE_BYTES, KNOWN_WORDS = 4 << 20, 1 << 19
+#: Bytes of text parsed at once, words whose hashes a task keeps.
+SLICE_BYTES, KNOWN_WORDS = 4 << 20, 1 << 17
 #: How many n-grams a task and the whole count may call common, and the least count of a task's: what is sent to all tasks is bounded by COMMON.
 COMMON, LEAST_COUNT = 1 << 16, 4
 
 
-class _Words(dict):
+class Words(dict):
     """Hashes of words, kept as long as there are not too many."""
 
     def __missing__(self, word: str) -> int:
@@ -75,10 +75,7 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
-def shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
+def shingles(texts: pa.Array, width: int, words: Words) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its n-grams of words."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     sizes = np.asarray(pc.list_value_length(lists))
@@ -88,7 +85,7 @@ def shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
     if "" in names:  # before and after white space at the ends
         real = code != names.index("")
         code, owner = code[real], owner[real]
-    word = np.fromiter(map(_WORDS.__getitem__, names), np.uint64, len(names))[code]
+    word = np.fromiter(map(words.__getitem__, names), np.uint64, len(names))[code]
     counts = np.bincount(owner, minlength=len(sizes))
     edges = np.concatenate([[0], np.cumsum(counts)])
     rolled = _rolled(word, width)
@@ -135,9 +132,9 @@ def common(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, times = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, times, words = np.empty(0, np.uint64), np.empty(0, np.int64), Words()
         for batch in _slices(batches, 0):
-            own, n = np.unique(np.concatenate([np.empty(0, np.uint64), *shingles(batch.column(0), width)]), return_counts=True)
+            own, n = np.unique(np.concatenate([np.empty(0, np.uint64), *shingles(batch.column(0), width, words)]), return_counts=True)
             held, at = np.unique(np.concatenate([held, own[n > 1]]), return_inverse=True)
             times = np.bincount(at, np.concatenate([times, n[n > 1]]), len(held)).astype(np.int64)
             held, times = held[times > 1], times[times > 1] - 1
@@ -201,9 +198,9 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Order(held.value)
+        place, words = Order(held.value), Words()
         for batch in _slices(batches, 1):
-            sets = shingles(batch.column(1), width)
+            sets = shingles(batch.column(1), width, words)
             sizes = np.array([len(s) for s in sets])
             ranks, ends = place.ranks(np.concatenate(sets)), np.cumsum(sizes)
             first = [prefix(s, ranks[e - len(s) : e], num, den) for s, e in zip(sets, ends.tolist(), strict=True)]
@@ -317,10 +314,10 @@ def fragments(docs: DataFrame, id_col: str, text_col: str, width: int, order: np
     held, place = context.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("key")), "key")), context.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Order(place.value)
+        known, words = Order(place.value), Words()
         for batch in _slices(batches, 1):
             batch = batch.filter(pa.array(in_bitmap(held.value, np.asarray(batch.column(2)))))
-            sets = shingles(batch.column(1), width)
+            sets = shingles(batch.column(1), width, words)
             rows = [(key, digest(s), len(s), f, part.tobytes()) for key, s in zip(batch.column(0).to_pylist(), sets, strict=True) for f, part in enumerate(known.fragments(s)) if len(part)]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["rep", "digest", "n", "fragment", "tokens"])

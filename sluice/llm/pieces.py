@@ -40,7 +40,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL_MARK = "▁", "\ud800"  # a text that holds the mark itself has a lone surrogate, which no text can hold, in its place
 PARTS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Characters whose lattices are built together: what bounds a task's memory beside one text.
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 #: Probabilities are whole multiples of 1 / DRAW.
 DRAW = 1 << 39
 

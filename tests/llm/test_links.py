@@ -133,7 +133,7 @@ def test_a_document_with_two_texts_has_one_set(spark):
     rows = [(1, texts["a"]), (1, texts["b"]), (1, texts["b"]), (1, ""), (2, texts["a"]), (3, texts["b"])]
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r["doc_id"], r["n_shingles"]) for r in got) == [(1, 0), (1, 26), (1, 26), (1, 26), (2, 26), (3, 26)]
-    own = min("ab", key=lambda k: ngram_join.digest(ngram_join.shingles(pa.array([texts[k]]), 5)[0]))
+    own = min("ab", key=lambda k: ngram_join.digest(ngram_join.shingles(pa.array([texts[k]]), 5, ngram_join.Words())[0]))
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1 if own == "a" else 2), (3, 1 if own == "b" else 3)}
 
 
