@@ -14,33 +14,37 @@ CASTAGNOLI = 0x82F63B78
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def fold_u64(state: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """FNV-1a states after the eight bytes of each value, least first."""
-    for k in range(8):
+def fold_bytes(state: np.ndarray, values: np.ndarray, width: int = 8) -> np.ndarray:
+    """FNV-1a states after the lowest width bytes of each value, least first."""
+    for k in range(width):
         state = (state ^ ((values >> np.uint64(8 * k)) & np.uint64(0xFF))) * np.uint64(FNV_PRIME)
     return state
 
 
-@F.pandas_udf(LongType())
-def _fnv_longs(fields: pd.Series) -> pd.Series:
-    sizes = np.array([len(x) for x in fields], np.int64)
-    state = np.full(len(fields), FNV_OFFSET, np.uint64)
-    width = int(sizes.max()) if len(sizes) else 0
-    for k in range(width):
-        on = sizes > k
-        values = np.array([x[k] for x, ok in zip(fields, on, strict=True) if ok], np.int64).view(np.uint64)
-        state[on] = fold_u64(state[on], values)
-    return pd.Series(state.view(np.int64))
-
-
-def fnv_of_longs(*fields: Column) -> Column:
-    """FNV-1a of long fields in order, nulls as 0; the result is the digest's two's complement."""
-    return _fnv_longs(F.array(*[F.coalesce(f.cast("long"), F.lit(0)) for f in fields]))
-
-
-def fnv_of_list(values: Column) -> Column:
-    """FNV-1a of an array of longs, preceded by its size."""
-    return _fnv_longs(F.concat(F.array(F.size(values).cast("long")), values))
+def fnv(*fields: Column, widths: tuple[int, ...] | None = None, listed: int | None = None) -> Column:
+    """FNV-1a of whole fields in order, nulls as 0, as the digest's two's complement.
+
+    widths: bytes of each field, 8 if not said; listed: the place of a field that is an array, which is folded in ascending
+    order after its size.
+    """
+    sizes = widths or (8,) * len(fields)
+
+    @F.pandas_udf(LongType())
+    def digest(*columns: pd.Series) -> pd.Series:
+        state = np.full(len(columns[0]), FNV_OFFSET, np.uint64)
+        for place, (column, width) in enumerate(zip(columns, sizes, strict=True)):
+            if place != listed:
+                state = fold_bytes(state, column.to_numpy(np.int64).view(np.uint64), width)
+                continue
+            counts = column.map(len).to_numpy(np.int64)
+            state = fold_bytes(state, counts.view(np.uint64))
+            flat, starts = np.array([x for row in column for x in sorted(row)], np.int64).view(np.uint64), np.cumsum(counts) - counts
+            for k in range(int(counts.max(initial=0))):
+                on = np.flatnonzero(counts > k)
+                state[on] = fold_bytes(state[on], flat[starts[on] + k])
+        return pd.Series(state.view(np.int64))
+
+    return digest(*[f if k == listed else F.coalesce(f.cast("long"), F.lit(0)) for k, f in enumerate(fields)])
 
 
 def crc_table() -> np.ndarray:

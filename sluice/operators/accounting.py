@@ -31,42 +31,42 @@ def disposition_counts(answers: DataFrame) -> DataFrame:
     return answers.agg(F.count("disposition").alias("completion_reports_received"), count("applied").alias("completions_applied"), count("idempotent-duplicate").alias("completions_duplicate"), count("rejected").alias("completions_rejected"))
 
 
-def report(state: DataFrame, attempts: DataFrame, answers: DataFrame, entries: DataFrame, epoch: int) -> DataFrame:
-    """One row with all counters that the identities need."""
+def report(state: DataFrame, attempts: DataFrame, answers: DataFrame, entries: DataFrame, epoch: int, rounds: int) -> DataFrame:
+    """One row with all counters that the identities need; rounds: how many have been run."""
     issued = entries.agg(F.count_distinct("schedule_id").alias("schedules_issued"), F.count("flow_id").alias("schedule_entries_issued"), F.count_if(c("kind") == "preempt").alias("preemptions_issued"))
-    misses = state.agg(F.count_if(c("deadline_missed_counted")).alias("deadline_misses"))
+    misses = state.agg(F.count_if(c("deadline_missed_counted")).alias("deadline_misses"), F.coalesce(F.sum("starvation_boosts"), F.lit(0)).cast("long").alias("starvation_boosts"))
     parts = [frame.withColumn("_k", F.lit(0)) for frame in (lifecycle_gauges(state), attempt_gauges(attempts), disposition_counts(answers), issued, misses)]
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, "_k")
-    return out.drop("_k").withColumn("epoch", F.lit(epoch).cast("long"))
+    return out.drop("_k").withColumns({"epoch": F.lit(epoch).cast("long"), "arbitration_rounds": F.lit(rounds).cast("long")})
 
 
 def closure() -> Column:
-    """The first identity that a report breaks, or 'ok'."""
+    """A code for the first identity that a report breaks, or 'ok'."""
     total = sum((c(name.replace("-", "_")) for name in LIFECYCLES[1:]), c(LIFECYCLES[0]))
     tries = sum((c(f"attempts_{name}") for name in ATTEMPT_STATES[1:]), c(f"attempts_{ATTEMPT_STATES[0]}"))
     return first_match(
         [
-            (total != c("total_flows"), "lifecycle buckets do not sum to the flow count"),
-            ((c("cancelling") != 0) | (c("preempting") != 0), "a flow rests in a transient state"),
-            (tries != c("attempts_total"), "attempt states do not sum to the attempt count"),
-            (c("completions_duplicate") + c("completions_rejected") > c("completion_reports_received"), "dispositions outnumber reports"),
-            ((c("outstanding_reserved_units") > 0) & (c("attempts_open") + c("attempts_started") + c("scheduled") == 0), "service is reserved with nothing to hold it"),
-            ((c("schedules_issued") > 0) & (c("schedule_entries_issued") < c("schedules_issued")), "a schedule was issued without entries"),
-            (c("deadline_misses") > c("total_flows") + c("cancelled") + c("completed") + c("failed"), "deadline misses exceed the flows"),
-            (c("epoch") == 0, "no epoch is established"),
+            (total != c("total_flows"), "flows-by-state"),
+            ((c("cancelling") != 0) | (c("preempting") != 0), "transient-at-rest"),
+            (tries != c("attempts_total"), "attempts-by-state"),
+            (c("completions_duplicate") + c("completions_rejected") > c("completion_reports_received"), "more-answers-than-reports"),
+            ((c("outstanding_reserved_units") > 0) & (c("attempts_open") + c("attempts_started") + c("scheduled") == 0), "reserved-by-nobody"),
+            ((c("schedules_issued") > 0) & (c("schedule_entries_issued") < c("schedules_issued")), "empty-schedule"),
+            (c("deadline_misses") > c("total_flows") + c("cancelled") + c("completed") + c("failed"), "more-misses-than-flows"),
+            (c("epoch") == 0, "no-epoch"),
         ],
         "ok",
     )
 
 
-#: What the one-line report shows: label and column expression.
+# What the one-line report shows, as label and column expression, in its order.
 LINE = (
     ("flows", "total_flows"), ("waiting", "waiting"), ("ready", "ready"), ("scheduled", "scheduled"), ("in-flight", "dispatched + running + completion_reported"), ("completed", "completed"), ("cancelled", "cancelled"), ("failed", "failed"),
     ("ambiguous", "ambiguous"), ("attempts", "attempts_total"), ("open", "attempts_open + attempts_started"), ("committed", "attempts_committed"), ("preempted", "attempts_preempted"), ("cancelled-attempts", "attempts_cancelled"),
     ("abandoned", "attempts_abandoned"), ("rejected-attempts", "attempts_rejected"), ("reports", "completion_reports_received"), ("applied", "completions_applied"), ("duplicates", "completions_duplicate"), ("rejected-completions", "completions_rejected"),
-    ("schedules", "schedules_issued"), ("entries", "schedule_entries_issued"), ("preemptions", "preemptions_issued"), ("deadline-misses", "deadline_misses"), ("reserved", "outstanding_reserved_units"), ("credit", "service_credit_total"), ("epoch", "epoch"),
+    ("schedules", "schedules_issued"), ("entries", "schedule_entries_issued"), ("rounds", "arbitration_rounds"), ("preemptions", "preemptions_issued"), ("boosts", "starvation_boosts"), ("deadline-misses", "deadline_misses"), ("reserved", "outstanding_reserved_units"), ("credit", "service_credit_total"), ("epoch", "epoch"),
 )
 
 
@@ -77,10 +77,13 @@ def line() -> Column:
 
 def wait_percentiles(waits: DataFrame, column: str = "wait_ticks", shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """One row per share: the value at place floor(share * (n - 1) + 0.5) of all values in order."""
-    spread = waits.groupBy(c(column).alias("value")).agg(F.count(F.lit(1)).alias("times"))  # few distinct values instead of all rows
-    upto = spread.withColumn("upto", F.sum("times").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    total = F.sum("times").over(Window.partitionBy(F.lit(0)))
-    ranked = upto.withColumn("n", total)
+    spread = waits.groupBy(c(column).alias("value")).agg(F.count(F.lit(1)).alias("_times"))
+    block = F.floor(c("value") / 4096)
+    sizes = spread.groupBy(block.alias("_block")).agg(F.sum("_times").alias("_n"))  # one row for each block of values
+    upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_block", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("n"))
+    inside = F.sum("_times").over(Window.partitionBy("_block").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = spread.withColumn("_block", block).join(sizes, "_block").withColumn("upto", c("_before") + inside)
     asked = ranked.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
     place = F.floor(c("share") * (c("n") - 1) + 0.5)
-    return asked.filter((place >= c("upto") - c("times")) & (place < c("upto"))).select("share", c("value").cast("long").alias("value"))
+    return asked.filter((place >= c("upto") - c("_times")) & (place < c("upto"))).select("share", c("value").cast("long").alias("value"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators import assign, ranking, readiness
 from sluice.policy import Policy
+from sluice.sources.shared import written
 
 c = F.col
 
@@ -42,45 +44,58 @@ def candidates(world: World, policy: Policy, now: int) -> DataFrame:
     return rows.withColumn("reservation_left", F.greatest(c("_res_capacity") - c("_res_used"), F.lit(0)))
 
 
-def round_decisions(world: World, policy: Policy, now: int, exact_fold: bool | None = None, only: Column | None = None, rest: bool = True) -> DataFrame:
-    """A row per waiting or ready flow: flow_id, resource_id, tier, grant, decision, victim, victim_attempt, step.
+def decide(world: World, policy: Policy, now: int, exact_fold: bool | None = None) -> DataFrame:
+    """The ready flows in full, with grant, decision, victim and victim_attempt, and the other open ones with why they do not run.
 
-    only: a condition on the flows that take part; rest: whether those that are not ready get a row too.
-
-    exact_fold: whether to fold resources in order; by default a look at the candidates decides: the closed form is exact
-    unless a ready flow has a reservation, or one that meets a full resource may displace the worst incumbent.
+    Resources where a ready flow has a reservation, or may displace an incumbent, are folded in order; the others take the
+    closed form, which is exact there (exact_fold forces one of the two on all).  Then two cuts apply, both found from a
+    bounded number of rows: once the throttle is spent nobody displaces, and once the entries are full nobody runs.
     """
-    rows = candidates(world, policy, now)
+    rows, _ = written(candidates(world, policy, now), "candidates")
     open_ = rows.filter(c("lifecycle").isin("waiting", "ready", "ambiguous"))
-    if only is not None:
-        open_ = open_.filter(only)
     unbound = (c("_resource").isNull()) | (c("_resource") != c("resource_generation"))
-    ready = open_.filter((c("reason") == "selected") & ~unbound)
-    worst = assign.incumbents(rows)
-    ready = ready.join(worst, "resource_id", "left")
+    ready = open_.filter((c("reason") == "selected") & ~unbound).join(assign.incumbents(rows), "resource_id", "left")
     refusal = F.when(c("worst").isNull(), "concurrency-limit-reached").otherwise(assign.verdict(policy, now, world.spent))
     ready = ready.withColumn("refusal", refusal)
+    nothing = F.lit(None).cast("long")
+    parts = []
     if exact_fold is None:
-        exact_fold = bool(ready.filter(c("reservation_id").isNotNull() | c("refusal").isNull()).take(1))
-    if exact_fold:
-        held = rows.filter(c("open_attempt").isNotNull())
-        at_stake = ready.filter(c("refusal").isNull()).limit(policy.max_preemptions_per_interval - world.spent + 1).count() if policy.preemption != "none" else 0
-        together = at_stake > policy.max_preemptions_per_interval - world.spent or ready.limit(policy.entry_limit + 1).count() > policy.entry_limit
-        folded = assign.fold(ready, held, policy, now, world.spent, policy.entry_limit if together else None, together)
-        decided = ready.select("flow_id", "resource_id", "tier").join(folded, "flow_id").drop("victim_generation")
+        ordered = ready.groupBy("resource_id").agg(F.max((c("reservation_id").isNotNull() | c("refusal").isNull()).cast("int")).alias("_fold"))
+        ready = ready.join(ordered, "resource_id")
     else:
-        granted = assign.closed_form(ready)
-        # beyond the entry limit nothing is granted any more, and every later candidate says so
-        taken = ranking.positions(granted.filter(c("decision") == "selected"), policy.entry_limit + 1).filter(c("position") > policy.entry_limit)
-        cut = taken.select(ranking.order_struct().alias("key")).first()
-        late = F.lit(False) if cut is None else ranking.order_struct() >= F.struct(*[F.lit(v).cast(t).alias(k) for (k, v), t in zip(cut["key"].asDict().items(), ("int", "long", "long", "long", "long", "long", "long"), strict=True)])
-        granted = granted.withColumn("_late", late)
-        nothing = F.lit(None).cast("long")
-        decided = granted.select("flow_id", "resource_id", "tier", F.when(c("_late"), F.lit(0)).otherwise(c("grant")).alias("grant"), F.when(c("_late"), "schedule-entry-limit-reached").otherwise(c("decision")).alias("decision"), nothing.alias("victim"), nothing.alias("victim_attempt"), nothing.alias("step"))
-    if not rest:
-        return decided.withColumn("grant", c("grant").cast("long"))
-    nothing = F.lit(None).cast("long")
-    others = open_.filter((c("reason") != "selected") | unbound)
+        ready = ready.withColumn("_fold", F.lit(int(exact_fold)))
+    if exact_fold is not True:
+        closed = assign.closed_form(ready.filter(c("_fold") == 0))
+        parts.append(closed.withColumn("victim", nothing).withColumn("victim_attempt", nothing))
+    if exact_fold is not False:
+        hard, held = ready.filter(c("_fold") == 1), rows.filter(c("open_attempt").isNotNull())
+        if exact_fold is None:
+            held = held.join(ordered.filter(c("_fold") == 1), "resource_id", "left_semi")
+        left = policy.max_preemptions_per_interval - world.spent
+        folded = written(assign.fold(hard, held, policy, now, (-1,) if left <= 0 else None), "folded")[0]
+        if policy.preemption != "none" and left > 0:
+            displacing = hard.join(folded.filter(c("victim").isNotNull()).select("flow_id"), "flow_id", "left_semi").orderBy(*ranking.ordering()).limit(left + 1)
+            keys = sorted(assign.key_of(r) for r in displacing.select(*ranking.KEY).collect())  # at most one more than the throttle allows
+            if len(keys) > left:
+                folded = written(assign.fold(hard, held, policy, now, keys[left - 1]), "folded")[0]
+        parts.append(hard.join(folded, "flow_id"))
+    decided = reduce(DataFrame.unionByName, [p.select(*ready.columns, c("grant").cast("long").alias("grant"), "decision", "victim", "victim_attempt") for p in parts])
+    makes = (c("grant") > 0).cast("int") + c("victim").isNotNull().cast("int")
+    first = decided.filter(makes > 0).orderBy(*ranking.ordering()).limit(policy.entry_limit).select(*ranking.KEY, makes.alias("_makes")).collect()  # the entry limit is bounded
+    entries = 0
+    for r in first:
+        entries += r["_makes"]
+        if entries >= policy.entry_limit:
+            last = zip(assign.key_of(r), ("int", "long", "long", "long", "long", "long", "long"), ("tier", "rank", "d", "key_stamp", "w", "flow_id", "generation"), strict=True)
+            late = ranking.order_struct() > F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in last])
+            decided = decided.withColumn("_late", late).withColumns({"grant": F.when(c("_late"), F.lit(0).cast("long")).otherwise(c("grant")), "decision": F.when(c("_late"), "schedule-entry-limit-reached").otherwise(c("decision"))})
+            decided = decided.withColumns({k: F.when(~c("_late"), c(k)) for k in ("victim", "victim_attempt")}).drop("_late")
+            break
     why = F.when(c("reason") != "selected", c("reason")).otherwise("resource-unavailable")
-    others = others.select("flow_id", "resource_id", "tier", F.lit(0).cast("long").alias("grant"), why.alias("decision"), nothing.alias("victim"), nothing.alias("victim_attempt"), nothing.alias("step"))
-    return decided.withColumn("grant", c("grant").cast("long")).unionByName(others)
+    others = open_.filter((c("reason") != "selected") | unbound).select("*", F.lit(0).cast("long").alias("grant"), why.alias("decision"), nothing.alias("victim"), nothing.alias("victim_attempt"))
+    return decided.unionByName(others, allowMissingColumns=True).drop("worst", "incumbents", "refusal", "_fold")
+
+
+def round_decisions(world: World, policy: Policy, now: int, exact_fold: bool | None = None) -> DataFrame:
+    """A row per waiting, ready or ambiguous flow: flow_id, resource_id, tier, grant, decision, victim, victim_attempt."""
+    return decide(world, policy, now, exact_fold).select("flow_id", "resource_id", "tier", "grant", "decision", "victim", "victim_attempt")

@@ -5,8 +5,9 @@ order, get what is left of its capacity, which is a prefix sum; the overlap
 ceiling is a prefix count.  Both are window aggregates over one partitioning by
 resource (`closed_form`).  Where a reservation is shared or an incumbent may be
 displaced, each step depends on the last; then every resource is folded in
-order (`fold`).  Resources are independent of each other but for the entry
-limit and the displacement throttle; `assign` looks which of the two applies.
+order (`fold`), resources in parallel.  They are independent of each other but
+for the entry limit and the displacement throttle, which cut the order of all at
+one key each (`arbitrate.decide`).
 """
 
 from __future__ import annotations
@@ -86,90 +87,88 @@ def verdict(policy: Policy, now: int, spent: Column | int = 0) -> Column:
     )
 
 
-FOLDED = "flow_id long, grant long, decision string, victim long, victim_attempt long, victim_generation long, step long"
-
-
-def _fold(frame: pd.DataFrame, policy: Policy, now: int, spent: int, limit: int | None) -> Iterator[tuple]:
-    """One pass over candidates in order; held rows (kind 1) are incumbents."""
-    live: dict[int, list[dict]] = {}
-    for r in frame[frame["kind"] == 1].to_dict("records"):
-        live.setdefault(int(r["resource_id"]), []).append(r)
-    for rows in live.values():
-        rows.sort(key=_key)
-    flight: dict[int, int] = {}
-    charged: dict[int, int] = {}
-    booked: dict[int, int] = {}
-    entries = 0
-    for r in sorted(frame[frame["kind"] == 0].to_dict("records"), key=_key):
-        res, victim = int(r["resource_id"]), None
-        if limit is not None and entries >= limit:
-            yield r, 0, "schedule-entry-limit-reached", None, entries
-            continue
-        flight.setdefault(res, int(r["in_flight"]))
-        if flight[res] >= r["max_overlap"]:
-            own = live.get(res)
-            if not own:
-                yield r, 0, "concurrency-limit-reached", None, entries
-                continue
-            refusal = _refusal(r, own[-1], policy, now, spent)
+FOLDED = "flow_id long, grant long, decision string, victim long, victim_attempt long"
+
+
+class _Resource:
+    """What a pass over one resource's candidates keeps: its incumbents, the worst last, and what this round has placed."""
+
+    def __init__(self) -> None:
+        self.live: list = []
+        self.placed = self.charged = 0
+        self.booked: dict[int, int] = {}
+
+    def decide(self, r, policy: Policy, now: int, until: tuple | None) -> tuple[int, str, object]:
+        """(grant, decision, victim) of the next candidate in order."""
+        victim = None
+        if r.in_flight + self.placed >= r.max_overlap:
+            if not self.live:
+                return 0, "concurrency-limit-reached", None
+            refusal = _refusal(r, self.live[-1], policy, now, until)
             if refusal:
-                yield r, 0, refusal, None, entries
-                continue
-            victim, spent, entries = own.pop(), spent + 1, entries + 1
-            flight[res] -= 1
-        room = max(0, int(r["capacity_left"]) - charged.get(res, 0))
-        bound = r["reservation_id"] is not None and not pd.isna(r["reservation_id"])
-        slack = max(0, int(r["reservation_left"]) - booked.get(int(r["reservation_id"]), 0)) if bound else None
-        grant = min(int(r["want"]), room, slack if bound else room)
+                return 0, refusal, None
+            victim = self.live.pop()
+            self.placed -= 1
+        room, bound = max(0, r.capacity_left - self.charged), not pd.isna(r.reservation_id)
+        slack = max(0, int(r.reservation_left) - self.booked.get(int(r.reservation_id), 0)) if bound else room
+        grant = int(min(r.want, room, slack))
         if grant == 0:
-            left = int(r["estimated_work"]) - int(r["served_work"])
-            why = "no-legal-quantum" if left <= 0 else "resource-capacity-exhausted" if room == 0 else "reservation-exhausted" if slack == 0 else "no-legal-quantum"
-            yield r, 0, why, victim, entries
-            continue
-        entries += 1
-        flight[res] += 1
-        charged[res] = charged.get(res, 0) + grant
+            left = r.estimated_work - r.served_work
+            return 0, "no-legal-quantum" if left <= 0 else "resource-capacity-exhausted" if room == 0 else "reservation-exhausted" if slack == 0 else "no-legal-quantum", victim
+        self.placed, self.charged = self.placed + 1, self.charged + grant
         if bound:
-            booked[int(r["reservation_id"])] = booked.get(int(r["reservation_id"]), 0) + grant
-        yield r, grant, "selected", victim, entries
+            self.booked[int(r.reservation_id)] = self.booked.get(int(r.reservation_id), 0) + grant
+        return grant, "selected", victim
 
 
-def _key(r: dict) -> tuple:
-    deadline = r["key_deadline"]
-    return r["tier"], r["rank"], (1 << 63) if deadline is None or pd.isna(deadline) else deadline, r["key_stamp"], -r["weight"], r["flow_id"], r["generation"]
+def key_of(r) -> tuple:
+    """A row's place in the order as a comparable value."""
+    return r.tier, r.rank, (1 << 63) - 1 if pd.isna(r.key_deadline) else int(r.key_deadline), r.key_stamp, -r.weight, r.flow_id, r.generation
 
 
-def _refusal(r: dict, w: dict, policy: Policy, now: int, spent: int) -> str | None:
+def _refusal(r, w, policy: Policy, now: int, until: tuple | None) -> str | None:
     if policy.preemption == "none":
         return "preemption-disabled"
-    if w["preemption_protected"] or not w["preemptible"]:
+    if w.preemption_protected or not w.preemptible:
         return "incumbent-not-preemptible"
-    if w["served_work"] < policy.min_preempt_service or spent >= policy.max_preemptions_per_interval:
+    if w.served_work < policy.min_preempt_service or (until is not None and key_of(r) > until):
         return "preemption-throttled"
-    overdue = not pd.isna(w["deadline_tick"]) and w["deadline_tick"] <= now
-    above, better = r["tier"] < w["tier"], r["rank"] < w["rank"]
-    urgent = r["tier"] == 0 and w["tier"] != 0
+    overdue = not pd.isna(w.deadline_tick) and w.deadline_tick <= now
+    above, better = r.tier < w.tier, r.rank < w.rank
+    urgent = r.tier == 0 and w.tier != 0
     allowed = {"strict-priority": better, "deadline": urgent, "tiered": above or better}[policy.preemption]
     return None if allowed or overdue else "preemption-not-authorized"
 
 
-_FOLD_COLUMNS = ("kind", "resource_id", "flow_id", "generation", "tier", "rank", "key_deadline", "key_stamp", "weight", "want", "capacity_left", "in_flight", "max_overlap", "reservation_id", "reservation_left", "estimated_work", "served_work", "preemption_protected", "preemptible", "deadline_tick", "open_attempt")
+_FOLD_COLUMNS = ("resource_id", "kind", "flow_id", "generation", "tier", "rank", "key_deadline", "key_stamp", "weight", "want", "capacity_left", "in_flight", "max_overlap", "reservation_id", "reservation_left", "estimated_work", "served_work", "preemption_protected", "preemptible", "deadline_tick", "open_attempt")
 
 
-def fold(candidates: DataFrame, held: DataFrame, policy: Policy, now: int, spent: int = 0, limit: int | None = None, together: bool = False) -> DataFrame:
-    """The sequential pass: per resource in parallel, or over all together where the throttle or the entry limit may bind.
+def fold(candidates: DataFrame, held: DataFrame, policy: Policy, now: int, until: tuple | None = None) -> DataFrame:
+    """The sequential pass over each resource, as rows of FOLDED; held are the incumbents.
 
-    Rows of FOLDED; step numbers the entries of the pass.  A resource's candidates are one group, as each grant depends on all before it.
+    Every resource is one sorted stream, of which a task keeps the incumbents and a few sums, however many candidates there
+    are.  until: the key of the last candidate that may displace (all may if it is None).
     """
-    rows = candidates.withColumn("kind", F.lit(0)).withColumn("open_attempt", F.lit(None).cast("long"))
+    rows = candidates.withColumn("kind", F.lit(1)).withColumn("open_attempt", F.lit(None).cast("long"))
     for name in ("want", "capacity_left", "in_flight", "max_overlap", "reservation_left"):
         held = held.withColumn(name, F.lit(0).cast("long"))
-    rows = rows.select(*_FOLD_COLUMNS).unionByName(held.withColumn("kind", F.lit(1)).select(*_FOLD_COLUMNS))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.astype(object).where(frame.notna(), None)
-        out = [(int(r["flow_id"]), g, why, *((int(v["flow_id"]), int(v["open_attempt"]), int(v["generation"])) if v else (None, None, None)), step) for r, g, why, v, step in _fold(frame, policy, now, spent, limit)]
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in FOLDED.split(", ")])
-        return frame.astype({k: "Int64" for k in ("victim", "victim_attempt", "victim_generation")})
-
-    return rows.withColumn("_group", F.lit(0).cast("long") if together else c("resource_id")).groupBy("_group").applyInPandas(run, FOLDED)
+    rows = held.withColumn("kind", F.lit(0)).select(*_FOLD_COLUMNS).unionByName(rows.select(*_FOLD_COLUMNS))
+    rows = rows.fillna(False, ["preemption_protected", "preemptible"]).withColumn("_by", F.xxhash64("resource_id"))
+    # dealt by a column that no join below is keyed on: a repartition that looks redundant is dropped, and adaptive execution may then undo what it relied on
+    rows = rows.repartition("_by").sortWithinPartitions("resource_id", "kind", *ranking.ordering())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, _Resource()
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.resource_id != at:
+                    at, own = r.resource_id, _Resource()
+                if r.kind == 0:
+                    own.live.append(r)
+                    continue
+                grant, decision, victim = own.decide(r, policy, now, until)
+                out.append((r.flow_id, grant, decision, victim and victim.flow_id, victim and int(victim.open_attempt)))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in FOLDED.split(", ")]).astype({"victim": "Int64", "victim_attempt": "Int64"})
+
+    return rows.mapInPandas(run, FOLDED)

@@ -17,10 +17,15 @@ c = F.col
 EVIDENCE_FIELDS = ("attempt_id", "epoch", "schedule_id", "schedule_generation", "flow_id", "flow_generation", "worker", "boot", "outcome", "served", "tick", "origin")
 
 
+def evidence_digest() -> Column:
+    """A digest of all fields of a report; two reports are the same if theirs are equal."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(c(f).cast("string"), F.lit("")) for f in EVIDENCE_FIELDS]), 256)
+
+
 def dedupe(evidence: DataFrame, order: str = "sequence") -> DataFrame:
     """evidence with kind: first of its attempt, exact repeat of it, or contradictory to it."""
     first = Window.partitionBy("attempt_id").orderBy(order)
-    own = F.struct(*[c(f) for f in EVIDENCE_FIELDS])
+    own = evidence_digest()
     head = F.first(own).over(first)
     kind = first_match([(F.row_number().over(first) == 1, "first"), (own == head, "exact")], "contradictory")
     return evidence.withColumn("kind", kind)
@@ -50,7 +55,7 @@ def reject_code(epoch: int) -> Column:
 
 
 def joined(evidence: DataFrame, attempts: DataFrame, state: DataFrame) -> DataFrame:
-    held = attempts.select("attempt_id", c("flow_id").alias("_att_flow"), c("schedule_id").alias("_att_schedule"), c("schedule_generation").alias("_att_generation"), c("worker").alias("_att_worker"), c("boot").alias("_att_boot"), c("state").alias("_att_state"), c("quantum").alias("_att_quantum"), c("deadline_tick").alias("_att_deadline"), c("evidence_served").alias("_att_evidence"), c("credited").alias("_att_credited"))
+    held = attempts.select("attempt_id", c("flow_id").alias("_att_flow"), c("schedule_id").alias("_att_schedule"), c("schedule_generation").alias("_att_generation"), c("worker").alias("_att_worker"), c("boot").alias("_att_boot"), c("state").alias("_att_state"), c("quantum").alias("_att_quantum"), c("deadline_tick").alias("_att_deadline"), c("evidence_digest").alias("_att_evidence"), c("credited").alias("_att_credited"))
     flows = state.select("flow_id", c("generation").alias("_flow_generation"), c("open_attempt").alias("_flow_attempt"), c("served_work").alias("_flow_served"), c("estimated_work").alias("_flow_work"))
     return evidence.join(flows, "flow_id", "left").join(held, "attempt_id", "left")
 
@@ -59,16 +64,17 @@ def dispositions(evidence: DataFrame, attempts: DataFrame, state: DataFrame, epo
     """A row per report: sequence, attempt_id, flow_id, disposition, code, credited, lifecycle_after.
 
     The first report that passes closes its attempt; later ones of the attempt are exact repeats of it or contradict it.
-    A closed attempt's stored evidence is compared by what it served.
+    A closed attempt keeps the digest of all fields of the report that closed it, so the answers are the same however the
+    reports are split into batches.
     """
-    rows = joined(evidence, attempts, state).withColumn("_code", reject_code(epoch))
+    rows = joined(evidence, attempts, state).withColumns({"_code": reject_code(epoch), "_own": evidence_digest()})
     served = c("outcome") == "served"
     late = served & F.coalesce(c("_att_deadline") <= now, F.lit(False))
     fails = first_match(
         [
             (c("_code").isNotNull(), c("_code")),
-            (is_attempt_terminal(c("_att_state")) & (c("_att_evidence") == c("served")) & (c("_att_state") == "committed"), "duplicate-completion"),
-            (is_attempt_terminal(c("_att_state")) & (c("_att_evidence") == c("served")), "completion-for-closed-attempt"),
+            (is_attempt_terminal(c("_att_state")) & (c("_att_evidence") == c("_own")) & (c("_att_state") == "committed"), "duplicate-completion"),
+            (is_attempt_terminal(c("_att_state")) & (c("_att_evidence") == c("_own")), "completion-for-closed-attempt"),
             (is_attempt_terminal(c("_att_state")) & c("_att_evidence").isNotNull(), "contradictory-completion"),
             (is_attempt_terminal(c("_att_state")), "completion-for-closed-attempt"),
             (F.coalesce(c("_flow_attempt") != c("attempt_id"), F.lit(True)), "stale-attempt"),
@@ -79,18 +85,17 @@ def dispositions(evidence: DataFrame, attempts: DataFrame, state: DataFrame, epo
     unfit = F.when(c("served") > c("_att_quantum"), "contradictory-completion").when(late, "deadline-passed")
     rows = rows.withColumn("_unfit", unfit)
     # of the reports that reach the open attempt, the first that fits is applied and closes it
-    own = F.struct(*[c(f) for f in EVIDENCE_FIELDS])
     line = Window.partitionBy("attempt_id", c("_fails").isNull())
     applied = F.min(F.when(c("_fails").isNull() & c("_unfit").isNull(), c("sequence"))).over(line)
     rows = rows.withColumn("_applied", applied)
-    rows = rows.withColumn("_content", F.max(F.when(c("sequence") == c("_applied"), own)).over(line))
+    rows = rows.withColumn("_content", F.max(F.when(c("sequence") == c("_applied"), c("_own"))).over(line))
     code = first_match(
         [
             (c("_fails").isNotNull(), c("_fails")),
             (c("sequence") == c("_applied"), "ok"),
             (c("sequence") < c("_applied"), c("_unfit")),
             (c("_applied").isNull(), c("_unfit")),
-            (own == c("_content"), "duplicate-completion"),
+            (c("_own") == c("_content"), "duplicate-completion"),
         ],
         "contradictory-completion",
     )

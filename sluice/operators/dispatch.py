@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.digests import fnv_of_longs
+from sluice.functions.digests import fnv
 from sluice.functions.names import is_attempt_terminal
 from sluice.functions.scalars import first_match, window_contains
+from sluice.operators.ranking import numbered
 from sluice.policy import Policy
 
 c = F.col
@@ -61,7 +62,7 @@ def validate_tickets(tickets: DataFrame, flows: DataFrame, resources: DataFrame,
 
 
 def ticket_digest() -> Column:
-    return fnv_of_longs(*[c(f) for f in TICKET_FIELDS])
+    return fnv(*[c(f) for f in TICKET_FIELDS])
 
 
 def revalidate(tickets: DataFrame, validated_status: str = "status") -> DataFrame:
@@ -69,12 +70,19 @@ def revalidate(tickets: DataFrame, validated_status: str = "status") -> DataFram
     return tickets.withColumn("status", first_match([(F.coalesce(c("digest"), F.lit(0)) == 0, "invalid-argument"), (ticket_digest() != c("digest"), "contradictory-completion")], c(validated_status)))
 
 
-def begin_dispatch(requests: DataFrame, entries: DataFrame, state: DataFrame, epoch: int, next_attempt: int) -> DataFrame:
-    """The status of dispatch requests (request, schedule_id, schedule_generation, ordinal, worker, boot), and the attempt minted for each that passes, by request order."""
+def begin_dispatch(requests: DataFrame, entries: DataFrame, state: DataFrame, registries: tuple[DataFrame, ...], policy: Policy, epoch: int, now: int, next_attempt: int) -> DataFrame:
+    """The status of dispatch requests (request, schedule_id, schedule_generation, ordinal, worker, boot), and the attempt minted for each that passes, by request order.
+
+    registries: flows, resources, priorities, qos and reservations as registered now; an entry must still hold under all of
+    them, and under the policy it was issued by, before an attempt is minted.
+    """
     headers = entries.groupBy("schedule_id").agg(F.max("schedule_generation").alias("_generation"), F.max("epoch").alias("_epoch"), F.count("ordinal").alias("_n"))
-    own = entries.select("schedule_id", "ordinal", "kind", "consumed", "flow_id", c("flow_generation").alias("_entry_generation"))
+    bound = [f for f in TICKET_FIELDS if f in entries.columns and f not in ("schedule_id", "schedule_generation", "epoch", "flow_id", "quantum")]
+    own = entries.select("schedule_id", "ordinal", "kind", "consumed", "flow_id", *bound)
     held = state.select("flow_id", c("generation").alias("_flow_generation"), "lifecycle", "scheduled_schedule")
     rows = requests.join(headers, "schedule_id", "left").join(own, ["schedule_id", "ordinal"], "left").join(held, "flow_id", "left")
+    rows = with_registries(rows.withColumn("epoch", F.lit(epoch)), *registries)
+    authority = ticket_status(policy, epoch, now)
     status = first_match(
         [
             ((F.coalesce(c("worker"), F.lit(0)) == 0) | (F.coalesce(c("boot"), F.lit(0)) == 0), "invalid-argument"),
@@ -86,13 +94,19 @@ def begin_dispatch(requests: DataFrame, entries: DataFrame, state: DataFrame, ep
             (c("consumed") != 0, "invalid-state"),
             (c("_flow_generation").isNull(), "unknown-flow"),
             ((c("lifecycle") != "scheduled") | (c("scheduled_schedule") != c("schedule_id")), "invalid-state"),
-            (c("_flow_generation") != c("_entry_generation"), "stale-flow-generation"),
+            (c("_flow_generation") != c("flow_generation"), "stale-flow-generation"),
         ],
-        "ok",
+        authority,
     )
-    rows = rows.withColumn("status", status)
-    passed = F.row_number().over(Window.partitionBy(c("status") == "ok").orderBy("request"))
-    return rows.select("request", "schedule_id", "ordinal", "flow_id", "status", F.when(c("status") == "ok", passed + (next_attempt - 1)).cast("long").alias("attempt_id"))
+    rows = rows.select("request", "schedule_id", "ordinal", "flow_id", status.alias("status"))
+    minted = numbered(rows.filter(c("status") == "ok"), [c("request")], "_place").withColumn("attempt_id", c("_place") + (next_attempt - 1)).drop("_place")
+    return minted.unionByName(rows.filter(c("status") != "ok").withColumn("attempt_id", F.lit(None).cast("long")))
+
+
+def worker_loss(attempts: DataFrame, state: DataFrame, lost: DataFrame) -> DataFrame:
+    """(attempt_id, flow_id, state, lifecycle) of the live attempts of lost workers (worker, boot): abandoned, and their flows, ambiguous by that, sent to wait again."""
+    gone = attempts.filter(~is_attempt_terminal(c("state"))).join(lost, ["worker", "boot"], "left_semi").select("attempt_id", "flow_id")
+    return gone.join(state.select("flow_id", "open_attempt", "lifecycle"), "flow_id", "left").select("attempt_id", "flow_id", F.lit("abandoned").alias("state"), F.when(c("open_attempt") == c("attempt_id"), "waiting").otherwise(c("lifecycle")).alias("lifecycle"))
 
 
 def mark_started(reports: DataFrame, attempts: DataFrame) -> DataFrame:

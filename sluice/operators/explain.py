@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.scalars import id_text
+from sluice.operators import ranking
 from sluice.policy import MAX_STEPS
 
 c = F.col
@@ -31,9 +32,12 @@ def entry_line() -> Column:
     return F.concat(c("kind"), F.lit(" "), id_text("flow", c("flow_id")), F.lit(" quantum="), c("quantum").cast("string"), F.lit(" tier="), c("tier").cast("string"), F.lit(" consumed="), c("consumed").cast("string"), F.lit(" ("), c("reason"), F.lit(")"))
 
 
-def explain_flow(keyed: DataFrame, steps: DataFrame) -> DataFrame:
-    """(flow_id, lifecycle, tier, last_type, steps) of flows with their key."""
-    return keyed.select("flow_id", "lifecycle", "tier").join(history_tail(steps), "flow_id", "left").select("flow_id", "lifecycle", "tier", "last_type", F.coalesce("steps", F.lit(0)).alias("steps"))
+def explain_flow(keyed: DataFrame, steps: DataFrame, order: str = "sequence") -> DataFrame:
+    """(flow_id, generation, lifecycle, tier, ordering_digest, last_reason, steps, truncated, history) of flows with their key; steps have a reason, and history holds the newest of them, oldest first."""
+    told = history(steps, order=order).withColumn("last_reason", F.element_at("history", -1)["reason"])
+    count = history_tail(steps, order=order).select("flow_id", "steps", "truncated")
+    rows = keyed.select("flow_id", "generation", "lifecycle", "tier", ranking.key_digest().alias("ordering_digest")).join(told, "flow_id", "left").join(count, "flow_id", "left")
+    return rows.withColumns({"last_reason": F.coalesce("last_reason", F.lit("selected")), "steps": F.coalesce("steps", F.lit(0)), "truncated": F.coalesce("truncated", F.lit(False))})
 
 
 def canonical(entries: DataFrame, keep: int = 256) -> DataFrame:

@@ -96,8 +96,12 @@ def release(entries: DataFrame, state: DataFrame) -> DataFrame:
 
 def retained(schedules: DataFrame, keep: int) -> DataFrame:
     """schedules (position, open) with kept: beyond the newest keep ones the oldest go, up to the first that still holds authority."""
-    total = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.partitionBy(F.lit(0)).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    free = F.min((~c("open")).cast("int")).over(before) == 1
-    surplus = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("position")) <= F.count("position").over(total) - keep
-    return schedules.withColumn("kept", ~(free & surplus))
+    newest = schedules.select("position").orderBy(c("position").desc()).limit(keep).agg(F.min("position").alias("_newest")).withColumn("_k", F.lit(0))
+    open_ = schedules.filter("open").agg(F.min("position").alias("_open")).withColumn("_k", F.lit(0))
+    rows = schedules.withColumn("_k", F.lit(0)).join(F.broadcast(newest), "_k").join(F.broadcast(open_), "_k")  # one row each
+    return rows.withColumn("kept", (c("position") >= c("_newest")) | F.coalesce(c("position") >= c("_open"), F.lit(False))).select(*schedules.columns, "kept")
+
+
+def retained_attempts(attempts: DataFrame, schedules: DataFrame) -> DataFrame:
+    """The attempts of schedules (position, kept) that are not dropped: a dropped schedule takes its attempts along."""
+    return attempts.join(schedules.filter(~c("kept")).select(c("position").alias("schedule_id")), "schedule_id", "left_anti").select(*attempts.columns)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.digests import fnv
 from sluice.functions.scalars import first_match, saturating_add, stamp_cost, ticks_between
 from sluice.policy import Policy
+from sluice.sources.shared import written
 
 c = F.col
 #: Columns of the order, most significant first; weight counts down, a missing deadline comes last.
@@ -37,14 +39,28 @@ def order_struct() -> Column:
     return F.struct(c("tier"), c("rank"), F.coalesce(c("key_deadline"), F.lit((1 << 63) - 1)).alias("d"), c("key_stamp"), (-c("weight")).alias("w"), c("flow_id"), c("generation"))
 
 
-def positions(flows: DataFrame, limit: int | None = None) -> DataFrame:
-    """flows with position, from 1, in the order of all.
+def key_digest() -> Column:
+    """A digest of the key: tier and rank in four bytes each, a missing deadline as the greatest number, the weight as what is left above it."""
+    return fnv(c("tier"), c("rank"), F.coalesce(c("key_deadline"), F.lit(-1)), c("key_stamp"), F.bitwise_not(c("weight")), c("flow_id"), c("generation"), widths=(4, 4, 8, 8, 8, 8, 8))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """rows with their place, from 1, in the order of all.
 
-    With a limit only the first so many get one, which needs no sort of all rows in one task.
+    The order is cut into ranges that are sorted in parallel; only the sizes of the ranges meet in one task.
     """
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    laid, _ = written(laid, "numbered")  # so that the ranges stay as they are
+    sizes = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return laid.join(F.broadcast(before), "_part").withColumn(name, (c("_before") + c("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_part", "_at", "_before")
+
+
+def positions(flows: DataFrame, limit: int | None = None) -> DataFrame:
+    """flows with position, from 1, in the order of all; with a limit only the first so many."""
     if limit is not None:
-        flows = flows.orderBy(*ordering()).limit(limit)
-    return flows.withColumn("position", F.row_number().over(Window.orderBy(*ordering())).cast("long"))
+        return flows.orderBy(*ordering()).limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*ordering())).cast("long"))
+    return numbered(flows, ordering())
 
 
 def fair_stamps(entering: DataFrame, clocks: DataFrame, policy: Policy) -> DataFrame:

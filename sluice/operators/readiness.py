@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.names import is_terminal
 from sluice.functions.scalars import first_match, window_contains
+from sluice.sources.shared import written
 
 c = F.col
 
@@ -88,23 +89,25 @@ def classify(flows: DataFrame, reservations: DataFrame, now: int) -> DataFrame:
     return rows.select(*flows.columns, reason.alias("reason"), c("_res_capacity"), c("_res_used"), c("_res_end"))
 
 
-def cascade(flows: DataFrame, now: int) -> DataFrame:
+def cascade(flows: DataFrame, now: int, failing: DataFrame | None = None) -> DataFrame:
     """(flow_id, depth) of waiting flows that fail in this round because a dependency has failed, or fails in it.
 
     A round visits flows by ascending id, so a failure reaches a higher id at once and a lower one in the next round.  Each
-    pass is one join on ids; passes go on until none fails anew, at most as many as the longest chain of dependencies.
+    pass is one join on ids of the flows that failed in the last one; passes go on until none fails anew, at most as many as
+    the longest chain of dependencies.  failing: (flow_id) of flows that fail in this round for another reason.
     """
-    spark = flows.sparkSession
-    signal = c("readiness_signal")
+    spark, signal = flows.sparkSession, c("readiness_signal")
     open_ = flows.filter((c("lifecycle") == "waiting") & (c("release_tick") <= now) & (signal != 2) & (c("auto_ready") | (signal == 1)))
     edges = open_.select("flow_id", F.explode("dependencies").alias("dep"))
-    name = f"_edges_{id(edges)}"
     lost = flows.filter(is_terminal(c("lifecycle")) & (c("lifecycle") != "completed")).select(c("flow_id").alias("dep"))
-    edges.createOrReplaceTempView(name)
-    edges.join(lost, "dep", "left_semi").select("flow_id").distinct().createOrReplaceTempView(f"{name}_first")
-    reached = spark.sql(f"""
-        WITH RECURSIVE reached(flow_id, depth) AS (
-            SELECT flow_id, CAST(1 AS BIGINT) FROM {name}_first
-            UNION ALL SELECT e.flow_id, r.depth + 1 FROM reached r JOIN {name} e ON e.dep = r.flow_id AND e.flow_id > e.dep)
-        SELECT flow_id, min(depth) AS depth FROM reached GROUP BY flow_id""")
+    reached = edges.join(lost, "dep", "left_semi").select("flow_id").distinct().withColumn("depth", F.lit(1).cast("long"))
+    reached, _ = written(reached, "cascade")
+    last = reached.select("flow_id").unionByName(failing.select("flow_id")) if failing is not None else reached.select("flow_id")
+    depth = 1
+    while not last.isEmpty():
+        depth += 1
+        next_ = edges.join(last.select(c("flow_id").alias("dep")), "dep").filter(c("flow_id") > c("dep")).select("flow_id").distinct().join(reached, "flow_id", "left_anti")
+        next_, _ = written(next_.withColumn("depth", F.lit(depth).cast("long")), "cascade")
+        last = next_.select("flow_id")
+        reached = reached.unionByName(next_)
     return reached

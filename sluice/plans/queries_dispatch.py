@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.functions.digests import fnv_of_longs
 from sluice.operators import accounting, completion, dispatch, eventlog, explain, lifecycle, ranking, registry
 from sluice.policy import Policy
-from sluice.sources.derived import DUCK, EPOCH, NOW, tables
+from sluice.sources.derived import DUCK, EPOCH, NOW, fnv_sql, tables
 
 c = F.col
 QUERIES: dict = {}
@@ -49,17 +48,31 @@ def revalidate(t):
     return dispatch.revalidate(changed).select("attempt_id", "status")
 
 
-REQUESTS = "SELECT schedule_id * 100 + ordinal + 1 AS request, schedule_id, CASE WHEN ordinal % 7 = 6 THEN 2 ELSE 1 END AS schedule_generation, CASE WHEN ordinal % 5 = 4 THEN ordinal + 1000 ELSE ordinal END AS ordinal, CASE WHEN flow_id % 19 = 0 THEN 0 ELSE flow_id % 8 + 1 END AS worker FROM entries"
+REQUESTS = "SELECT schedule_id * 100000 + ordinal + 1 AS request, schedule_id, CASE WHEN ordinal % 7 = 6 THEN 2 ELSE 1 END AS schedule_generation, CASE WHEN ordinal % 5 = 4 THEN ordinal + 1000 ELSE ordinal END AS ordinal, CASE WHEN flow_id % 19 = 0 THEN 0 ELSE flow_id % 8 + 1 END AS worker FROM entries"
 
 
-@query("begin_dispatch", f""", r AS ({REQUESTS}), h AS (SELECT schedule_id, count(*) AS n FROM entries GROUP BY 1), s AS (SELECT r.request, r.schedule_id, r.ordinal, e.flow_id, CASE WHEN worker = 0 THEN 'invalid-argument' WHEN r.schedule_generation <> 1 THEN 'stale-schedule-generation'
-    WHEN r.ordinal >= h.n THEN 'out-of-range' WHEN kind <> 'run' THEN 'invalid-argument' WHEN consumed <> 0 THEN 'invalid-state' WHEN lifecycle <> 'scheduled' OR scheduled_schedule <> r.schedule_id THEN 'invalid-state' WHEN flow_generation <> 1 THEN 'stale-flow-generation' ELSE 'ok' END AS status
-    FROM r JOIN h USING (schedule_id) LEFT JOIN entries e ON e.schedule_id = r.schedule_id AND e.ordinal = r.ordinal LEFT JOIN flow_state f ON f.flow_id = e.flow_id)
+@query("begin_dispatch", f""", x AS ({REQUESTS}), h AS (SELECT schedule_id, count(*) AS n FROM entries GROUP BY 1), s AS (SELECT x.request, x.schedule_id, x.ordinal, a.flow_id, CASE WHEN x.worker = 0 THEN 'invalid-argument' WHEN x.schedule_generation <> 1 THEN 'stale-schedule-generation'
+    WHEN x.ordinal >= h.n THEN 'out-of-range' WHEN kind <> 'run' THEN 'invalid-argument' WHEN consumed <> 0 THEN 'invalid-state' WHEN g.flow_id IS NULL THEN 'unknown-flow' WHEN lifecycle <> 'scheduled' OR scheduled_schedule <> x.schedule_id THEN 'invalid-state' WHEN a.flow_generation <> 1 THEN 'stale-flow-generation' ELSE {TICKET} END AS status
+    FROM x JOIN h USING (schedule_id) LEFT JOIN ({JOINED.replace('attempts a', 'entries a')}) ON a.schedule_id = x.schedule_id AND a.ordinal = x.ordinal LEFT JOIN flow_state g ON g.flow_id = a.flow_id)
     SELECT request, schedule_id, ordinal, flow_id, status, CASE WHEN status = 'ok' THEN 500000 + row_number() OVER (PARTITION BY status = 'ok' ORDER BY request) - 1 END AS attempt_id FROM s""")
 def begin_dispatch(t):
     late = F.when(c("ordinal") % 5 == 4, c("ordinal") + 1000).otherwise(c("ordinal"))
-    requests = t.entries.select((c("schedule_id") * 100 + c("ordinal") + 1).alias("request"), "schedule_id", F.when(c("ordinal") % 7 == 6, 2).otherwise(1).alias("schedule_generation"), late.alias("ordinal"), F.when(c("flow_id") % 19 == 0, F.lit(0)).otherwise(c("flow_id") % 8 + 1).alias("worker"), F.lit(1).alias("boot"))
-    return dispatch.begin_dispatch(requests, t.entries, t.state, EPOCH, 500_000)
+    requests = t.entries.select((c("schedule_id") * 100_000 + c("ordinal") + 1).alias("request"), "schedule_id", F.when(c("ordinal") % 7 == 6, 2).otherwise(1).alias("schedule_generation"), late.alias("ordinal"), F.when(c("flow_id") % 19 == 0, F.lit(0)).otherwise(c("flow_id") % 8 + 1).alias("worker"), F.lit(1).alias("boot"))
+    return dispatch.begin_dispatch(requests, t.entries, t.state, (t.flows, t.resources, t.priority_classes, t.qos_classes, t.reservations), POLICY, EPOCH, NOW, 500_000)
+
+
+@query("worker_loss", """SELECT attempt_id, a.flow_id, 'abandoned' AS state, CASE WHEN open_attempt = attempt_id THEN 'waiting' ELSE lifecycle END AS lifecycle FROM attempts a LEFT JOIN flow_state USING (flow_id)
+    WHERE state IN ('open', 'started') AND (worker = 3 AND boot = 2 OR worker = 5 AND boot = 1)""")
+def worker_loss(t):
+    lost = t.spark.range(1).select(F.inline(F.array(F.struct(F.lit(3).alias("worker"), F.lit(2).alias("boot")), F.struct(F.lit(5).alias("worker"), F.lit(1).alias("boot")))))
+    return dispatch.worker_loss(t.attempts, t.flow_state, lost)
+
+
+@query("retention_cascade", """, s AS (SELECT schedule_id, bool_or(consumed = 1 AND schedule_id % 3 = 0 AND schedule_id > 40) AS open FROM entries GROUP BY 1), x AS (SELECT *, bool_and(NOT open) OVER (ORDER BY schedule_id) AS free, row_number() OVER (ORDER BY schedule_id) AS i, count(*) OVER () AS n FROM s)
+    SELECT attempt_id, schedule_id FROM attempts WHERE schedule_id NOT IN (SELECT schedule_id FROM x WHERE free AND i <= n - 16)""")
+def retention_cascade(t):
+    schedules = t.entries.groupBy(c("schedule_id").alias("position")).agg(F.bool_or((c("consumed") == 1) & (c("schedule_id") % 3 == 0) & (c("schedule_id") > 40)).alias("open"))
+    return lifecycle.retained_attempts(t.attempts, lifecycle.retained(schedules, 16)).select("attempt_id", "schedule_id")
 
 
 @query("mark_started", """, r AS (SELECT attempt_id * 2 AS report, attempt_id FROM attempts UNION ALL SELECT attempt_id * 2 + 1, attempt_id FROM attempts WHERE attempt_id % 3 = 0 UNION ALL SELECT 1, 999999999999)
@@ -80,7 +93,7 @@ def abandon(t):
     return dispatch.close_attempts(t.attempts, requests)
 
 
-@query("worker_evidence")
+@query("worker_evidence", "SELECT attempt_id, epoch, schedule_id, schedule_generation, flow_id, flow_generation, worker, boot, CASE WHEN attempt_id % 24 > 0 THEN 'served' ELSE 'no-service' END AS outcome, least(attempt_id % 24, quantum) AS served FROM attempts WHERE state IN ('open', 'started')")
 def worker_evidence(t):
     return dispatch.worker_evidence(t.attempts.filter(c("state").isin("open", "started")).withColumn("asked", c("attempt_id") % 24))
 
@@ -93,15 +106,15 @@ def evidence_dedupe(t):
     return completion.dedupe(t.evidence).select("sequence", "attempt_id", "kind")
 
 
-ANSWERS = f""", j AS (SELECT e.*, s.flow_id AS known, s.open_attempt, s.served_work, f.estimated_work, a.attempt_id AS found, a.flow_id AS af, a.schedule_id AS asch, a.schedule_generation AS ag, a.worker AS aw, a.boot AS ab, a.state, a.quantum, a.deadline_tick, a.evidence_served, a.credited AS acred
+ANSWERS = f""", j AS (SELECT e.*, s.flow_id AS known, s.open_attempt, s.served_work, f.estimated_work, a.attempt_id AS found, a.flow_id AS af, a.schedule_id AS asch, a.schedule_generation AS ag, a.worker AS aw, a.boot AS ab, a.state, a.quantum, a.deadline_tick, a.evidence_digest, a.credited AS acred
     FROM evidence e LEFT JOIN flow_state s ON s.flow_id = e.flow_id LEFT JOIN flows f ON f.flow_id = s.flow_id LEFT JOIN attempts a ON a.attempt_id = e.attempt_id),
     b AS (SELECT *, CASE WHEN origin = 'unknown' THEN 'invalid-argument' WHEN worker = 0 THEN 'invalid-argument' WHEN epoch <> {EPOCH} THEN 'stale-epoch' WHEN known IS NULL THEN 'unknown-flow' WHEN flow_generation <> 1 THEN 'stale-flow-generation'
         WHEN found IS NULL THEN 'unknown-attempt' WHEN af <> flow_id OR asch <> schedule_id THEN 'contradictory-completion' WHEN ag <> schedule_generation THEN 'stale-schedule-generation' WHEN aw <> worker OR ab <> boot THEN 'fenced'
-        WHEN state NOT IN ('open', 'started') THEN CASE WHEN evidence_served = served AND state = 'committed' THEN 'duplicate-completion' WHEN evidence_served = served OR evidence_served IS NULL THEN 'completion-for-closed-attempt' ELSE 'contradictory-completion' END
+        WHEN state NOT IN ('open', 'started') THEN CASE WHEN evidence_digest = digest AND state = 'committed' THEN 'duplicate-completion' WHEN evidence_digest = digest OR evidence_digest IS NULL THEN 'completion-for-closed-attempt' ELSE 'contradictory-completion' END
         WHEN open_attempt IS NULL OR open_attempt <> attempt_id THEN 'stale-attempt' END AS fails, CASE WHEN served > quantum THEN 'contradictory-completion' WHEN outcome = 'served' AND deadline_tick <= {NOW} THEN 'deadline-passed' END AS unfit FROM j),
     a1 AS (SELECT *, min(CASE WHEN fails IS NULL AND unfit IS NULL THEN sequence END) OVER (PARTITION BY attempt_id, fails IS NULL) AS applied FROM b),
-    a2 AS (SELECT x.*, y.served AS os, y.outcome AS oo, y.tick AS ot FROM a1 x LEFT JOIN b y ON y.sequence = x.applied),
-    a3 AS (SELECT *, CASE WHEN fails IS NOT NULL THEN fails WHEN sequence = applied THEN 'ok' WHEN sequence < applied OR applied IS NULL THEN unfit WHEN served = os AND outcome = oo AND tick = ot THEN 'duplicate-completion' ELSE 'contradictory-completion' END AS code FROM a2),
+    a2 AS (SELECT x.*, y.digest AS od FROM a1 x LEFT JOIN b y ON y.sequence = x.applied),
+    a3 AS (SELECT *, CASE WHEN fails IS NOT NULL THEN fails WHEN sequence = applied THEN 'ok' WHEN sequence < applied OR applied IS NULL THEN unfit WHEN digest = od THEN 'duplicate-completion' ELSE 'contradictory-completion' END AS code FROM a2),
     a4 AS (SELECT sequence, attempt_id, flow_id, code, CASE code WHEN 'ok' THEN 'applied' WHEN 'duplicate-completion' THEN 'idempotent-duplicate' ELSE 'rejected' END AS disposition, CAST(CASE WHEN code = 'ok' OR code = 'duplicate-completion' AND fails IS NULL THEN CASE WHEN outcome = 'served' THEN served ELSE 0 END
         WHEN code = 'duplicate-completion' THEN acred ELSE 0 END AS BIGINT) AS credited, outcome, served_work, estimated_work FROM a3),
     answers AS (SELECT sequence, attempt_id, flow_id, disposition, code, credited, CASE WHEN code <> 'ok' THEN NULL WHEN outcome = 'failed' THEN 'failed' WHEN served_work + credited >= estimated_work THEN 'completed' ELSE 'waiting' END AS lifecycle_after FROM a4)"""
@@ -132,11 +145,11 @@ def disposition_counts(t):
 # -- lifecycle ---------------------------------------------------------------
 
 STALE = "WHEN s.flow_id IS NULL THEN 'unknown-flow' WHEN r.g <> 1 THEN 'stale-flow-generation'"
-ASKED = "(SELECT flow_id, CAST(CASE WHEN flow_id % 12 = 0 THEN 2 ELSE 1 END AS BIGINT) AS g FROM flows WHERE flow_id % 3 = 0)"
+ASKED = "(SELECT flow_id, CAST(CASE WHEN flow_id % 12 = 0 THEN 2 ELSE 1 END AS BIGINT) AS g FROM flows)"
 
 
-def _asked(t, every=3):
-    return t.flows.filter(c("flow_id") % every == 0).select("flow_id", F.when(c("flow_id") % 12 == 0, F.lit(2)).otherwise(F.lit(1)).cast("long").alias("request_generation"))
+def _asked(t):
+    return t.flows.select("flow_id", F.when(c("flow_id") % 12 == 0, F.lit(2)).otherwise(F.lit(1)).cast("long").alias("request_generation"))
 
 
 @query("wait_ticks", f"SELECT flow_id, CAST(wait_ticks + CASE WHEN lifecycle = 'ready' THEN greatest({NOW} - eligible_since_tick, 0) ELSE 0 END AS BIGINT) AS wait_ticks FROM flow_state")
@@ -183,11 +196,11 @@ GAUGES = f"SELECT count(*) AS total_flows, {GAUGES}, CAST(sum(served_work) AS BI
 TRIES = ", ".join(f"count(*) FILTER (state = '{name}') AS attempts_{name}" for name in accounting.ATTEMPT_STATES)
 TRIES = f"SELECT count(*) AS attempts_total, {TRIES}, CAST(coalesce(sum(CASE WHEN state IN ('open', 'started') THEN quantum END), 0) AS BIGINT) AS outstanding_units FROM attempts"
 ISSUED = "SELECT count(DISTINCT schedule_id) AS schedules_issued, count(*) AS schedule_entries_issued, count(*) FILTER (kind = 'preempt') AS preemptions_issued FROM entries"
-BOOKS = f"{ANSWERS}, books AS (SELECT g.*, a.*, d.*, i.*, (SELECT count(*) FILTER (deadline_missed_counted) FROM flow_state) AS deadline_misses, CAST({EPOCH} AS BIGINT) AS epoch FROM ({GAUGES}) g, ({TRIES}) a, (SELECT {COUNTS} FROM answers) d, ({ISSUED}) i)"
+BOOKS = f"{ANSWERS}, books AS (SELECT g.*, a.*, d.*, i.*, (SELECT count(*) FILTER (deadline_missed_counted) FROM flow_state) AS deadline_misses, (SELECT CAST(sum(starvation_boosts) AS BIGINT) FROM flow_state) AS starvation_boosts, CAST({EPOCH} AS BIGINT) AS epoch, CAST(250 AS BIGINT) AS arbitration_rounds FROM ({GAUGES}) g, ({TRIES}) a, (SELECT {COUNTS} FROM answers) d, ({ISSUED}) i)"
 
 
 def _report(t):
-    return accounting.report(t.state, t.attempts, _answers(t), t.entries, EPOCH)
+    return accounting.report(t.state, t.attempts, _answers(t), t.entries, EPOCH, 250)
 
 
 @query("lifecycle_gauges", GAUGES)
@@ -200,12 +213,39 @@ def attempt_gauges(t):
     return accounting.attempt_gauges(t.attempts)
 
 
-@query("books_close", f"{BOOKS} SELECT *, CASE WHEN completions_duplicate + completions_rejected > completion_reports_received THEN 'dispositions outnumber reports' WHEN deadline_misses > total_flows + cancelled + completed + failed THEN 'deadline misses exceed the flows' ELSE 'ok' END AS verdict FROM books")
+#: The identities, written out: sums by state, rest states, answers, holders, entries, misses, epoch.
+VERDICT = """CASE WHEN waiting + ready + scheduled + dispatched + running + completion_reported + cancelling + preempting + completed + cancelled + failed + ambiguous <> total_flows THEN 'flows-by-state' WHEN cancelling <> 0 OR preempting <> 0 THEN 'transient-at-rest'
+    WHEN attempts_open + attempts_started + attempts_committed + attempts_preempted + attempts_cancelled + attempts_abandoned + attempts_rejected <> attempts_total THEN 'attempts-by-state' WHEN completions_duplicate + completions_rejected > completion_reports_received THEN 'more-answers-than-reports'
+    WHEN outstanding_reserved_units > 0 AND attempts_open + attempts_started + scheduled = 0 THEN 'reserved-by-nobody' WHEN schedules_issued > 0 AND schedule_entries_issued < schedules_issued THEN 'empty-schedule' WHEN deadline_misses > total_flows + cancelled + completed + failed THEN 'more-misses-than-flows' WHEN epoch = 0 THEN 'no-epoch' ELSE 'ok' END"""
+#: Changes that break one identity each: what some columns become, in SQL that both engines read.
+BREAKS = (
+    {}, {"waiting": "waiting + 1"}, {"waiting": "waiting - 1", "preempting": "1"}, {"attempts_open": "attempts_open + 1"}, {"completions_rejected": "completion_reports_received + 1"},
+    {"attempts_committed": "attempts_committed + attempts_open + attempts_started", "attempts_open": "0", "attempts_started": "0", "completed": "completed + scheduled", "scheduled": "0"}, {"schedule_entries_issued": "schedules_issued - 1"}, {"deadline_misses": "2 * total_flows + 1"}, {"epoch": "0"},
+)
+
+
+def broken_books(k: int) -> str:
+    changes = ", ".join(f"{value} AS {name}" for name, value in BREAKS[k].items())
+    return f"SELECT {k} AS k, {VERDICT} AS verdict FROM (SELECT * " + (f"REPLACE ({changes}) " if changes else "") + "FROM books)"
+
+
+@query("books_close", f"{BOOKS} SELECT *, {VERDICT} AS verdict FROM books")
 def books_close(t):
     return _report(t).withColumn("verdict", accounting.closure())
 
 
-@query("accounting_line", f"{BOOKS} SELECT " + " || ' ' || ".join(f"'{label}=' || ({column})" for label, column in accounting.LINE) + " AS line FROM books")
+@query("books_broken", f"{BOOKS} " + " UNION ALL ".join(broken_books(k) for k in range(len(BREAKS))))
+def books_broken(t):
+    books = _report(t).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(len(BREAKS))])))
+    names = sorted({name for change in BREAKS for name in change})
+    arms = {name: " ".join(f"WHEN k = {k} THEN {change[name]}" for k, change in enumerate(BREAKS) if name in change) for name in names}
+    return books.withColumns({name: F.expr(f"CAST(CASE {arm} ELSE {name} END AS BIGINT)") for name, arm in arms.items()}).select("k", accounting.closure().alias("verdict"))
+
+
+@query("accounting_line", f"""{BOOKS} SELECT 'flows=' || total_flows || ' waiting=' || waiting || ' ready=' || ready || ' scheduled=' || scheduled || ' in-flight=' || (dispatched + running + completion_reported) || ' completed=' || completed || ' cancelled=' || cancelled || ' failed=' || failed || ' ambiguous=' || ambiguous
+    || ' attempts=' || attempts_total || ' open=' || (attempts_open + attempts_started) || ' committed=' || attempts_committed || ' preempted=' || attempts_preempted || ' cancelled-attempts=' || attempts_cancelled || ' abandoned=' || attempts_abandoned || ' rejected-attempts=' || attempts_rejected
+    || ' reports=' || completion_reports_received || ' applied=' || completions_applied || ' duplicates=' || completions_duplicate || ' rejected-completions=' || completions_rejected || ' schedules=' || schedules_issued || ' entries=' || schedule_entries_issued || ' rounds=' || arbitration_rounds
+    || ' preemptions=' || preemptions_issued || ' boosts=' || starvation_boosts || ' deadline-misses=' || deadline_misses || ' reserved=' || outstanding_reserved_units || ' credit=' || service_credit_total || ' epoch=' || epoch AS line FROM books""")
 def accounting_line(t):
     return _report(t).select(accounting.line().alias("line"))
 
@@ -223,30 +263,34 @@ def journal_gap_scan(t):
     return eventlog.gaps(t.journal)
 
 
-@query("snapshot_fold", ", l AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY sequence DESC) AS i FROM journal) SELECT flow_id, type, tick, epoch, sequence FROM l WHERE i = 1 AND flow_id NOT IN (SELECT flow_id FROM journal GROUP BY flow_id, sequence HAVING count(*) > 1)")
+@query("snapshot_fold", ", l AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY sequence DESC) AS i FROM journal) SELECT flow_id, type, tick, epoch, sequence FROM l WHERE i = 1")
 def snapshot_fold(t):
-    tied = t.journal.groupBy("flow_id", "sequence").agg(F.count("type").alias("n")).filter(c("n") > 1).select("flow_id")
-    return eventlog.latest(t.journal.join(tied, "flow_id", "left_anti"))
+    return eventlog.latest(t.journal)
 
 
-@query("recovery_fold", """, u AS (SELECT * FROM journal WHERE flow_id NOT IN (SELECT flow_id FROM journal GROUP BY flow_id, sequence HAVING count(*) > 1)), l AS (SELECT flow_id, arg_max(type, sequence) AS last, CAST(coalesce(sum(amount) FILTER (type = 'completion-committed'), 0) AS BIGINT) AS served, count(*) FILTER (sequence > 400) AS replayed FROM u GROUP BY flow_id)
+@query("recovery_fold", """, l AS (SELECT flow_id, arg_max(type, sequence) AS last, CAST(coalesce(sum(amount) FILTER (type = 'completion-committed'), 0) AS BIGINT) AS served, count(*) FILTER (sequence > 400) AS replayed FROM journal GROUP BY flow_id)
     SELECT flow_id, CASE last WHEN 'attempt-opened' THEN 'ambiguous' WHEN 'completion-committed' THEN 'completed' WHEN 'attempt-closed' THEN 'ready' WHEN 'schedule-issued' THEN 'scheduled' ELSE 'waiting' END AS lifecycle, served, replayed FROM l""")
 def recovery_fold(t):
-    tied = t.journal.groupBy("flow_id", "sequence").agg(F.count("type").alias("n")).filter(c("n") > 1).select("flow_id")
-    return eventlog.recover(t.journal.join(tied, "flow_id", "left_anti"), 400)
+    return eventlog.recover(t.journal, 400)
 
 
-@query("history_tail", ", l AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY sequence * 1000000 + flow_id DESC) AS i FROM journal) SELECT epoch, count(*) FILTER (i <= 32) AS steps, max(i) > 32 AS truncated, max(CASE WHEN i = 1 THEN type END) AS last_type FROM l GROUP BY epoch")
+@query("history_tail", ", l AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY sequence DESC) AS i FROM journal) SELECT epoch, count(*) FILTER (i <= 32) AS steps, max(i) > 32 AS truncated, max(CASE WHEN i = 1 THEN type END) AS last_type FROM l GROUP BY epoch")
 def history_tail(t):
-    return explain.history_tail(t.journal.withColumn("sequence", c("sequence") * 1_000_000 + c("flow_id")), key="epoch")
+    return explain.history_tail(t.journal, key="epoch")
+
+
+TIER = f"CAST(CASE WHEN deadline_tick IS NOT NULL AND greatest(deadline_tick - {NOW}, 0) <= 20 THEN 0 WHEN ever_ready AND {NOW} - eligible_since_tick >= 1000 THEN 1 WHEN min_service > 0 AND min_service_delivered < min_service THEN 2 ELSE 3 END AS INT)"
+KEY_FNV = fnv_sql("tier", "rank", "coalesce(CAST(deadline_tick AS UBIGINT), 18446744073709551615)", "virtual_finish", "18446744073709551615 - CAST(weight AS UBIGINT)", "flow_id", "generation", widths=(4, 4, 8, 8, 8, 8, 8))
+KEYS = f"SELECT f.*, s.* EXCLUDE (flow_id), {TIER} AS tier, p.rank FROM flows f JOIN flow_state s USING (flow_id) JOIN priority_classes p USING (priority_id)"
+REASON = "CASE type WHEN 'schedule-issued' THEN 'selected' WHEN 'attempt-closed' THEN 'displaced-by-higher-authority' ELSE type END"
 
 
-@query("explain_flow", f""", l AS (SELECT flow_id, type, row_number() OVER (PARTITION BY flow_id ORDER BY sequence * 10000000000 + tick DESC) AS i FROM journal), h AS (SELECT flow_id, count(*) FILTER (i <= 32) AS steps, max(CASE WHEN i = 1 THEN type END) AS last_type FROM l GROUP BY flow_id)
-    SELECT flow_id, lifecycle, CAST(CASE WHEN deadline_tick IS NOT NULL AND greatest(deadline_tick - {NOW}, 0) <= 20 THEN 0 WHEN ever_ready AND {NOW} - eligible_since_tick >= 1000 THEN 1 WHEN min_service > 0 AND min_service_delivered < min_service THEN 2 ELSE 3 END AS INT) AS tier, last_type, coalesce(steps, 0) AS steps
-    FROM flows JOIN flow_state USING (flow_id) LEFT JOIN h USING (flow_id)""")
+@query("explain_flow", f""", l AS (SELECT flow_id, sequence, {REASON} AS reason, row_number() OVER (PARTITION BY flow_id ORDER BY sequence DESC) AS i FROM journal), h AS (SELECT flow_id, count(*) FILTER (i <= 32) AS steps, max(i) > 32 AS truncated, max(CASE WHEN i = 1 THEN reason END) AS last_reason, string_agg(reason, ',' ORDER BY sequence) FILTER (i <= 32) AS trail FROM l GROUP BY flow_id)
+    SELECT flow_id, generation, lifecycle, tier, {KEY_FNV} AS ordering_digest, coalesce(last_reason, 'selected') AS last_reason, coalesce(steps, 0) AS steps, coalesce(truncated, false) AS truncated, coalesce(trail, '') AS trail FROM ({KEYS}) k LEFT JOIN h USING (flow_id)""")
 def explain_flow(t):
-    steps = t.journal.withColumn("sequence", c("sequence") * 10_000_000_000 + c("tick"))
-    return explain.explain_flow(t.state.withColumn("tier", ranking.tier(POLICY, NOW)), steps)
+    reason = F.when(c("type") == "schedule-issued", "selected").when(c("type") == "attempt-closed", "displaced-by-higher-authority").otherwise(c("type"))
+    told = explain.explain_flow(ranking.with_key(t.state, t.priority_classes, POLICY, NOW), t.journal.withColumn("reason", reason))
+    return told.withColumn("trail", F.coalesce(F.array_join(F.transform("history", lambda x: x["reason"]), ","), F.lit(""))).drop("history")
 
 
 @query("explain_schedule", "SELECT schedule_id, ordinal, kind || ' flow#' || flow_id || ' quantum=' || quantum || ' tier=' || tier || ' consumed=' || consumed || ' (' || reason || ')' AS line FROM entries")
@@ -259,7 +303,6 @@ def schedule_canonical(t):
     return explain.canonical(t.entries)
 
 
-@query("order_digest")
+@query("order_digest", f"SELECT flow_id, {KEY_FNV} AS digest FROM ({KEYS}) k")
 def order_digest(t):
-    keyed = ranking.with_key(t.state, t.priority_classes, POLICY, NOW)
-    return keyed.select("flow_id", fnv_of_longs(c("tier"), c("rank"), c("key_deadline"), c("key_stamp"), c("weight"), c("flow_id"), c("generation")).alias("digest"))
+    return ranking.with_key(t.state, t.priority_classes, POLICY, NOW).select("flow_id", ranking.key_digest().alias("digest"))

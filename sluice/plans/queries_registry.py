@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions import names, scalars
-from sluice.functions.digests import fnv_of_list, fnv_of_longs
+from sluice.functions.digests import fnv
 from sluice.operators import accounting, registry
-from sluice.sources.derived import DUCK, NOW, tables
+from sluice.sources.derived import DUCK, NOW, fnv_sql, tables
 
 c = F.col
 QUERIES: dict = {}
@@ -27,22 +27,56 @@ def query(name: str, oracle: str | None = None):
 
 
 BAD, FAR = "'invalid-argument'", "'out-of-range'"
-VALID = f"""CASE WHEN estimated_work < 1 OR estimated_work > {1 << 48} THEN {FAR} WHEN service_quantum < 1 OR service_quantum > {1 << 40} THEN {FAR} WHEN min_service > estimated_work THEN {BAD}
-    WHEN min_service > 0 AND min_service_window = 0 THEN {BAD} WHEN deadline_tick <= release_tick THEN {BAD} WHEN weight < 1 THEN {FAR} WHEN readiness_signal NOT BETWEEN 0 AND 2 THEN {BAD}
-    WHEN list_contains(dependencies, flow_id) THEN {BAD} ELSE 'ok' END"""
+VALID = f"""CASE WHEN coalesce(flow_id, 0) = 0 OR coalesce(generation, 0) = 0 OR coalesce(path_id, 0) = 0 OR coalesce(path_generation, 0) = 0 OR coalesce(resource_id, 0) = 0 OR coalesce(priority_id, 0) = 0 OR coalesce(qos_id, 0) = 0 OR coalesce(fairness_group, 0) = 0 THEN {BAD}
+    WHEN (reservation_id IS NULL) <> (reservation_generation IS NULL) THEN {BAD} WHEN estimated_work < 1 OR estimated_work > {1 << 48} THEN {FAR} WHEN service_quantum < 1 OR service_quantum > {1 << 40} THEN {FAR} WHEN min_service > estimated_work THEN {BAD}
+    WHEN min_service > 0 AND min_service_window = 0 THEN {BAD} WHEN min_service_window > {1 << 60} OR release_tick > {1 << 60} OR deadline_tick > {1 << 60} THEN {FAR} WHEN deadline_tick <= release_tick THEN {BAD} WHEN weight < 1 THEN {FAR} WHEN len(dependencies) > 4096 THEN 'bound-exceeded' WHEN readiness_signal NOT BETWEEN 0 AND 2 THEN {BAD}
+    WHEN len(list_distinct(dependencies)) < len(dependencies) OR list_contains(dependencies, flow_id) OR list_contains(dependencies, 0) THEN {BAD} ELSE 'ok' END"""
+#: Flows whose descriptor breaks a rule, by the remainder of the id: column, and the value that it gets (in SQL that both engines read).
+BROKEN = (
+    (1, "path_id", "0"), (2, "resource_id", "NULL"), (3, "priority_id", "0"), (4, "qos_id", "NULL"), (5, "fairness_group", "0"), (6, "reservation_generation", "CASE WHEN reservation_id IS NULL THEN 1 END"), (7, "estimated_work", "0"), (8, "service_quantum", str((1 << 40) + 1)),
+    (9, "min_service", "estimated_work + 1"), (10, "min_service_window", str((1 << 60) + 1)), (11, "release_tick", str((1 << 60) + 1)), (12, "deadline_tick", "release_tick"), (13, "weight", "0"), (14, "readiness_signal", "3"), (15, "generation", "0"),
+)
 
 
-@query("validate_flow", f"SELECT flow_id, {VALID} AS status FROM flows")
+def _broken(t):
+    flows = t.flows
+    for k, name, value in BROKEN:
+        flows = flows.withColumn(name, F.expr(f"CASE WHEN flow_id % 61 = {k} THEN CAST({value} AS {'INT' if name == 'readiness_signal' else 'BIGINT'}) ELSE {name} END"))
+    own, twice, many = F.array("flow_id"), F.array(c("flow_id") + 1, c("flow_id") + 1), F.sequence(c("flow_id") + 1, c("flow_id") + 4097)
+    return flows.withColumn("dependencies", F.when(c("flow_id") % 61 == 16, own).when(c("flow_id") % 61 == 17, twice).when(c("flow_id") % 61 == 18, F.array(F.lit(0).cast("long"))).when(c("flow_id") % 2440 == 2380, many).otherwise(c("dependencies")))
+
+
+def broken_sql() -> str:
+    text = "flows"
+    for k, name, value in BROKEN:
+        text = f"(SELECT * REPLACE (CASE WHEN flow_id % 61 = {k} THEN {value} ELSE {name} END AS {name}) FROM {text})"
+    return f"(SELECT * REPLACE (CASE WHEN flow_id % 61 = 16 THEN [flow_id] WHEN flow_id % 61 = 17 THEN [flow_id + 1, flow_id + 1] WHEN flow_id % 61 = 18 THEN [0] WHEN flow_id % 2440 = 2380 THEN range(flow_id + 1, flow_id + 4098) ELSE dependencies END AS dependencies) FROM {text})"
+
+
+@query("validate_flow", f"SELECT flow_id, {VALID} AS status FROM {broken_sql()}")
 def validate_flow(t):
-    return t.flows.select("flow_id", registry.validate_flow().alias("status"))
+    return _broken(t).select("flow_id", registry.validate_flow().alias("status"))
+
 
+#: Descriptors that break a rule each: a variant of every row for each k.
+VARIANTS = "(VALUES (0), (1), (2), (3), (4), (5)) v(k)"
 
-@query("validate_descriptors", """SELECT 'resource' AS kind, resource_id AS id, 'ok' AS status FROM resources UNION ALL SELECT 'reservation', reservation_id, 'ok' FROM reservations
-    UNION ALL SELECT 'priority', priority_id, 'ok' FROM priority_classes UNION ALL SELECT 'qos', qos_id, 'ok' FROM qos_classes""")
+
+@query("validate_descriptors", f"""SELECT 'resource' AS kind, resource_id AS id, k, CASE WHEN k IN (1, 2) THEN {BAD} WHEN k IN (3, 4, 5) THEN {FAR} ELSE 'ok' END AS status FROM resources, {VARIANTS}
+    UNION ALL SELECT 'reservation', reservation_id, k, CASE WHEN k IN (1, 2, 3) THEN {BAD} WHEN k IN (4, 5) THEN {FAR} ELSE 'ok' END FROM reservations, {VARIANTS}
+    UNION ALL SELECT 'priority', priority_id, k, CASE WHEN k IN (1, 2) THEN {BAD} WHEN k = 3 THEN {FAR} ELSE 'ok' END FROM priority_classes, {VARIANTS} UNION ALL SELECT 'qos', qos_id, k, CASE WHEN k IN (1, 2) THEN {BAD} WHEN k = 3 THEN {FAR} ELSE 'ok' END FROM qos_classes, {VARIANTS}""")
 def validate_descriptors(t):
-    one = lambda frame, kind, key, status: frame.select(F.lit(kind).alias("kind"), c(key).alias("id"), status.alias("status"))
-    out = one(t.resources, "resource", "resource_id", registry.validate_resource()).unionByName(one(t.reservations, "reservation", "reservation_id", registry.validate_reservation()))
-    return out.unionByName(one(t.priority_classes, "priority", "priority_id", registry.validate_priority_class())).unionByName(one(t.qos_classes, "qos", "qos_id", registry.validate_qos_class()))
+    def one(frame, kind, key, status, **changes):
+        rows = frame.withColumns({"_id": c(key), "k": F.explode(F.array(*[F.lit(k) for k in range(6)]))})
+        for name, (k, value) in changes.items():
+            rows = rows.withColumn(name, F.when(c("k") == k, value).otherwise(c(name)))
+        return rows.select(F.lit(kind).alias("kind"), c("_id").alias("id"), "k", status.alias("status"))
+
+    nothing, far = F.lit(None).cast("long"), F.lit((1 << 60) + 1)
+    out = one(t.resources, "resource", "resource_id", registry.validate_resource(), resource_id=(1, nothing), generation=(2, nothing), capacity=(3, F.lit(0)), interval_ticks=(4, far), max_overlap=(5, nothing))
+    out = out.unionByName(one(t.reservations, "reservation", "reservation_id", registry.validate_reservation(), reservation_id=(1, F.lit(0)), resource_generation=(2, nothing), window_begin=(3, c("window_end")), window_end=(4, far), capacity=(5, F.lit(0))))
+    out = out.unionByName(one(t.priority_classes, "priority", "priority_id", registry.validate_priority_class(), priority_id=(1, nothing), generation=(2, F.lit(0)), weight=(3, F.lit(0))))
+    return out.unionByName(one(t.qos_classes, "qos", "qos_id", registry.validate_qos_class(), qos_id=(1, nothing), generation=(2, F.lit(0)), max_service_per_dispatch=(3, far)))
 
 
 @query("upsert_generation", """, offers AS (SELECT resource_id, CASE WHEN k = 3 AND resource_id % 3 = 0 THEN 5 ELSE k END + generation AS generation, resource_id * 10 + CASE WHEN resource_id % 5 = 0 THEN 10 - k ELSE k END AS sequence FROM resources, (VALUES (1), (2), (3)) v(k)),
@@ -69,19 +103,20 @@ def retire_reservation(t):
     return registry.retire_reservations(t.reservations, t.resources.select(c("resource_id").alias("reservation_id"), F.lit(1).cast("long").alias("request_generation")))
 
 
-OFFERED = "SELECT * REPLACE (CASE WHEN flow_id % 101 = 0 THEN 2 ELSE resource_generation END AS resource_generation, CASE WHEN flow_id % 103 = 0 THEN 9 ELSE priority_id END AS priority_id) FROM flows"
+OFFERED = "SELECT * REPLACE (CASE WHEN flow_id % 101 = 0 THEN 2 ELSE resource_generation END AS resource_generation, CASE WHEN flow_id % 103 = 0 THEN 9 ELSE priority_id END AS priority_id), flow_id * 2 AS sequence FROM flows"
 
 
 def _offered(t):
     stale = F.when(c("flow_id") % 101 == 0, F.lit(2).cast("long")).otherwise(c("resource_generation"))
-    return t.flows.withColumn("resource_generation", stale).withColumn("priority_id", F.when(c("flow_id") % 103 == 0, F.lit(9).cast("long")).otherwise(c("priority_id")))
+    once = t.flows.withColumns({"resource_generation": stale, "priority_id": F.when(c("flow_id") % 103 == 0, F.lit(9).cast("long")).otherwise(c("priority_id")), "sequence": c("flow_id") * 2})
+    return once.unionByName(once.filter(c("flow_id") % 9 == 0).withColumn("sequence", c("sequence") + 1))
 
 
-@query("admit_flow", f""", o AS (SELECT *, {VALID} AS v FROM ({OFFERED}))
-    SELECT flow_id, CASE WHEN v <> 'ok' THEN v WHEN resource_generation <> 1 THEN 'stale-resource-generation' WHEN priority_id = 9 THEN 'unknown-policy' WHEN o.reservation_id IS NOT NULL AND r.reservation_id IS NULL THEN 'unknown-reservation'
+@query("admit_flow", f""", o AS (SELECT *, {VALID} AS v FROM (SELECT * FROM ({OFFERED}) UNION ALL SELECT * REPLACE (sequence + 1 AS sequence) FROM ({OFFERED}) WHERE flow_id % 9 = 0))
+    SELECT flow_id, sequence, CASE WHEN v <> 'ok' THEN v WHEN sequence % 2 = 1 THEN 'already-exists' WHEN resource_generation <> 1 THEN 'stale-resource-generation' WHEN priority_id = 9 THEN 'unknown-policy' WHEN o.reservation_id IS NOT NULL AND r.reservation_id IS NULL THEN 'unknown-reservation'
     WHEN r.generation <> o.reservation_generation THEN 'stale-reservation-generation' ELSE 'ok' END AS status FROM o LEFT JOIN (SELECT reservation_id, generation FROM reservations WHERE NOT retired) r USING (reservation_id)""")
 def admit_flow(t):
-    return registry.admit_flows(_offered(t), t.resources, t.priority_classes, t.qos_classes, t.reservations).select("flow_id", "status")
+    return registry.admit_flows(_offered(t), t.resources, t.priority_classes, t.qos_classes, t.reservations, "sequence").select("flow_id", "sequence", "status")
 
 
 @query("update_flow", f""", o AS (SELECT f.*, s.lifecycle, s.served_work, CASE WHEN flow_id % 6 = 0 THEN 3 ELSE 2 END AS offered, {VALID} AS v FROM flows f LEFT JOIN flow_state s USING (flow_id))
@@ -95,11 +130,24 @@ def update_flow(t):
     return registry.update_flows(t.state, offered, t.resources, t.priority_classes, t.qos_classes, t.reservations)
 
 
-@query("descriptor_digest")
+RES_DIGEST, BOOK_DIGEST = ("resource_id", "generation", "capacity", "interval_ticks", "max_overlap"), ("reservation_id", "generation", "resource_id", "resource_generation", "window_begin", "window_end", "capacity", "exclusive")
+CLASS_DIGEST, QOS_DIGEST = ("priority_id", "generation", "rank", "weight"), ("qos_id", "generation", "preemption_protected", "max_service_per_dispatch")
+FLOW_DIGEST = (
+    "flow_id", "generation", "path_id", "path_generation", "resource_id", "resource_generation", "reservation_id", "reservation_generation", "priority_id", "priority_generation", "qos_id", "qos_generation", "fairness_group", "estimated_work", "service_quantum", "min_service", "min_service_window",
+    "release_tick + 10000", "coalesce(deadline_tick, 0) + 10000", "weight", "preemptible", "auto_ready", "readiness_signal",
+)
+
+
+@query("descriptor_digest", f"""SELECT 'resource' AS kind, resource_id AS id, {fnv_sql(*RES_DIGEST)} AS digest FROM resources UNION ALL SELECT 'reservation', reservation_id, {fnv_sql(*BOOK_DIGEST, widths=(8,) * 7 + (1,))} FROM reservations
+    UNION ALL SELECT 'priority', priority_id, {fnv_sql(*CLASS_DIGEST, widths=(8, 8, 4, 8))} FROM priority_classes UNION ALL SELECT 'qos', qos_id, {fnv_sql(*QOS_DIGEST, widths=(8, 8, 1, 8))} FROM qos_classes
+    UNION ALL SELECT 'flow', flow_id, {fnv_sql(*FLOW_DIGEST, widths=(8,) * 20 + (1,) * 3, listed='dependencies')} FROM flows""")
 def descriptor_digest(t):
-    fields = ("flow_id", "generation", "path_id", "resource_id", "reservation_id", "priority_id", "qos_id", "fairness_group", "estimated_work", "service_quantum", "release_tick", "deadline_tick", "weight")
-    own = fnv_of_longs(*[c(f) for f in fields])
-    return t.flows.select("flow_id", own.alias("fields_digest"), fnv_of_list(F.array_sort("dependencies")).alias("dependencies_digest"))
+    one = lambda frame, kind, key, value: frame.select(F.lit(kind).alias("kind"), c(key).alias("id"), value.alias("digest"))
+    fields = lambda names: [F.expr(n) for n in names]
+    out = one(t.resources, "resource", "resource_id", fnv(*fields(RES_DIGEST))).unionByName(one(t.reservations, "reservation", "reservation_id", fnv(*fields(BOOK_DIGEST), widths=(8,) * 7 + (1,))))
+    out = out.unionByName(one(t.priority_classes, "priority", "priority_id", fnv(*fields(CLASS_DIGEST), widths=(8, 8, 4, 8)))).unionByName(one(t.qos_classes, "qos", "qos_id", fnv(*fields(QOS_DIGEST), widths=(8, 8, 1, 8))))
+    own = fnv(*fields(FLOW_DIGEST), c("dependencies"), widths=(8,) * 20 + (1,) * 3 + (8,), listed=len(FLOW_DIGEST))
+    return out.unionByName(one(t.flows, "flow", "flow_id", own))
 
 
 @query("flow_snapshot", "SELECT flow_id, generation, lifecycle, served_work, CAST(greatest(estimated_work - served_work, 0) AS BIGINT) AS remaining FROM flows JOIN flow_state USING (flow_id)")

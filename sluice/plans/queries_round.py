@@ -9,7 +9,7 @@ from sluice.operators import arbitrate, assign, lifecycle, ranking, readiness
 from sluice.plans import rounds
 from sluice.plans.world import world_of
 from sluice.policy import Policy
-from sluice.sources.derived import DUCK, NOW, tables
+from sluice.sources.derived import DUCK, EPOCH, NOW, tables
 
 c = F.col
 QUERIES: dict = {}
@@ -45,34 +45,59 @@ KEYED = f"""{READY}, keyed AS (SELECT d.*, {TIER} AS tier, p.rank, q.preemption_
     coalesce(n, 0) AS in_flight FROM readied d JOIN priority_classes p USING (priority_id) JOIN qos_classes q USING (qos_id) JOIN resources c ON c.resource_id = d.resource_id
     LEFT JOIN (SELECT resource_id, count(*) AS n FROM flows JOIN flow_state USING (flow_id) WHERE lifecycle IN ('running', 'scheduled') GROUP BY 1) i ON i.resource_id = d.resource_id)"""
 ORDER = "tier, rank, deadline_tick NULLS LAST, virtual_finish, weight DESC, flow_id, generation"
-#: The closed form on flows without a reservation.
-OPEN_FORM = f"""{KEYED}, cand AS (SELECT * FROM keyed WHERE reason = 'selected' AND lifecycle IN ('waiting', 'ready') AND reservation_id IS NULL),
-    g1 AS (SELECT *, greatest(0, least(want, room - coalesce(sum(want) OVER w, 0))) AS g FROM cand WINDOW w AS (PARTITION BY resource_id ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    g2 AS (SELECT *, coalesce(sum(CASE WHEN g > 0 THEN 1 ELSE 0 END) OVER w, 0) AS taken FROM g1 WINDOW w AS (PARTITION BY resource_id ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    g3 AS (SELECT *, CASE WHEN taken >= greatest(max_overlap - in_flight, 0) THEN CASE WHEN resource_id IN (SELECT resource_id FROM keyed WHERE open_attempt IS NOT NULL) THEN 'preemption-disabled' ELSE 'concurrency-limit-reached' END
-        WHEN g > 0 THEN 'selected' WHEN want = 0 THEN 'no-legal-quantum' ELSE 'resource-capacity-exhausted' END AS decision FROM g2)"""
+#: Candidates in order, and the incumbents of each resource, the worst first.
+CANDIDATES = f"""{KEYED}, cand AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {ORDER}) AS i, flow_id, resource_id, tier, rank, want, room, in_flight, max_overlap, reservation_id IS NOT NULL AS bound, greatest(res_capacity - res_used, 0) AS res_left, estimated_work - served_work AS undone FROM keyed WHERE reason = 'selected' AND lifecycle IN ('waiting', 'ready')),
+    held AS MATERIALIZED (SELECT resource_id, flow_id, tier, rank, preemption_protected OR NOT preemptible AS safe, coalesce(deadline_tick <= {NOW}, false) AS overdue, outstanding_reserved,
+        row_number() OVER (PARTITION BY resource_id ORDER BY tier DESC, rank DESC, coalesce(deadline_tick, 9223372036854775807) DESC, virtual_finish DESC, weight, flow_id DESC) AS place FROM keyed WHERE open_attempt IS NOT NULL)"""
+
+
+def pass_sql(tiered: bool) -> str:
+    """The sequential pass over all candidates, a step each: what every resource has placed, charged, booked and lost is a list by resource (25 of them, each with one reservation)."""
+    none = "list_transform(range(25), lambda x: CAST(0 AS BIGINT))"
+    put = lambda name, change: f"list_transform({name}, lambda x, k: CASE WHEN k = resource_id THEN x + {change} ELSE x END)"
+    disabled = "" if tiered else "WHEN true THEN 'preemption-disabled' "
+    refusal = f"CASE WHEN in_flight + placed[resource_id] < max_overlap THEN NULL WHEN worst IS NULL THEN 'concurrency-limit-reached' {disabled}WHEN safe THEN 'incumbent-not-preemptible' WHEN spent >= 64 THEN 'preemption-throttled' WHEN NOT (tier < worst_tier OR rank < worst_rank OR overdue) THEN 'preemption-not-authorized' END"
+    return f"""{CANDIDATES}, step AS (
+        SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS flow_id, CAST(NULL AS BIGINT) AS resource_id, CAST(NULL AS INT) AS tier, CAST(0 AS BIGINT) AS g, '' AS decision, CAST(NULL AS BIGINT) AS victim, CAST(NULL AS BIGINT) AS victim_units, {none} AS placed, {none} AS charged, {none} AS booked, {none} AS lost, CAST(0 AS BIGINT) AS spent
+        UNION ALL
+        SELECT i, flow_id, resource_id, tier, g, decision, CASE WHEN out = 1 THEN worst END, CASE WHEN out = 1 THEN outstanding_reserved END, {put('placed', '(CASE WHEN g > 0 THEN 1 ELSE 0 END) - out')}, {put('charged', 'g')}, {put('booked', '(CASE WHEN bound THEN g ELSE 0 END)')}, {put('lost', 'out')}, spent + out
+        FROM (SELECT *, coalesce(refusal, CASE WHEN g > 0 THEN 'selected' WHEN undone <= 0 THEN 'no-legal-quantum' WHEN free = 0 THEN 'resource-capacity-exhausted' WHEN bound AND slack = 0 THEN 'reservation-exhausted' ELSE 'no-legal-quantum' END) AS decision
+            FROM (SELECT *, CASE WHEN refusal IS NULL THEN CAST(least(want, free, CASE WHEN bound THEN slack ELSE free END) AS BIGINT) ELSE 0 END AS g, CAST(CASE WHEN refusal IS NULL AND in_flight + placed[resource_id] >= max_overlap THEN 1 ELSE 0 END AS BIGINT) AS out
+                FROM (SELECT *, {refusal} AS refusal, greatest(0, room - charged[resource_id]) AS free, greatest(0, res_left - booked[resource_id]) AS slack
+                    FROM (SELECT c.*, s.placed, s.charged, s.booked, s.lost, s.spent, h.flow_id AS worst, h.tier AS worst_tier, h.rank AS worst_rank, h.safe, h.overdue, h.outstanding_reserved FROM step s JOIN cand c ON c.i = s.i + 1 LEFT JOIN held h ON h.resource_id = c.resource_id AND h.place = s.lost[c.resource_id] + 1)))))"""
+
+
+PASS, TIERED_PASS = pass_sql(False), pass_sql(True)
+#: Why the other open flows do not run.
+REST = "SELECT flow_id, resource_id, tier, CAST(0 AS BIGINT) AS quantum, reason AS decision FROM keyed WHERE reason <> 'selected' AND lifecycle IN ('waiting', 'ready', 'ambiguous')"
 
 
 def _keyed(t, policy=POLICY):
     return arbitrate.candidates(world_of(t), policy, NOW)
 
 
-@query("arbitrate_round", f"""{OPEN_FORM}, d AS (SELECT flow_id, resource_id, tier, CAST(CASE WHEN decision = 'selected' THEN g ELSE 0 END AS BIGINT) AS quantum, decision FROM g3
-    UNION ALL SELECT flow_id, resource_id, tier, 0, reason FROM keyed WHERE reservation_id IS NULL AND reason <> 'selected' AND lifecycle IN ('waiting', 'ready', 'ambiguous')) SELECT * FROM d""")
+@query("arbitrate_round", f"{PASS} SELECT flow_id, resource_id, tier, g AS quantum, decision FROM step WHERE i > 0 UNION ALL {REST}")
 def arbitrate_round(t):
-    world = world_of(t)
-    rows = arbitrate.round_decisions(world, POLICY, NOW, exact_fold=False, only=c("reservation_id").isNull())
-    return rows.select("flow_id", "resource_id", "tier", c("grant").alias("quantum"), "decision")
+    return arbitrate.round_decisions(world_of(t), POLICY, NOW).select("flow_id", "resource_id", "tier", c("grant").alias("quantum"), "decision")
 
 
-@query("arbitrate_fold")
+@query("arbitrate_fold", f"{TIERED_PASS} SELECT flow_id, resource_id, tier, g AS quantum, decision, victim FROM step WHERE i > 0 UNION ALL SELECT *, NULL FROM ({REST})")
 def arbitrate_fold(t):
     return arbitrate.round_decisions(world_of(t), TIERED, NOW).select("flow_id", "resource_id", "tier", c("grant").alias("quantum"), "decision", "victim")
 
 
-@query("round_partition", f"{OPEN_FORM} SELECT decision, count(*) AS flows, CAST(sum(CASE WHEN decision = 'selected' THEN g ELSE 0 END) AS BIGINT) AS quantum FROM g3 GROUP BY decision")
+@query("schedule_entries", f"""{TIERED_PASS}, e AS (SELECT i, 0 AS part, 'preempt' AS kind, victim AS flow_id, victim_units AS quantum, tier FROM step WHERE victim IS NOT NULL UNION ALL SELECT i, 1, 'run', flow_id, g, tier FROM step WHERE g > 0)
+    SELECT row_number() OVER (ORDER BY i, part) - 1 AS ordinal, kind, flow_id, f.generation AS flow_generation, f.resource_id, f.reservation_id, CAST(quantum AS BIGINT) AS quantum, f.deadline_tick, tier, CASE kind WHEN 'run' THEN 'selected' ELSE 'displaced-by-higher-authority' END AS reason, CASE kind WHEN 'preempt' THEN s.open_attempt END AS attempt_id
+    FROM e JOIN flows f USING (flow_id) JOIN flow_state s USING (flow_id)""")
+def schedule_entries(t):
+    world = world_of(t)
+    made = rounds.schedule_entries(arbitrate.decide(world, TIERED, NOW), world.flows, 1, EPOCH, NOW)
+    return made.select("ordinal", "kind", "flow_id", "flow_generation", "resource_id", "reservation_id", "quantum", "deadline_tick", "tier", "reason", "attempt_id")
+
+
+@query("round_partition", f"{PASS} SELECT decision, count(*) AS flows, CAST(sum(quantum) AS BIGINT) AS quantum FROM (SELECT flow_id, g AS quantum, decision FROM step WHERE i > 0 UNION ALL SELECT flow_id, quantum, decision FROM ({REST})) GROUP BY decision")
 def round_partition(t):
-    rows = arbitrate.round_decisions(world_of(t), POLICY, NOW, exact_fold=False, only=c("reservation_id").isNull(), rest=False)
+    rows = arbitrate.round_decisions(world_of(t), POLICY, NOW)
     return rows.groupBy("decision").agg(F.count_distinct("flow_id").alias("flows"), F.sum("grant").alias("quantum"))
 
 
@@ -153,27 +178,23 @@ def capacity_interval(t):
     return rows.select("flow_id", "resource_id", index.alias("interval_index"), F.when(same, F.greatest(c("capacity") - c("resource_id") % 20, F.lit(0))).otherwise(c("capacity")).alias("left_at_release"))
 
 
-@query("capacity_grant", f"{OPEN_FORM} SELECT resource_id, CAST(sum(CASE WHEN decision = 'selected' THEN g ELSE 0 END) AS BIGINT) AS granted, CAST(max(room) AS BIGINT) AS room FROM g3 GROUP BY resource_id")
+@query("capacity_grant", f"{PASS} SELECT s.resource_id, CAST(sum(g) AS BIGINT) AS granted, CAST(max(room) AS BIGINT) AS room FROM step s JOIN cand USING (i) GROUP BY s.resource_id")
 def capacity_grant(t):
-    rows = _closed(t)
-    return rows.groupBy("resource_id").agg(F.sum("grant").alias("granted"), F.max("capacity_left").alias("room"))
+    return _ready(t).groupBy("resource_id").agg(F.sum("grant").alias("granted"), F.max("capacity_left").alias("room"))
 
 
-def _closed(t):
-    ready = _keyed(t).filter((c("reason") == "selected") & c("lifecycle").isin("waiting", "ready") & c("reservation_id").isNull())
-    held = assign.incumbents(_keyed(t))
-    ready = ready.join(held, "resource_id", "left").withColumn("refusal", F.when(c("worst").isNull(), "concurrency-limit-reached").otherwise(assign.verdict(POLICY, NOW)))
-    return assign.closed_form(ready)
+def _ready(t):
+    return arbitrate.decide(world_of(t), POLICY, NOW).filter((c("reason") == "selected") & (c("decision") != "resource-unavailable"))
 
 
-@query("overlap_ceiling", f"{OPEN_FORM} SELECT resource_id, count(*) FILTER (decision = 'selected') AS running, CAST(max(greatest(max_overlap - in_flight, 0)) AS BIGINT) AS slots FROM g3 GROUP BY resource_id")
+@query("overlap_ceiling", f"{PASS} SELECT s.resource_id, count(*) FILTER (decision = 'selected') AS running, CAST(max(greatest(max_overlap - in_flight, 0)) AS BIGINT) AS slots FROM step s JOIN cand USING (i) GROUP BY s.resource_id")
 def overlap_ceiling(t):
-    return _closed(t).groupBy("resource_id").agg(F.count_if(c("decision") == "selected").alias("running"), F.max(F.greatest(c("max_overlap") - c("in_flight"), F.lit(0))).alias("slots"))
+    return _ready(t).groupBy("resource_id").agg(F.count_if(c("decision") == "selected").alias("running"), F.max(F.greatest(c("max_overlap") - c("in_flight"), F.lit(0))).alias("slots"))
 
 
-@query("deferral_reason", f"{OPEN_FORM} SELECT flow_id, decision AS reason FROM g3 WHERE decision <> 'selected'")
+@query("deferral_reason", f"{PASS} SELECT flow_id, decision AS reason FROM step WHERE i > 0 AND decision <> 'selected'")
 def deferral_reason(t):
-    return _closed(t).filter(c("decision") != "selected").select("flow_id", c("decision").alias("reason"))
+    return _ready(t).filter(c("decision") != "selected").select("flow_id", c("decision").alias("reason"))
 
 
 @query("reservation_grant", f"""{KEYED}, n AS (SELECT flow_id, reservation_id, want, greatest(res_capacity - res_used, 0) AS have, row_number() OVER (PARTITION BY reservation_id ORDER BY {ORDER}) AS i FROM keyed WHERE reservation_id IS NOT NULL AND res_capacity IS NOT NULL)
@@ -202,13 +223,11 @@ def preemption_verdict(t):
     return ready.select("flow_id", c("worst.flow_id").alias("victim"), F.coalesce(assign.verdict(TIERED, NOW), F.lit("allowed")).alias("verdict"))
 
 
-@query("preempt_pairs", f"""{VERDICT}, p AS (SELECT victim, open_attempt, min(flow_id) AS by_flow FROM v WHERE verdict = 'allowed' GROUP BY ALL)
-    SELECT victim AS flow_id, 'preempt' AS kind, by_flow FROM p UNION ALL SELECT by_flow, 'run', by_flow FROM p""")
+@query("preempt_pairs", f"{TIERED_PASS} SELECT victim AS flow_id, 'preempt' AS kind, flow_id AS by_flow FROM step WHERE victim IS NOT NULL UNION ALL SELECT flow_id, 'run', flow_id FROM step WHERE g > 0")
 def preempt_pairs(t):
-    rows = _keyed(t, TIERED)
-    ready = rows.filter((c("reason") == "selected") & c("open_attempt").isNull()).join(assign.incumbents(rows), "resource_id")
-    allowed = ready.filter(assign.verdict(TIERED, NOW).isNull()).groupBy(c("worst.flow_id").alias("victim")).agg(F.min("flow_id").alias("by_flow"))
-    return allowed.select(c("victim").alias("flow_id"), F.lit("preempt").alias("kind"), "by_flow").unionByName(allowed.select(c("by_flow").alias("flow_id"), F.lit("run").alias("kind"), "by_flow"))
+    made = arbitrate.round_decisions(world_of(t), TIERED, NOW)
+    stop = made.filter(c("victim").isNotNull()).select(c("victim").alias("flow_id"), F.lit("preempt").alias("kind"), c("flow_id").alias("by_flow"))
+    return stop.unionByName(made.filter(c("grant") > 0).select("flow_id", F.lit("run").alias("kind"), c("flow_id").alias("by_flow")))
 
 
 @query("preemption_throttle", "SELECT tick // 1000 AS bucket, count(*) AS displaced, count(*) >= 64 AS exhausted FROM journal WHERE type = 'attempt-closed' GROUP BY 1")

@@ -48,26 +48,26 @@ class Policy:
 
 
 def validate(policy: Policy) -> tuple[str, str]:
-    """(code, message) of the first rule that the policy breaks, or ('ok', '')."""
+    """(code, knob) of the first rule that the policy breaks, or ('ok', '')."""
     p = policy
     rules = (
-        (p.policy_id <= 0, "invalid-argument", "policy identity is unbound"),
-        (p.generation <= 0, "invalid-argument", "policy generation is unbound"),
-        (not 1 <= p.max_flows <= MAX_FLOWS, "out-of-range", "policy max_flows is out of bounds"),
-        (not 1 <= p.max_resources <= MAX_RESOURCES, "out-of-range", "policy max_resources is out of bounds"),
-        (not 1 <= p.max_reservations <= MAX_RESERVATIONS, "out-of-range", "policy max_reservations is out of bounds"),
-        (not 1 <= p.max_entries_per_schedule <= MAX_ENTRIES, "out-of-range", "policy max_entries_per_schedule is out of bounds"),
-        (not 1 <= p.max_quantum <= MAX_QUANTUM, "out-of-range", "policy max_quantum is out of bounds"),
-        (not 1 <= p.default_max_overlap <= MAX_SERVICE, "out-of-range", "policy default_max_overlap is out of bounds"),
-        (not 1 <= p.starvation_bound_ticks <= MAX_TICK, "out-of-range", "policy starvation bound is out of bounds"),
-        (not 0 <= p.deadline_urgency_ticks <= MAX_TICK, "out-of-range", "policy urgency is beyond the horizon"),
-        (not 0 <= p.min_preempt_service <= MAX_SERVICE, "out-of-range", "policy min_preempt_service is out of bounds"),
-        (not 1 <= p.preemption_interval_ticks <= MAX_TICK, "out-of-range", "policy preemption interval is out of bounds"),
-        (not 0 <= p.max_preemptions_per_interval <= 1 << 24, "out-of-range", "policy preemption throttle is out of bounds"),
-        (not 1 <= p.dispatch_delivery_horizon <= MAX_TICK, "out-of-range", "policy delivery horizon is out of bounds"),
-        (not 16 <= p.retained_schedule_history <= 1 << 20, "out-of-range", "policy retained history is out of bounds"),
-        (p.preemption not in MODES, "invalid-argument", "policy preemption mode is unknown"),
-        (p.provenance == "unknown", "invalid-argument", "policy provenance is not established"),
+        (p.policy_id <= 0, "invalid-argument", "id"),
+        (p.generation <= 0, "invalid-argument", "generation"),
+        (not 1 <= p.max_flows <= MAX_FLOWS, "out-of-range", "flows"),
+        (not 1 <= p.max_resources <= MAX_RESOURCES, "out-of-range", "resources"),
+        (not 1 <= p.max_reservations <= MAX_RESERVATIONS, "out-of-range", "reservations"),
+        (not 1 <= p.max_entries_per_schedule <= MAX_ENTRIES, "out-of-range", "entries"),
+        (not 1 <= p.max_quantum <= MAX_QUANTUM, "out-of-range", "quantum"),
+        (not 1 <= p.default_max_overlap <= MAX_SERVICE, "out-of-range", "overlap"),
+        (not 1 <= p.starvation_bound_ticks <= MAX_TICK, "out-of-range", "starvation"),
+        (not 0 <= p.deadline_urgency_ticks <= MAX_TICK, "out-of-range", "urgency"),
+        (not 0 <= p.min_preempt_service <= MAX_SERVICE, "out-of-range", "min-preempt"),
+        (not 1 <= p.preemption_interval_ticks <= MAX_TICK, "out-of-range", "interval"),
+        (not 0 <= p.max_preemptions_per_interval <= 1 << 24, "out-of-range", "throttle"),
+        (not 1 <= p.dispatch_delivery_horizon <= MAX_TICK, "out-of-range", "horizon"),
+        (not 16 <= p.retained_schedule_history <= 1 << 20, "out-of-range", "history"),
+        (p.preemption not in MODES, "invalid-argument", "mode"),
+        (p.provenance == "unknown", "invalid-argument", "provenance"),
     )
     return next(((code, message) for broken, code, message in rules if broken), ("ok", ""))
 
@@ -79,7 +79,7 @@ def install(current: Policy | None, new: Policy, flows: int = 0) -> tuple[str, s
         return found
     expected = current.generation + 1 if current and current.policy_id == new.policy_id else 1
     if new.generation != expected:
-        return "invalid-argument", "policy generation must advance by exactly one"
+        return "invalid-argument", "succession"
     if new.max_flows < flows:
-        return "bound-exceeded", "policy bound is below the registered flow count"
+        return "bound-exceeded", "too-many-flows"
     return "ok", ""

@@ -17,6 +17,10 @@ BASE = ("nation", "customer", "orders", "lineitem", "events")
 NOW, EPOCH = 1200, 3
 
 
+#: Fields that make two reports the same.
+EVIDENCE = ("attempt_id", "epoch", "schedule_id", "schedule_generation", "flow_id", "flow_generation", "worker", "boot", "outcome", "served", "tick", "origin")
+
+
 @dataclass(frozen=True)
 class Dialect:
     spark: bool
@@ -33,6 +37,10 @@ class Dialect:
     def micros(self, column: str) -> str:
         return f"unix_micros(CAST({column} AS TIMESTAMP))" if self.spark else f"epoch_us({column})"
 
+    def digest(self, *columns: str) -> str:
+        text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({x} AS {'STRING' if self.spark else 'VARCHAR'}), '')" for x in columns) + ")"
+        return f"sha2({text}, 256)" if self.spark else f"sha256({text})"
+
     def one(self, value: str) -> str:
         return f"array({value})" if self.spark else f"[{value}]"
 
@@ -46,7 +54,7 @@ def views(d: Dialect) -> dict[str, str]:
     t = d.table
     big = lambda x: f"CAST({x} AS BIGINT)"
     return {
-        "resources": f"SELECT {big('n_nationkey + 1')} AS resource_id, {big('1')} AS generation, {big('40 + 5 * n_nationkey')} AS capacity, {big('30')} AS interval_ticks, {big('4 + n_nationkey % 5')} AS max_overlap FROM {t('nation')}",
+        "resources": f"SELECT {big('n_nationkey + 1')} AS resource_id, {big('1')} AS generation, {big('40 + 5 * n_nationkey')} AS capacity, {big('30')} AS interval_ticks, {big('4 + n_nationkey % 5')} + n_nationkey % 2 * {d.div('(SELECT count(*) FROM ' + t('orders') + ')', '150')} AS max_overlap FROM {t('nation')}",
         "reservations": f"""SELECT {big('n_nationkey + 1')} AS reservation_id, {big('CASE WHEN n_nationkey = 12 THEN 2 ELSE 1 END')} AS generation, {big('n_nationkey + 1')} AS resource_id, {big('1')} AS resource_generation,
             {big('400 + 200 * (n_nationkey % 5)')} AS window_begin, {big('800 + 200 * (n_nationkey % 5)')} AS window_end, {big('64')} AS capacity, n_nationkey % 4 = 0 AS exclusive, n_nationkey % 10 = 8 AS retired,
             {big('CASE WHEN n_nationkey = 14 THEN 64 ELSE n_nationkey END')} AS reserved_units FROM {t('nation')} WHERE n_nationkey % 2 = 0""",
@@ -65,34 +73,48 @@ def views(d: Dialect) -> dict[str, str]:
         "flow_state": f"""SELECT flow_id, lifecycle, CASE lifecycle WHEN 'completed' THEN estimated_work ELSE served END AS served_work, CASE WHEN lifecycle IN ('running', 'scheduled') THEN service_quantum ELSE {big('0')} END AS outstanding_reserved,
             CASE lifecycle WHEN 'running' THEN flow_id * 10 + 1 END AS open_attempt, CASE WHEN lifecycle IN ('running', 'scheduled') THEN flow_id % 100 + 1 END AS scheduled_schedule, release_tick AS last_change_tick,
             release_tick + flow_id % 50 AS eligible_since_tick, lifecycle = 'ready' OR flow_id % 3 = 0 AS ever_ready, release_tick + flow_id % 40 AS min_service_window_start, flow_id % 9 AS min_service_delivered,
-            (flow_id * 7919) % 1000 * 1048576 AS virtual_finish, flow_id % 29 = 0 AS deadline_missed_counted, false AS starvation_counted, flow_id % 5 * 10 AS wait_ticks
+            (flow_id * 7919) % 1000 * 1048576 AS virtual_finish, flow_id % 29 = 0 AS deadline_missed_counted, flow_id % 37 = 0 AS starvation_counted, CASE WHEN flow_id % 31 = 0 THEN {big('2')} ELSE {big('0')} END AS starvation_boosts, {big('0')} AS preemptions, flow_id % 5 * 10 AS wait_ticks
             FROM (SELECT *, CASE WHEN served >= estimated_work THEN 'completed' WHEN flow_id % 97 = 0 THEN 'cancelled' WHEN flow_id % 89 = 0 THEN 'failed' WHEN flow_id % 83 = 0 THEN 'ambiguous'
                 WHEN flow_id % 11 = 0 THEN 'running' WHEN flow_id % 23 = 0 THEN 'scheduled' WHEN flow_id % 4 = 1 THEN 'ready' ELSE 'waiting' END AS lifecycle
                 FROM (SELECT *, CASE WHEN flow_id % 6 = 0 THEN _served ELSE {d.div('_served', '2')} END AS served FROM flows WHERE estimated_work > 0) f) g""",
+        "evidence": f"""SELECT *, {d.digest(*EVIDENCE)} AS digest FROM (SELECT sequence, flow_id * 10 + CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END AS attempt_id, CASE WHEN user_id % 17 = 0 THEN {EPOCH - 1} ELSE {EPOCH} END AS epoch, flow_id % 100 + 1 AS schedule_id, {big('CASE WHEN user_id % 19 = 0 THEN 2 ELSE 1 END')} AS schedule_generation,
+            flow_id, {big('CASE WHEN user_id % 23 = 0 THEN 2 ELSE 1 END')} AS flow_generation, CASE WHEN user_id % 13 = 0 THEN {big('0')} ELSE flow_id % 8 + 1 END AS worker, CASE WHEN user_id % 7 = 0 THEN {big('9')} ELSE flow_id % 3 + 1 END AS boot,
+            CASE event_type WHEN 'purchase' THEN 'served' WHEN 'error' THEN 'failed' ELSE 'no-service' END AS outcome, served, tick, CASE WHEN user_id % 29 = 0 THEN 'unknown' ELSE 'external' END AS origin
+            FROM (SELECT event_id * 4 + 1 AS sequence, (event_id % 4000 + 1) * 11 AS flow_id, user_id, event_type, {big('floor(value)')} % 24 AS served, {d.div(d.micros('ts'), '1000000')} AS tick FROM {t('events')}
+                UNION ALL SELECT event_id * 4 + 2, (event_id % 4000 + 1) * 11, user_id, event_type, {big('floor(value)')} % 24, {d.div(d.micros('ts'), '1000000')} FROM {t('events')} WHERE event_id % 7 = 0
+                UNION ALL SELECT event_id * 4 + 3, (event_id % 4000 + 1) * 11, user_id, event_type, {big('floor(value)')} % 24 + 1, {d.div(d.micros('ts'), '1000000')} FROM {t('events')} WHERE event_id % 11 = 0) e) r""",
         "attempts": f"""SELECT attempt_id, {big(f'CASE WHEN flow_id % 37 = 0 THEN {EPOCH - 1} ELSE {EPOCH} END')} AS epoch, flow_id % 100 + 1 AS schedule_id, {big('1')} AS schedule_generation, flow_id, {big('CASE WHEN flow_id % 31 = 0 THEN 2 ELSE 1 END')} AS flow_generation,
             path_id, {big('CASE WHEN flow_id % 41 = 0 THEN 2 ELSE 1 END')} AS path_generation, CASE WHEN flow_id % 43 = 0 THEN {big('99')} ELSE resource_id END AS resource_id, {big('CASE WHEN flow_id % 47 = 0 THEN 2 ELSE 1 END')} AS resource_generation,
             reservation_id, reservation_generation, qos_id, {big('CASE WHEN flow_id % 53 = 0 THEN 2 ELSE 1 END')} AS qos_generation, CASE WHEN flow_id % 59 = 0 THEN {big('9')} ELSE priority_id END AS priority_id, {big('CASE WHEN flow_id % 61 = 0 THEN 2 ELSE 1 END')} AS priority_generation,
             {big('1')} AS policy_id, {big('CASE WHEN flow_id % 67 = 0 THEN 2 ELSE 1 END')} AS policy_generation, flow_id % 8 + 1 AS worker, flow_id % 3 + 1 AS boot, release_tick AS start_tick, deadline_tick, service_quantum AS quantum, state, release_tick AS opened_tick,
-            CASE WHEN state IN ('open', 'started') THEN NULL ELSE release_tick + 5 END AS closed_tick, CASE WHEN state = 'committed' OR flow_id % 28 = 0 AND state = 'preempted' THEN flow_id % 17 END AS evidence_served, CASE state WHEN 'committed' THEN flow_id % 17 ELSE {big('0')} END AS credited
+            CASE WHEN state IN ('open', 'started') THEN NULL ELSE release_tick + 5 END AS closed_tick, CASE WHEN state = 'committed' OR flow_id % 28 = 0 AND state = 'preempted' THEN flow_id % 17 END AS evidence_served, CASE state WHEN 'committed' THEN flow_id % 17 ELSE {big('0')} END AS credited,
+            CASE WHEN state = 'committed' OR flow_id % 28 = 0 AND state = 'preempted' THEN coalesce(first_digest, 'none') END AS evidence_digest
             FROM (SELECT f.*, open_attempt AS attempt_id, CASE WHEN flow_id % 2 = 0 THEN 'started' ELSE 'open' END AS state FROM flows f JOIN flow_state USING (flow_id) WHERE open_attempt IS NOT NULL
-                UNION ALL SELECT f.*, flow_id * 10 AS attempt_id, CASE WHEN flow_id % 14 = 0 THEN 'preempted' WHEN flow_id % 15 = 0 THEN 'abandoned' WHEN flow_id % 16 = 0 THEN 'cancelled' ELSE 'committed' END AS state FROM flows f JOIN flow_state USING (flow_id) WHERE flow_id % 2 = 0) a""",
-        "evidence": f"""SELECT sequence, flow_id * 10 + CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END AS attempt_id, CASE WHEN user_id % 17 = 0 THEN {EPOCH - 1} ELSE {EPOCH} END AS epoch, flow_id % 100 + 1 AS schedule_id, {big('CASE WHEN user_id % 19 = 0 THEN 2 ELSE 1 END')} AS schedule_generation,
-            flow_id, {big('CASE WHEN user_id % 23 = 0 THEN 2 ELSE 1 END')} AS flow_generation, CASE WHEN user_id % 13 = 0 THEN {big('0')} ELSE flow_id % 8 + 1 END AS worker, CASE WHEN user_id % 7 = 0 THEN {big('9')} ELSE flow_id % 3 + 1 END AS boot,
-            CASE event_type WHEN 'purchase' THEN 'served' WHEN 'error' THEN 'failed' ELSE 'no-service' END AS outcome, served, tick, CASE WHEN user_id % 29 = 0 THEN 'unknown' ELSE 'external' END AS origin
-            FROM (SELECT event_id * 4 + 1 AS sequence, (event_id % 4000 + 1) * 11 AS flow_id, user_id, event_type, {big('floor(value)')} % 24 AS served, {d.div(d.micros('ts'), '1000000')} AS tick FROM {t('events')}
-                UNION ALL SELECT event_id * 4 + 2, (event_id % 4000 + 1) * 11, user_id, event_type, {big('floor(value)')} % 24, {d.div(d.micros('ts'), '1000000')} FROM {t('events')} WHERE event_id % 7 = 0
-                UNION ALL SELECT event_id * 4 + 3, (event_id % 4000 + 1) * 11, user_id, event_type, {big('floor(value)')} % 24 + 1, {d.div(d.micros('ts'), '1000000')} FROM {t('events')} WHERE event_id % 11 = 0) e""",
+                UNION ALL SELECT f.*, flow_id * 10 AS attempt_id, CASE WHEN flow_id % 14 = 0 THEN 'preempted' WHEN flow_id % 15 = 0 THEN 'abandoned' WHEN flow_id % 16 = 0 THEN 'cancelled' ELSE 'committed' END AS state FROM flows f JOIN flow_state USING (flow_id) WHERE flow_id % 2 = 0) a
+            LEFT JOIN (SELECT attempt_id AS told, min_by(digest, sequence) AS first_digest FROM evidence GROUP BY attempt_id) v ON told = attempt_id""",
         "entries": f"""SELECT flow_id % 100 + 1 AS schedule_id, {big('1')} AS schedule_generation, {big(str(EPOCH))} AS epoch, 1000 + flow_id % 100 * 3 AS at_tick, {big('row_number() OVER (PARTITION BY flow_id % 100 ORDER BY flow_id)')} - 1 AS ordinal,
             CASE WHEN flow_id % 13 = 0 THEN 'preempt' ELSE 'run' END AS kind, flow_id, {big('CASE WHEN flow_id % 31 = 0 THEN 2 ELSE 1 END')} AS flow_generation, resource_id, reservation_id, service_quantum AS quantum, CAST(flow_id % 4 AS INT) AS tier,
-            CASE WHEN flow_id % 13 = 0 THEN 'displaced-by-higher-authority' ELSE 'selected' END AS reason, CAST(CASE WHEN lifecycle = 'running' THEN 1 ELSE 0 END AS INT) AS consumed, deadline_tick, fairness_group, weight
+            CASE WHEN flow_id % 13 = 0 THEN 'displaced-by-higher-authority' ELSE 'selected' END AS reason, CAST(CASE WHEN lifecycle = 'running' THEN 1 ELSE 0 END AS INT) AS consumed, deadline_tick, fairness_group, weight,
+            path_id, {big('CASE WHEN flow_id % 41 = 0 THEN 2 ELSE 1 END')} AS path_generation, {big('CASE WHEN flow_id % 47 = 0 THEN 2 ELSE 1 END')} AS resource_generation, reservation_generation, qos_id, {big('CASE WHEN flow_id % 53 = 0 THEN 2 ELSE 1 END')} AS qos_generation,
+            priority_id, {big('CASE WHEN flow_id % 61 = 0 THEN 2 ELSE 1 END')} AS priority_generation, {big('1')} AS policy_id, {big('CASE WHEN flow_id % 67 = 0 THEN 2 ELSE 1 END')} AS policy_generation
             FROM flows JOIN flow_state USING (flow_id) WHERE lifecycle IN ('running', 'scheduled')""",
-        "journal": f"""SELECT event_id + CASE WHEN event_id % 500 = 499 THEN 2 ELSE 1 END AS sequence, CASE event_type WHEN 'purchase' THEN 'completion-committed' WHEN 'click' THEN 'attempt-opened' WHEN 'view' THEN 'schedule-issued' WHEN 'error' THEN 'attempt-closed' ELSE 'flow-admitted' END AS type,
+        "journal": f"""SELECT event_id + 1 + {d.div('event_id', '500')} AS sequence, CASE event_type WHEN 'purchase' THEN 'completion-committed' WHEN 'click' THEN 'attempt-opened' WHEN 'view' THEN 'schedule-issued' WHEN 'error' THEN 'attempt-closed' ELSE 'flow-admitted' END AS type,
             user_id + 1 AS flow_id, {d.div(d.micros('ts'), '1000000')} AS tick, {big('floor(value)')} AS amount, 1 + {d.div('event_id', '2500')} AS epoch FROM {t('events')}""",
     }
 
 
+def fnv_sql(*fields: str, widths: tuple[int, ...] | None = None, listed: str | None = None) -> str:
+    """FNV-1a in DuckDB: fields as unsigned numbers, least byte first; listed is an array of longs, folded in order after its size."""
+    number = "CAST({} AS UHUGEINT)".format
+    split = lambda x, width: ", ".join(number(f"({x} // {1 << 8 * k}) % 256") for k in range(width))
+    parts = ", ".join(split(f"CAST(coalesce({f}, 0) AS UBIGINT)", w) for f, w in zip(fields, widths or (8,) * len(fields), strict=True))
+    rest = f", {split(f'CAST(len({listed}) AS UBIGINT)', 8)}] || flatten(list_transform(list_sort({listed}), lambda d: [{split('CAST(d AS UBIGINT)', 8)}]))" if listed else "]"
+    folded = f"list_reduce([{number(14695981039346656037)}, {parts}{rest}, lambda s, b: xor(s, b) * {number(1099511628211)} % {number(1 << 64)})"
+    return f"(SELECT CAST(CASE WHEN v >= {1 << 63} THEN CAST(v AS HUGEINT) - {1 << 64} ELSE CAST(v AS HUGEINT) END AS BIGINT) FROM (SELECT {folded} AS v))"
+
+
 def prefix(d: Dialect) -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in views(d).items())
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({text})" for name, text in views(d).items())
 
 
 #: Common table expressions of all views for DuckDB; an oracle is this and a SELECT.

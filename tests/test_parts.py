@@ -37,7 +37,7 @@ def test_crc32c_vectors(spark):
     assert [r["c"] for r in got] == [0xE3069283, 0]
 
 
-def test_fnv_of_longs(spark):
+def test_fnv_of_fields(spark):
     def plain(*values):
         state = digests.FNV_OFFSET
         for v in values:
@@ -45,7 +45,7 @@ def test_fnv_of_longs(spark):
                 state = ((state ^ b) * digests.FNV_PRIME) % (1 << 64)
         return state - (1 << 64) if state >> 63 else state
 
-    got = spark.range(3).select(digests.fnv_of_longs(F.col("id"), F.lit(7), F.lit(None)).alias("d")).collect()
+    got = spark.range(3).select(digests.fnv(F.col("id"), F.lit(7), F.lit(None)).alias("d")).collect()
     assert [r["d"] for r in got] == [plain(k, 7, 0) for k in range(3)]
 
 
@@ -74,7 +74,7 @@ def test_journal_round_trip_and_tails(spark, tmp_path):
     assert sorted(r["sequence"] or 0 for r in got) == [0, 5, 6, 7] and {r["tail"] for r in got} == {"clean", "torn"}
 
 
-ATTEMPT = "attempt_id long, flow_id long, schedule_id long, schedule_generation long, worker long, boot long, state string, quantum long, deadline_tick long, evidence_served long, credited long"
+ATTEMPT = "attempt_id long, flow_id long, schedule_id long, schedule_generation long, worker long, boot long, state string, quantum long, deadline_tick long, evidence_served long, credited long, evidence_digest string"
 EVIDENCE = "sequence long, attempt_id long, epoch long, schedule_id long, schedule_generation long, flow_id long, flow_generation long, worker long, boot long, outcome string, served long, tick long, origin string"
 FLOW = "flow_id long, generation long, open_attempt long, served_work long, estimated_work long"
 
@@ -84,7 +84,7 @@ def report(sequence, attempt=10, epoch=3, worker=1, boot=1, outcome="served", se
 
 
 def tables(spark):
-    attempts = spark.createDataFrame([(10, 1, 1, 1, 1, 1, "open", 8, 100, None, 0), (20, 2, 1, 1, 1, 1, "started", 8, None, None, 0)], ATTEMPT)
+    attempts = spark.createDataFrame([(10, 1, 1, 1, 1, 1, "open", 8, 100, None, 0, None), (20, 2, 1, 1, 1, 1, "started", 8, None, None, 0, None)], ATTEMPT)
     return attempts, spark.createDataFrame([(1, 1, 10, 0, 4), (2, 1, 20, 0, 16)], FLOW)
 
 
@@ -117,6 +117,19 @@ def test_stream_answers_each_report_once(spark, tmp_path):
     assert got == {1: "ok", 2: "duplicate-completion", 3: "ok", 4: "contradictory-completion"}
 
 
+def test_answers_are_the_same_for_any_split_into_batches(spark, tmp_path):
+    attempts, flows = tables(spark)
+    rows = [report(1, served=9), report(2), report(3, outcome="failed"), report(4, tick=10), report(5), report(6, attempt=20, served=3), report(7, attempt=20, served=3, tick=8), report(8, attempt=20, served=3), report(9, boot=2)]
+    want = {r["sequence"]: (r["code"], r["credited"]) for r in completion.dispositions(spark.createDataFrame(rows, EVIDENCE), attempts, flows, 3, 50).collect()}
+    assert [want[k][0] for k in range(1, 10)] == ["contradictory-completion", "ok", *["contradictory-completion"] * 2, "duplicate-completion", "ok", "contradictory-completion", "duplicate-completion", "fenced"]
+    for n, cuts in enumerate(([1, 2, 3, 4, 5, 6, 7, 8], [2, 6], [4, 7])):
+        out = str(tmp_path / f"out{n}")
+        for number, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+            for _ in range(1 + (number == 1)):  # one batch is run twice
+                completions.commit_batch(spark.createDataFrame(rows[a:b], EVIDENCE), number, attempts, flows, out, 3, 50)
+        assert {r["sequence"]: (r["code"], r["credited"]) for r in completions.answers(spark, out).collect()} == want
+
+
 def test_views_are_shared_and_released(spark):
     views = derived.tables(spark, DATA)
     assert views is derived.tables(spark, DATA)
