@@ -2,8 +2,9 @@
 
 Each turn is rendered between marks that depend on its role.  The rendered
 text is parsed again by a strict grammar; where a turn does not come back
-exactly as it was, its text is escaped and it is rendered anew, until what the
-parser recovers is identical.  Escaping puts one more backslash after the first
+exactly as it was, its text is escaped and it is rendered anew.  The parser is
+strict: every character must belong to a turn.  A conversation that, put
+together, would not be recovered identically stops the job.  Escaping puts one more backslash after the first
 character of every control string (and of every one that already holds
 backslashes), so taking one away again restores the text.
 
@@ -71,10 +72,15 @@ def parse(formatted: Column) -> Column:
     return F.transform(F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0)), parse_turn)
 
 
+def strict(formatted: Column) -> Column:
+    """Whether the turns found cover the whole text."""
+    return F.aggregate(F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0)), F.lit(0), lambda n, x: n + F.length(x)) == F.length(formatted)
+
+
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A row per conversation: conv_id, n_turns, formatted, loss_spans (start, length in code points of each assistant text as rendered), round_trip.
 
-    round_trip says that parsing formatted gives back every turn of the source.
+    round_trip says that strict parsing of formatted gives back every turn of the source; where it would not, the job stops.
     """
     turns = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     r, t = F.col("role"), F.col("text")
@@ -90,7 +96,9 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     packed = packed.withColumn("formatted", F.array_join(F.transform("_turns", lambda x: x["rendered"]), ""))
     spans = F.transform(F.filter("_turns", lambda x: x["role"] == "assistant"), lambda x: F.struct((x["_start"] + x["_skip"]).alias("start"), x["_len"].cast("long").alias("length")))
     source = F.transform("_turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), F.lit(True).alias("legal")))
-    return packed.select("conv_id", F.size("_turns").cast("long").alias("n_turns"), "formatted", spans.alias("loss_spans"), (parse(F.col("formatted")) == source).alias("round_trip"))
+    same = strict(F.col("formatted")) & (parse(F.col("formatted")) == source)
+    told = F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("a conversation does not parse back to its turns")).cast("boolean"))
+    return packed.select("conv_id", F.size("_turns").cast("long").alias("n_turns"), "formatted", spans.alias("loss_spans"), told.alias("round_trip"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

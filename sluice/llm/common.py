@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.sources.shared import drop_path, exists, new_path, shared_dir, written
+
+__all__ = ["drop_path", "exists", "new_path", "shared_dir", "written"]  # the shared folder, for the operators here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, read by Spark so that any store works."""
@@ -48,47 +51,6 @@ def sampled_texts(docs: DataFrame, chosen: DataFrame, group: str, id_col: str, t
     return sorted((r[group], r[id_col], r["_text"]) for r in texts.join(F.broadcast(chosen), id_col).collect())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(found)
-        return found.rstrip("/")
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/sluice-{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """df written as Parquet to the shared folder and reread, which cuts its lineage; and the path."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop_path(spark: SparkSession, *paths: str) -> None:
-    """Delete written tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether anything lies at a path, in whatever store."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def give_back() -> None:
     """Return freed memory to the system: a Python worker lives on between stages, and what it keeps is the executor's loss."""
     pa.default_memory_pool().release_unused()
@@ -156,6 +118,8 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 #: Bits of a bitmap of keys: a fixed size, so that it can be sent to all tasks; the more keys, the more others pass it too.
 FILTER_BITS = 1 << 25
+#: What so many tasks at most send is merged before it meets the rest.
+MERGED_FIRST = 16
 
 
 def bitmap(keys: DataFrame, column: str) -> bytes:
@@ -171,15 +135,16 @@ def bitmap(keys: DataFrame, column: str) -> bytes:
             own[batch["bit"].to_numpy(np.int64)] = True
         parts = np.packbits(own.reshape(-1, part_bits), axis=1)
         used = np.flatnonzero(parts.any(1))
-        yield pd.DataFrame({"part": used, "bits": [parts[k].tobytes() for k in used]})
+        yield pd.DataFrame({"part": used, "side": TaskContext.get().partitionId() % MERGED_FIRST, "bits": [parts[k].tobytes() for k in used]})
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": frame["part"][:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in frame["bits"]]).tobytes()]})
 
-    found = keys.select(F.pmod(F.col(column), F.lit(FILTER_BITS)).alias("bit")).mapInPandas(bits, "part long, bits binary").groupBy("part").applyInPandas(join, "part long, bits binary")
+    found = keys.select(F.pmod(F.col(column), F.lit(FILTER_BITS)).alias("bit")).mapInPandas(bits, "part long, side int, bits binary")
+    found = found.groupBy("part", "side").applyInPandas(join, "part long, bits binary")
     out = np.zeros((FILTER_BITS // part_bits, part_bits // 8), np.uint8)
-    for row in found.collect():  # at most FILTER_BITS / 8 bytes
-        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    for row in found.toLocalIterator():  # at most MERGED_FIRST times FILTER_BITS / 8 bytes, a partition at a time
+        out[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
     return out.tobytes()
 
 

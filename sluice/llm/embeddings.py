@@ -29,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import drop_path, written
+from sluice.llm.common import MERGED_FIRST, drop_path, written
 from sluice.llm.components import connected, forest
 
 TILE_ROWS = 1024
@@ -71,17 +72,16 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
             for size, rows in by_size.items():
                 unit = _unit(np.stack(rows))
                 held[size] = held.get(size, 0) + unit.T @ unit
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([m.tobytes() for m in held.values()], pa.binary())], names=["size", "moments"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([m.tobytes() for m in held.values()], pa.binary()), pa.array([TaskContext.get().partitionId() % MERGED_FIRST] * len(held), pa.int32())], names=["size", "moments", "side"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"size": frame["size"][:1], "moments": [np.sum([np.frombuffer(x) for x in frame["moments"]], axis=0).tobytes()]})
 
-    found = vectors.mapInArrow(sums, "size int, moments binary").groupBy("size").applyInPandas(add, "size int, moments binary")
-    out = {}
-    for row in found.collect():
-        _, directions = np.linalg.eigh(np.frombuffer(row["moments"]).reshape(row["size"], row["size"]))
-        out[row["size"]] = np.ascontiguousarray(directions[:, ::-1])
-    return out
+    found = vectors.mapInArrow(sums, "size int, moments binary, side int").groupBy("size", "side").applyInPandas(add, "size int, moments binary")
+    whole: dict[int, np.ndarray] = {}
+    for row in found.collect():  # MERGED_FIRST matrices a length at most
+        whole[row["size"]] = whole.get(row["size"], 0) + np.frombuffer(row["moments"]).reshape(row["size"], row["size"])
+    return {size: np.ascontiguousarray(np.linalg.eigh(moments)[1][:, ::-1]) for size, moments in whole.items()}
 
 
 def prepared(rows: DataFrame, turn: dict[int, np.ndarray]) -> DataFrame:
@@ -113,8 +113,6 @@ def tiles(classes: DataFrame, turn: dict[int, np.ndarray]) -> DataFrame:
         return f"{part}-{number}", own["label"].iloc[0], size, lead.min(0).tolist(), lead.max(0).tolist(), ids.tobytes(), times.tobytes(), x.tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
         part, number, rest = TaskContext.get().partitionId(), 0, None
         names = ["tile", "label", "size", "low", "high", "ids", "times", "vectors"]
         for batch in batches:

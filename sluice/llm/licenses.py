@@ -127,6 +127,12 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return known(spark, [*TEXTS, *notices()]).groupBy(digest(F.col("lines")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def from_files(spark: SparkSession, path: str) -> DataFrame:
+    """(license_id, digest) of whole licence texts, one a file named as its licence: further known licences for scan."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.txt)?$", 1).alias("license_id"), canonical_lines(F.col("value")).alias("lines"))
+    return files.select("license_id", digest(F.col("lines")).alias("digest")).filter(F.col("digest").isNotNull())
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """A row per row of docs: the id, text_digest, license_id (of the whole text) and notice_ids (licences of single lines, sorted, comma-separated).
 

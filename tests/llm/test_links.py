@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sluice.llm import components, decontaminate, embeddings, ngram_join, warc
+from sluice.llm import components, decontaminate, embeddings, ngram_join, queries, warc
 from sluice.llm.common import new_path
 
 
@@ -224,6 +224,12 @@ def test_decontamination_finds_a_verbatim_passage_of_a_long_item(spark):
     assert contaminated(spark, texts, [" ".join(words)]) == {(0, 0): True, (1, 0): True}
 
 
+def test_decontamination_of_long_texts_and_of_many_matches(spark):
+    words = " ".join(f"w{k % 977}" for k in range(60_000))
+    item = "Which of the nine lamps in the hall of the seventh house was lit on the evening of the storm?"
+    assert contaminated(spark, [words, f"{words} {item} {words}", "Compute 12 + 45 * 3 - 7 + 19 now"], [item, "Compute 12 + 45 * 3 - 7 + 19 now"]) == {(1, 0): True, (2, 1): True}
+
+
 # -- archives ----------------------------------------------------------------
 
 
@@ -252,6 +258,24 @@ def test_archives(spark, monkeypatch):
         assert whole == alone and whole.startswith(b"WARC/1.1\r\n")
 
 
+def test_of_tied_records_one_is_the_response(spark):
+    rows = [(5, "u1", "x"), (5, "u2", "x"), (5, "u2", "x"), (3, "u9", "x"), (None, "n", "y"), (None, "n", "y"), (None, "z", "x")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    mono, normal = new_path(spark, "mono"), new_path(spark, "normal")
+    warc.write_archives(warc.typed(table), mono)
+    warc.normalise(spark, mono, normal)
+    records = warc.read_records(spark, normal)
+    got = sorted((r["page_id"] or 0, r["url"], r["record_type"], r["refers_to"] or 0) for r in records.collect())
+    assert got == [(0, "n", "response", 0), (0, "n", "response", 0), (0, "z", "revisit", 5), (3, "u9", "revisit", 5), (5, "u1", "revisit", 5), (5, "u2", "response", 0), (5, "u2", "revisit", 5)]
+    wanted = warc.index_entries(spark, normal).filter("type = 'response'")
+    assert sorted(r["page_id"] or 0 for r in warc.read_members(spark, normal, wanted).collect()) == [0, 0, 5]
+
+
+def test_registered_archives_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert queries.QUERIES["op6_warc"](spark, str(tmp_path)).count() == 0
+
+
 def test_archives_of_an_empty_table(spark):
     table = spark.createDataFrame([], "page_id long, url string, html string")
     mono = new_path(spark, "mono")

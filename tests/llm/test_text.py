@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, langid, licenses, pieces, quality, toxicity
+from sluice.llm import chat, langid, licenses, pieces, quality, queries, toxicity
 
 DOC = "doc_id long, text string, source string, license_id string"
 
@@ -43,6 +43,28 @@ def talks(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
 
 
+def test_registered_scan_finds_whole_texts(spark, tmp_path):
+    """A document that is a licence but for case, punctuation, spelling and the copyright line."""
+    text = dict(licenses.TEXTS)["MIT"].replace("\n\n", "\n\nCopyright (c) 2011 Somebody Else\n\n", 1)
+    rows = [(1, text.upper().replace(",", " ;")), (2, text + "\nand one more line"), (3, dict(licenses.TEXTS)["ISC"].replace("license", "licence")), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["license_id"] for r in queries.QUERIES["op4_licenses"](spark, str(tmp_path)).collect()}
+    assert got == {1: "MIT", 2: None, 3: "ISC", 4: None}
+
+
+def test_licenses_of_files(spark, tmp_path):
+    words = " ".join(f"term {k} of this licence," for k in range(3000))
+    (tmp_path / "Long-1.0.txt").write_text(f"Copyright 2001 A\n{words}\n")
+    docs = spark.createDataFrame([(1, f"(c) 2020 B\n\n{words.upper()}"), (2, words[:-20])], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs, texts=licenses.from_files(spark, str(tmp_path))).collect()}
+    assert got == {1: "Long-1.0", 2: None}
+
+
+def test_chat_grammar_is_strict(spark):
+    row = spark.createDataFrame([("[INST] a [/INST]<s>b</s>", "[INST] a [/INST] x <s>b</s>")], "good string, bad string").select(chat.strict(F.col("good")).alias("g"), chat.strict(F.col("bad")).alias("b")).first()
+    assert row["g"] and not row["b"]
+
+
 def test_chat_round_trip(spark):
     draw = random.Random(4)
     rows = []
