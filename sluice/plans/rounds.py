@@ -12,6 +12,7 @@ Both follow the same rules and are tested against each other.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -278,8 +279,15 @@ def _steps(frame: pd.DataFrame, capacity: int, interval: int, overlap: int, poli
     each: list[list[int]] = [[] for _ in range(n)]
     ready, failed, done = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
     clock = dict.fromkeys(group.tolist(), 0)
-    waiting, index, used, now, turn = list(range(n)), -1, 0, 0, 0
-    bound = np.where(release < NONE, 0, 0)
+    index, used, now, turn = -1, 0, 0, 0
+    bound = np.zeros(n, np.int64)
+    followers: list[list[int]] = [[] for _ in range(n)]
+    for i, own in enumerate(needs):
+        for d in own:
+            if d >= 0:
+                followers[d].append(i)
+    coming, arrived = np.argsort(release, kind="stable").tolist(), 0
+    look: list[int] = []  # places of waiting flows to look at in the next round: something that they wait for has changed
 
     def enter(i: int) -> None:
         stamp[i] = max(stamp[i], clock[int(group[i])]) + cost[i]
@@ -287,31 +295,32 @@ def _steps(frame: pd.DataFrame, capacity: int, interval: int, overlap: int, poli
 
     while turn < rounds:
         now = ticks[turn] if ticks else now
-        later = []
-        for i in waiting:  # ascending ids: a failure reaches higher ids at once
-            if release[i] > now:
-                later.append(i)
+        while arrived < n and release[coming[arrived]] <= now:
+            look.append(coming[arrived])
+            arrived += 1
+        heapify(look)
+        after: list[int] = []
+        while look:  # by ascending id: a failure reaches higher ids at once and lower ones in the next round
+            i = heappop(look)
+            if ready[i] or failed[i] or done[i] or release[i] > now:
                 continue
             met = all(d >= 0 and done[d] for d in needs[i])
-            if not met:
-                if any(d >= 0 and failed[d] for d in needs[i]):
-                    failed[i] = True
-                else:
-                    later.append(i)
-            elif deadline[i] <= now:
-                failed[i] = policy.strict_deadlines
-                if not policy.strict_deadlines:
-                    later.append(i)
-            else:
+            if met and deadline[i] > now:
                 enter(i)
-        waiting = later
+            elif policy.strict_deadlines if met else any(d >= 0 and failed[d] for d in needs[i]):
+                failed[i] = True
+                for k in followers[i]:
+                    if k > i:
+                        heappush(look, k)
+                    else:
+                        after.append(k)
+        look = after
         late = ready & (deadline <= now)
         if late.any():
             ready &= ~late
             if policy.strict_deadlines:
                 failed |= late
-            else:
-                waiting = sorted(waiting + np.flatnonzero(late).tolist())
+                look += [k for i in np.flatnonzero(late).tolist() for k in followers[i]]
         if now // interval != index:
             index, used = now // interval, 0
         own = np.flatnonzero(ready)
@@ -340,11 +349,12 @@ def _steps(frame: pd.DataFrame, capacity: int, interval: int, overlap: int, poli
                 ready[i] = False
                 if served[i] >= work[i]:
                     done[i] = True
+                    look += followers[i]
                 else:
                     enter(i)
         turn += 1
-        if not ticks and not ready.any() and (not waiting or all(release[i] <= now and any(d < 0 for d in needs[i]) for i in waiting)):
-            break
+        if not ticks and not look and arrived == n and not ready.any():
+            break  # who still waits, waits for what never comes
         now += step
     lifecycle = np.where(done, "completed", np.where(failed, "failed", np.where(ready, "ready", "waiting")))
     return pd.DataFrame({"flow_id": ids, "resource_id": f["resource_id"], "lifecycle": lifecycle, "served_work": served, "dispatches": sent, "wait_ticks": waits, "rounds": turn, "waits": each})
