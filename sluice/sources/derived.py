@@ -8,6 +8,8 @@ but for a few spellings, makes the Spark views and the DuckDB oracles' tables.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,28 +124,26 @@ DUCK = prefix(Dialect(False))
 
 
 class Tables:
-    """The derived views of one data folder, as DataFrames.
+    """The derived views of one data folder, as DataFrames; with keep they stay with Spark (memory, then disk) until released."""
 
-    A view is derived once per instance and kept by Spark (memory, then disk), as many operators read it several times.
-    """
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
+        self.spark, self.keep = spark, keep
         self.base = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BASE}
-        self.kept: dict[str, DataFrame] = {}
+        self.made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name in ("spark", "base", "kept"):
+        if name.startswith("_") or name in ("spark", "keep", "base", "made"):
             raise AttributeError(name)
-        if name not in self.kept:
+        if name not in self.made:
             text = views(Dialect(True))[name]
             sources = {k: self.base[k] for k in BASE if "{" + k + "}" in text}
             for other in views(Dialect(True)):
                 if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", text):
                     text = re.sub(rf"\b(FROM|JOIN) {other}\b", rf"\1 {{{other}}}", text)
                     sources[other] = getattr(self, other)
-            self.kept[name] = self.spark.sql(text, **sources).persist()
-        return self.kept[name]
+            view = self.spark.sql(text, **sources)
+            self.made[name] = view.persist() if self.keep else view
+        return self.made[name]
 
     @property
     def state(self) -> DataFrame:
@@ -151,17 +151,26 @@ class Tables:
         return self.flows.join(self.flow_state, "flow_id")
 
     def release(self) -> None:
-        for frame in self.kept.values():
-            frame.unpersist()
-        self.kept.clear()
+        if self.keep:
+            for frame in self.made.values():
+                frame.unpersist()
+        self.made.clear()
+
+
+_KEPT: dict[str, Tables] = {}
 
 
-_OPEN: dict[tuple[int, str], Tables] = {}
+@contextmanager
+def kept(spark: SparkSession, sf_dir: str) -> Iterator[Tables]:
+    """A scope in which the views of a folder are derived once and kept for all queries, and released at its end."""
+    _KEPT[sf_dir] = found = Tables(spark, sf_dir, keep=True)
+    try:
+        yield found
+    finally:
+        _KEPT.pop(sf_dir).release()
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The views of a folder, shared by all queries of a session."""
-    key = (id(spark), sf_dir)
-    if key not in _OPEN:
-        _OPEN[key] = Tables(spark, sf_dir)
-    return _OPEN[key]
+    """The views of a folder: those of the scope that keeps them, else derived anew."""
+    found = _KEPT.get(sf_dir)
+    return found if found is not None and found.spark is spark else Tables(spark, sf_dir)

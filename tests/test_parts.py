@@ -130,7 +130,10 @@ def test_answers_are_the_same_for_any_split_into_batches(spark, tmp_path):
         assert {r["sequence"]: (r["code"], r["credited"]) for r in completions.answers(spark, out).collect()} == want
 
 
-def test_views_are_shared_and_released(spark):
-    views = derived.tables(spark, DATA)
-    assert views is derived.tables(spark, DATA)
-    assert views.flows.count() == 1500 and views.state.count() < 1500
+def test_views_are_kept_within_a_scope(spark):
+    assert derived.tables(spark, DATA) is not derived.tables(spark, DATA)
+    with derived.kept(spark, DATA) as views:
+        assert views is derived.tables(spark, DATA)
+        assert views.flows.count() == 1500 and views.state.count() < 1500 and views.flows.is_cached
+        flows = views.flows
+    assert not flows.is_cached and derived.tables(spark, DATA) is not views

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from sluice.plans import catalog
+from sluice.sources import derived
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("nation", "customer", "orders", "lineitem", "events")
@@ -20,6 +21,12 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def views(spark):
+    with derived.kept(spark, DATA):
+        yield
+
+
 def plain(rows):
     return sorted(tuple("NULL" if v is None else repr(round(v, 9)) if isinstance(v, float) else str(v) for v in r) for r in rows)
 
