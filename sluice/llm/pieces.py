@@ -94,6 +94,8 @@ class Sampler:
         hashes = self._hashes(self._sums(flat), ends - lengths, ends)
         order = np.argsort(hashes)
         self.hashes, self.found = hashes[order], np.array([prefixes[x] for x in keys])[order]
+        self.near = np.zeros(1 << 20, bool)
+        self.near[(hashes >> np.uint64(44)).astype(np.int64)] = True
         sizes = np.array([len(t) for t in self.texts])
         self.bytes, self.sizes, self.starts = np.frombuffer(b"".join(self.texts), np.uint8), sizes, np.cumsum(sizes) - sizes
         if self.longest > 63 or (self.hashes[1:] == self.hashes[:-1]).any():
@@ -127,6 +129,8 @@ class Sampler:
             if not len(alive):
                 break
             hashes = self._hashes(sums, alive, alive + size)
+            near = np.flatnonzero(self.near[(hashes >> np.uint64(44)).astype(np.int64)])  # most that are no prefix of a piece go here
+            alive, hashes = alive[near], hashes[near]
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             known = self.hashes[at] == hashes
             alive, at = alive[known], at[known]
