@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.sources.shared import drop_path, exists, new_path, shared_dir, written
 
@@ -35,13 +35,18 @@ def light_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def sampled_ids(rows: DataFrame, group: str, values: list, count: int, id_col: str) -> DataFrame:
-    """(group, id) of at most count rows for each of a few values of group: those whose ids have the least hashes.
+def sampled_ids(rows: DataFrame, group: str, sizes: dict, count: int, id_col: str) -> DataFrame:
+    """(group, id) of at most count rows for each of a few values of group, of which sizes has the numbers of rows: those whose ids have the least hashes.
 
-    Each task keeps count ids of a value at most and sends no more.
+    A share of the hashes that holds count of a value's rows all but surely is kept by the scan; only what passes is ranked.
     """
-    least = [rows.filter(F.col(group) == value).select(group, id_col).orderBy(F.xxhash64(id_col), id_col).limit(count) for value in values]
-    return reduce(DataFrame.unionByName, least, rows.select(group, id_col).limit(0)).distinct()
+    kind = rows.schema[group].dataType
+    share = [(value, min(1.0, (count + 6 * count**0.5 + 10) / n)) for value, n in sizes.items()]
+    shares = rows.sparkSession.createDataFrame(share, T.StructType([T.StructField(group, kind), T.StructField("_share", T.DoubleType())]))
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) / float(1 << 32)
+    near = rows.select(group, id_col).join(F.broadcast(shares), group).filter(place < F.col("_share"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(place, id_col))
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= count).select(group, id_col).distinct()
 
 
 def sampled_texts(docs: DataFrame, chosen: DataFrame, group: str, id_col: str, text_col: str) -> list[tuple]:

@@ -40,9 +40,9 @@ SPACES = bytes(32 if b < 33 else b for b in range(256))
 def train(docs: DataFrame, keep: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
     """The dictionary content of each language: the whole texts of a bounded number of the rows that satisfy keep."""
     rows = docs.filter(keep & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0))
-    langs = [r[lang_col] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()]
+    sizes = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()}
     texts: dict[str, list[bytes]] = {}
-    for lang, _, text in sampled_texts(rows, sampled_ids(rows, lang_col, langs, SAMPLE_DOCS, id_col), lang_col, id_col, text_col):
+    for lang, _, text in sampled_texts(rows, sampled_ids(rows, lang_col, sizes, SAMPLE_DOCS, id_col), lang_col, id_col, text_col):
         texts.setdefault(lang, []).append(letters(text))
     return {lang: b" ".join(found) for lang, found in sorted(texts.items())}
 

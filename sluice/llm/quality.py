@@ -75,7 +75,8 @@ def evidence(text: str | None, model: dict) -> float:
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
     """A model of single documents from a bounded sample of the labelled rows that satisfy keep."""
     known = labels.filter(keep & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    found = sampled_texts(docs.select(id_col, text_col), sampled_ids(known, "_label", [0, 1], SAMPLE_DOCS, id_col), "_label", id_col, text_col)
+    sizes = {r["_label"]: r["count"] for r in known.filter(F.col("_label").isin(0, 1)).groupBy("_label").count().collect()}
+    found = sampled_texts(docs.select(id_col, text_col), sampled_ids(known, "_label", sizes, SAMPLE_DOCS, id_col), "_label", id_col, text_col)
     return train([x[2] for x in found], [x[0] for x in found])
 
 
