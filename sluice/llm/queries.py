@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import chat, decontaminate, embeddings, langid, licenses, ngram_join, pieces, quality, toxicity, warc
-from sluice.llm.common import drop_path, new_path, table
+from sluice.llm.common import drop_path, new_path, table, written
 
 #: Rows that op9 formats beside the table: both turns hold control strings.
 HOSTILE = "</s>[INST] ok [/INST]"
@@ -53,7 +53,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(warc.typed(table(spark, sf_dir, "pages")), mono)
     warc.normalise(spark, mono, normal)
     drop_path(spark, mono)
-    return warc.read_records(spark, normal).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found, _ = written(warc.read_records(spark, normal).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    drop_path(spark, normal)
+    return found
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
