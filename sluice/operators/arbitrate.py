@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators import assign, ranking, readiness
@@ -14,7 +14,6 @@ from sluice.sources.shared import written
 
 c = F.col
 
-
 @dataclass
 class World:
     """The tables that a round reads: flows joined with their state, and what they bind.
@@ -44,17 +43,42 @@ def candidates(world: World, policy: Policy, now: int) -> DataFrame:
     return rows.withColumn("reservation_left", F.greatest(c("_res_capacity") - c("_res_used"), F.lit(0)))
 
 
+def _open() -> Column:
+    """Flows that a round tells about."""
+    return c("lifecycle").isin("waiting", "ready", "ambiguous")
+
+
+def _unbound() -> Column:
+    """Flows whose resource is unknown or another than they name."""
+    return c("_resource").isNull() | (c("_resource") != c("resource_generation"))
+
+
 def decide(world: World, policy: Policy, now: int, exact_fold: bool | None = None) -> DataFrame:
     """The ready flows in full, with grant, decision, victim and victim_attempt, and the other open ones with why they do not run.
 
     Resources where a ready flow has a reservation, or may displace an incumbent, are folded in order; the others take the
     closed form, which is exact there (exact_fold forces one of the two on all).  Then two cuts apply, both found from a
     bounded number of rows: once the throttle is spent nobody displaces, and once the entries are full nobody runs.
+    Only the ready and the incumbents are written for that; the others are told from what world holds.
     """
-    rows, _ = written(candidates(world, policy, now), "candidates")
-    open_ = rows.filter(c("lifecycle").isin("waiting", "ready", "ambiguous"))
-    unbound = (c("_resource").isNull()) | (c("_resource") != c("resource_generation"))
-    ready = open_.filter((c("reason") == "selected") & ~unbound).join(assign.incumbents(rows), "resource_id", "left")
+    all_ = candidates(world, policy, now)
+    decided = _decided(all_, world, policy, now, exact_fold)
+    why = F.when(c("reason") != "selected", c("reason")).otherwise("resource-unavailable")
+    nothing = F.lit(None).cast("long")
+    others = all_.filter(_open() & ((c("reason") != "selected") | _unbound())).select("*", F.lit(0).cast("long").alias("grant"), why.alias("decision"), nothing.alias("victim"), nothing.alias("victim_attempt"))
+    return decided.unionByName(others)
+
+
+def decide_ready(world: World, policy: Policy, now: int, exact_fold: bool | None = None) -> DataFrame:
+    """The rows of `decide` that are ready and whose resource is as they name it."""
+    return _decided(candidates(world, policy, now), world, policy, now, exact_fold)
+
+
+def _decided(all_: DataFrame, world: World, policy: Policy, now: int, exact_fold: bool | None) -> DataFrame:
+    may, holds = _open() & (c("reason") == "selected") & ~_unbound(), c("open_attempt").isNotNull()
+    told = all_.filter((_open() & (c("reason") == "selected")) | holds)  # known before priorities, classes and resources are looked up
+    rows, _ = written(told.filter(may | holds), "candidates")  # the flows that wait are not carried along
+    ready = rows.filter(may).join(assign.incumbents(rows), "resource_id", "left")
     refusal = F.when(c("worst").isNull(), "concurrency-limit-reached").otherwise(assign.verdict(policy, now, world.spent))
     ready = ready.withColumn("refusal", refusal)
     nothing = F.lit(None).cast("long")
@@ -68,7 +92,7 @@ def decide(world: World, policy: Policy, now: int, exact_fold: bool | None = Non
         closed = assign.closed_form(ready.filter(c("_fold") == 0))
         parts.append(closed.withColumn("victim", nothing).withColumn("victim_attempt", nothing))
     if exact_fold is not False:
-        hard, held = ready.filter(c("_fold") == 1), rows.filter(c("open_attempt").isNotNull())
+        hard, held = ready.filter(c("_fold") == 1), rows.filter(holds)
         if exact_fold is None:
             held = held.join(ordered.filter(c("_fold") == 1), "resource_id", "left_semi")
         left = policy.max_preemptions_per_interval - world.spent
@@ -91,9 +115,7 @@ def decide(world: World, policy: Policy, now: int, exact_fold: bool | None = Non
             decided = decided.withColumn("_late", late).withColumns({"grant": F.when(c("_late"), F.lit(0).cast("long")).otherwise(c("grant")), "decision": F.when(c("_late"), "schedule-entry-limit-reached").otherwise(c("decision"))})
             decided = decided.withColumns({k: F.when(~c("_late"), c(k)) for k in ("victim", "victim_attempt")}).drop("_late")
             break
-    why = F.when(c("reason") != "selected", c("reason")).otherwise("resource-unavailable")
-    others = open_.filter((c("reason") != "selected") | unbound).select("*", F.lit(0).cast("long").alias("grant"), why.alias("decision"), nothing.alias("victim"), nothing.alias("victim_attempt"))
-    return decided.unionByName(others, allowMissingColumns=True).drop("worst", "incumbents", "refusal", "_fold")
+    return decided.drop("worst", "incumbents", "refusal", "_fold")
 
 
 def round_decisions(world: World, policy: Policy, now: int, exact_fold: bool | None = None) -> DataFrame:

@@ -27,10 +27,14 @@ def dependency_gate(flows: DataFrame, lifecycles: DataFrame) -> DataFrame:
     return found.groupBy("flow_id").agg(F.bool_and(done).alias("deps_met"), F.bool_or(lost).alias("deps_failed"))
 
 
+def exclusively_held(reservations: DataFrame, now: int) -> DataFrame:
+    """(resource_id) of resources on which an exclusive reservation is open."""
+    return reservations.filter(~c("retired") & c("exclusive") & window_contains(c("window_begin"), c("window_end"), now)).select("resource_id").distinct()
+
+
 def exclusive_windows(flows: DataFrame, reservations: DataFrame, now: int) -> DataFrame:
     """Flows without a reservation on whose resource an exclusive one is open: a semi join on the resource and the interval."""
-    open_ = reservations.filter(~c("retired") & c("exclusive") & window_contains(c("window_begin"), c("window_end"), now)).select("resource_id")
-    return flows.filter(c("reservation_id").isNull()).join(open_, "resource_id", "left_semi")
+    return flows.filter(c("reservation_id").isNull()).join(exclusively_held(reservations, now), "resource_id", "left_semi")
 
 
 def reservation_reason(now: int) -> Column:
@@ -65,19 +69,26 @@ def with_reservation(flows: DataFrame, reservations: DataFrame) -> DataFrame:
 
 def classify(flows: DataFrame, reservations: DataFrame, now: int) -> DataFrame:
     """flows with reason: 'selected' if ready, else the first rule in order that keeps the flow back."""
-    gate = dependency_gate(flows, flows)
-    blocked = exclusive_windows(flows, reservations, now).select("flow_id", F.lit(True).alias("_excluded"))
-    rows = with_reservation(flows, reservations).join(gate, "flow_id", "left").join(blocked, "flow_id", "left")
     bound = c("reservation_id").isNotNull()
     signal = c("readiness_signal")
+    before = [
+        (is_terminal(c("lifecycle")), "terminal"),
+        (c("lifecycle") == "ambiguous", "ambiguous-requires-resolution"),
+        ((c("lifecycle") == "waiting") & (F.lit(now) < c("release_tick")), "awaiting-release"),
+        (signal == 2, "awaiting-readiness-signal"),
+        (~c("auto_ready") & (signal != 1), "awaiting-readiness-signal"),
+        (F.lit(now) < c("release_tick"), "awaiting-release"),
+    ]
+    # the gate is asked only for flows that have dependencies and that no rule before it keeps back; no other row is dealt by its id
+    gated = F.coalesce((F.size("dependencies") > 0) & first_match(before, None).isNull(), F.lit(False))
+    asked = flows.filter(gated)
+    asked = asked.join(dependency_gate(asked, flows), "flow_id", "left")
+    free = flows.filter(~gated).withColumns({k: F.lit(None).cast("boolean") for k in ("deps_met", "deps_failed")})
+    held = exclusively_held(reservations, now).withColumn("_excluded", F.lit(True))
+    rows = with_reservation(asked.unionByName(free), reservations).join(held, "resource_id", "left")
     reason = first_match(
         [
-            (is_terminal(c("lifecycle")), "terminal"),
-            (c("lifecycle") == "ambiguous", "ambiguous-requires-resolution"),
-            ((c("lifecycle") == "waiting") & (F.lit(now) < c("release_tick")), "awaiting-release"),
-            (signal == 2, "awaiting-readiness-signal"),
-            (~c("auto_ready") & (signal != 1), "awaiting-readiness-signal"),
-            (F.lit(now) < c("release_tick"), "awaiting-release"),
+            *before,
             (F.coalesce(~c("deps_met") & c("deps_failed"), F.lit(False)), "dependency-failed"),
             (F.coalesce(~c("deps_met"), F.lit(False)), "awaiting-dependency"),
             (~bound & c("_excluded").isNotNull(), "awaiting-reservation-window"),

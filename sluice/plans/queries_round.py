@@ -184,7 +184,7 @@ def capacity_grant(t):
 
 
 def _ready(t):
-    return arbitrate.decide(world_of(t), POLICY, NOW).filter((c("reason") == "selected") & (c("decision") != "resource-unavailable"))
+    return arbitrate.decide_ready(world_of(t), POLICY, NOW)
 
 
 @query("overlap_ceiling", f"{PASS} SELECT s.resource_id, count(*) FILTER (decision = 'selected') AS running, CAST(max(greatest(max_overlap - in_flight, 0)) AS BIGINT) AS slots FROM step s JOIN cand USING (i) GROUP BY s.resource_id")

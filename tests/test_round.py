@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from sluice.operators import arbitrate
 from sluice.plans import rounds
+from sluice.plans.world import world_of
 from sluice.policy import Policy
+from sluice.sources import derived
+from sluice.sources.shared import written
 
 #: State columns of the worlds here; the others are added as a round needs them.
 STATE = ("lifecycle", "served_work", "outstanding_reserved", "open_attempt", "eligible_since_tick", "ever_ready", "min_service_window_start", "min_service_delivered", "virtual_finish", "deadline_missed_counted", "wait_ticks")
@@ -203,3 +206,34 @@ def test_recursive_cascade_follows_ascending_ids(spark):
     w = world(spark, [{"lifecycle": "failed"}, {"dependencies": [1]}, {"dependencies": [2]}, {"dependencies": [5]}, {"dependencies": [1]}])
     assert {r["flow_id"]: r["depth"] for r in readiness.cascade(w.flows, 0).collect()} == {2: 1, 3: 2, 5: 1}
     assert w.flows.filter(F.col("flow_id") == 4).count() == 1  # its dependency fails, but has a higher id: next round
+
+
+def test_a_round_derives_its_tables_once(spark):
+    found = arbitrate.decide(world_of(derived.Tables(spark, "/root/testdata/sf0.001")), NONE, derived.NOW)
+    assert found.inputFiles() and all("/sluice-" in name for name in found.inputFiles())
+
+
+def test_only_ready_and_incumbent_flows_are_written(spark, monkeypatch):
+    kept = []
+
+    def write(frame, what):
+        kept.append((what, written(frame, what)[0]))
+        return kept[-1][1], ""
+
+    monkeypatch.setattr(arbitrate, "written", write)
+    w = world(spark, [{}, {"release_tick": 9}, {"lifecycle": "completed"}, {"dependencies": [3]}, {"dependencies": [2]}, {"lifecycle": "running", "open_attempt": 61}], overlap=9)
+    assert decide(w, NONE, 0) == {1: ("selected", 1, None), 2: ("awaiting-release", 0, None), 4: ("selected", 1, None), 5: ("awaiting-dependency", 0, None)}
+    assert sorted(r["flow_id"] for r in dict(kept)["candidates"].collect()) == [1, 4, 6]
+
+
+def test_written_state_equals_the_join(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    for name in derived.BASE:
+        rows = spark.read.parquet(f"{source}/{name}.parquet")
+        if name == "orders":  # an id that is there twice pairs with both states
+            rows = rows.unionByName(rows.filter("o_orderkey < 3"))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    for folder in (source, str(tmp_path)):
+        t = derived.Tables(spark, folder)
+        want = t.state
+        assert sorted(map(str, t.written_state(*want.columns).collect())) == sorted(map(str, want.collect()))
