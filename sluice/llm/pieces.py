@@ -9,7 +9,8 @@ every cluster.
 
 No piece holds a space mark after another character, or a line feed, so the
 lattice falls apart before spaces and around line feeds; equal parts of a
-block of rows share one forward pass.  A character that no piece covers is
+block of rows share one forward pass, and those that a task meets first share
+it with its later blocks.  A character that no piece covers is
 spelled by byte pieces.  The vocabulary is of the BPE kind and ranks its pieces
 without probabilities; the piece of rank r gets the normalised 1 / (r + 1) of
 Zipf's law, raised to a sharpness.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,8 @@ MARK, LITERAL_MARK = "▁", "\ud800"  # a text that holds the mark itself has a
 PARTS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Characters whose lattices are built together: what bounds a task's memory beside one text.
 BLOCK_CHARS = 1 << 18
+#: Characters of distinct parts whose lattices a task keeps for its later blocks; those met after that are built block by block.
+KEPT_CHARS = 1 << 20
 #: Probabilities are whole multiples of 1 / DRAW.
 DRAW = 1 << 39
 
@@ -72,6 +76,41 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = found = len(self)
+        return found
+
+
+class _Lattices:
+    """Lattices of parts one behind another: a growing array of each of the six that Sampler.lattice gives."""
+
+    TYPES = (np.int32, np.int32, np.int64, np.int32, np.int32, np.int32)
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.chars, self.sizes, self.arrays = 0, [0] * 6, [np.empty(1024, t) for t in self.TYPES]
+
+    def followed_by(self, lattice: tuple[np.ndarray, ...]) -> tuple[list[np.ndarray], list[int]]:
+        """All arrays with those of one more lattice at their ends, which stays if their new sizes are taken on."""
+        base, end, keys, source, piece, low = lattice
+        edges, positions = self.sizes[2], self.sizes[5]
+        added = (base + positions, end + positions, keys, source + positions, piece, low + edges)
+        ends = [n + len(x) for n, x in zip(self.sizes, added, strict=True)]
+        for k, (n, x) in enumerate(zip(self.sizes, added, strict=True)):
+            if ends[k] > len(self.arrays[k]):
+                grown = np.empty(ends[k] + ends[k] // 4, self.TYPES[k])
+                grown[:n] = self.arrays[k][:n]
+                self.arrays[k] = grown
+            self.arrays[k][n : ends[k]] = x
+        return self.all(ends), ends
+
+    def all(self, ends: list[int]) -> list[np.ndarray]:
+        return [x[:n] for x, n in zip(self.arrays, ends, strict=True)]
+
+
 class Sampler:
     """Forward passes and draws for one vocabulary; made once in each worker."""
 
@@ -85,7 +124,7 @@ class Sampler:
                 prefixes.setdefault(piece[:n], -1)
             prefixes[piece] = k
             logs[k] = sharpness * (-np.log(rank + 1) - total)
-        self.longest = max(map(len, vocabulary["pieces"]))
+        self.longest, self.lattices = max(map(len, vocabulary["pieces"])), _Lattices()
         self.logs, self.fallback_log = logs, float(logs[np.isfinite(logs)].min()) - 10.0
         keys = list(prefixes)
         lengths = np.array([len(x) for x in keys])
@@ -112,7 +151,7 @@ class Sampler:
         return mix((sums[ends] - sums[starts]) * INVERSES.upto(len(sums))[starts] + (ends - starts).astype(np.uint64) * np.uint64(BASE))
 
     def lattice(self, parts: list[str]) -> tuple[np.ndarray, ...]:
-        """For distinct parts: where each ends, and of all edges, by the position they end at: cumulated draw keys, position they come from, piece; and the rank of each end position.
+        """For distinct parts: where each ends, and of all edges, by the position they end at: cumulated draw keys, position they come from, piece; and the first edge that ends at each position.
 
         A position is that of a character in the joined parts plus the number of the part, so that each part has a position before its first character.
         """
@@ -162,15 +201,28 @@ class Sampler:
             lo, hi = edge_ends[a], edge_ends[b]
             weight[lo:hi] = reach[source[lo:hi]] + gain[lo:hi]
             reach[target[first[a:b]]] = np.logaddexp.reduceat(weight[lo:hi], first[a:b] - lo)
-        rank = np.zeros(len(reach), np.int64)
-        rank[target[first]] = np.arange(len(first))
+        low = np.zeros(len(reach), np.int64)
+        low[target[first]] = first
         group = np.repeat(np.arange(len(first)), np.diff(edge_ends))
         share = np.cumsum(np.rint(np.exp(weight - reach[target]) * DRAW).astype(np.int64))  # whole numbers, so that sums are the same in every block
         before = np.concatenate([[0], share])[first]
-        keys = group * DRAW + np.minimum(share - before[group], DRAW - 1)
-        keys[edge_ends[1:] - 1] = np.arange(1, len(first) + 1) * DRAW
+        keys = np.minimum(share - before[group], DRAW - 1)
+        keys[edge_ends[1:] - 1] = DRAW
         base = np.cumsum(lengths) - lengths + np.arange(len(parts))
-        return base, base + lengths, keys, source, piece, rank
+        return base, base + lengths, keys, source, piece, low
+
+    def lattices_of(self, parts: list[str]) -> list[np.ndarray] | tuple[np.ndarray, ...]:
+        """The lattices kept so far and behind them those of parts, the last to be numbered; they are kept, and so are their numbers, while they fit."""
+        held, chars = self.lattices, sum(map(len, parts))
+        if not parts:
+            return held.all(held.sizes)
+        found, ends = held.followed_by(self.lattice(parts))
+        if held.chars + chars <= KEPT_CHARS:
+            held.chars, held.sizes = held.chars + chars, ends
+        else:
+            for _ in parts:
+                held.numbers.popitem()
+        return found
 
     def draws(self, keys: np.ndarray, places: np.ndarray, step: int) -> np.ndarray:
         """Uniform whole numbers below DRAW for (row key, part of the text, step back from the part's end)."""
@@ -179,14 +231,24 @@ class Sampler:
 
     def encode(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts one after another, and how many each text has."""
-        words, counts, known = [], [], {}
+        if sum(map(len, texts)) > KEPT_CHARS:  # one long text stands alone
+            held, self.lattices = self.lattices, _Lattices()
+            try:
+                return self._encoded(texts, keys)
+            finally:
+                self.lattices = held
+        return self._encoded(texts, keys)
+
+    def _encoded(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        words, counts, numbers = [], [], self.lattices.numbers
+        kept = len(numbers)
         for text in texts:
             found = PARTS.findall(MARK + text.replace(MARK, LITERAL_MARK).replace(" ", MARK)) if text else []
-            words += [known.setdefault(w, len(known)) for w in found]
+            words += map(numbers.__getitem__, found)
             counts.append(len(found))
         if not words:
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        begin, end, edges, source, piece, rank = self.lattice(list(known))
+        begin, end, edges, source, piece, low = self.lattices_of(list(islice(reversed(numbers), len(numbers) - kept))[::-1])
         word, counts = np.array(words), np.array(counts)
         firsts = np.cumsum(counts) - counts
         place = np.arange(len(word)) - np.repeat(firsts, counts)
@@ -196,7 +258,11 @@ class Sampler:
         step = 0
         while len(open_):
             here = at[open_]
-            edge = np.searchsorted(edges, rank[here] * DRAW + self.draws(row_key[open_], place[open_], step), side="right")
+            edge, draw = low[here], self.draws(row_key[open_], place[open_], step)
+            past = np.flatnonzero(edges[edge] <= draw)
+            while len(past):  # the last key of a position lies above all draws
+                edge[past] += 1
+                past = past[edges[edge[past]] <= draw[past]]
             drawn.append((open_, piece[edge]))
             at[open_] = source[edge]
             steps[open_] += 1

@@ -223,3 +223,17 @@ def test_pieces_are_drawn_as_the_lattice_says(vocabulary):
 
 def test_pieces_of_an_empty_table(spark, vocabulary):
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), vocabulary).count() == 0
+
+
+def test_pieces_of_a_part_met_before_take_no_new_lattice(vocabulary, monkeypatch):
+    made, build = [], pieces.Sampler.lattice
+    monkeypatch.setattr(pieces.Sampler, "lattice", lambda self, parts: made.append(parts) or build(self, parts))
+    sampler, blocks = pieces.Sampler(vocabulary), [["to be or"], ["be or not", "or to ☃▁"], [""], ["not to be\n\nto be"], ["☃ or" * 40]]
+    found = [[x.tolist() for x in sampler.encode(texts, range(len(texts)))] for texts in blocks]
+    built = [p for parts in made for p in parts]
+    assert len(built) == len(set(built))
+    for limit in (0, 12, 1 << 20):  # nothing, little or all is kept: the draws are the same
+        monkeypatch.setattr(pieces, "KEPT_CHARS", limit)
+        again = pieces.Sampler(vocabulary)
+        assert [[x.tolist() for x in again.encode(texts, range(len(texts)))] for texts in blocks] == found
+    assert [[x.tolist() for x in pieces.Sampler(vocabulary).encode(texts, range(len(texts)))] for texts in blocks] == found
