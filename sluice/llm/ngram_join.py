@@ -143,7 +143,9 @@ def common(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held[kept].view(np.int64)), pa.array(times[kept])], names=["token", "n"])
 
     found = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
+    held, path = written(found.orderBy(F.desc("n"), "token").limit(COMMON), "common")  # not gathered by the driver, to which every task would send COMMON of them
+    top = held.toPandas().sort_values(["n", "token"], ascending=[False, True])
+    drop_path(docs.sparkSession, path)
     return top["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 

@@ -213,7 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
     known = labels.filter(keep & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     sizes = {r["_label"]: r["count"] for r in known.filter(F.col("_label").isin(0, 1)).groupBy("_label").count().collect()}
     found = sampled_texts(docs.select(id_col, text_col), sampled_ids(known, "_label", sizes, SAMPLE_DOCS, id_col), "_label", id_col, text_col)
-    return train([x[2] for x in found], [x[0] for x in found])
+    model = train([x[2] for x in found], [x[0] for x in found])
+    del found
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

@@ -9,8 +9,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sluice.llm import components, decontaminate, embeddings, ngram_join, queries, warc
+from sluice.llm import common, components, decontaminate, embeddings, ngram_join, queries, toxicity, warc
 from sluice.llm.common import new_path
 
 
@@ -39,6 +40,40 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long"))[0].count() == 0
 
 
+# -- what the driver holds ---------------------------------------------------
+
+
+def test_the_driver_gets_each_part_of_a_bitmap_once(spark, monkeypatch):
+    keys, sent = spark.range(0, 1 << 20, 1, 20).select((F.col("id") * 37).alias("key")), []
+    plain = type(keys).toLocalIterator
+    monkeypatch.setattr(type(keys), "toLocalIterator", lambda self, *a: (sent.append(r["part"]) or r for r in plain(self, *a)))
+    held = common.bitmap(keys, "key")
+    own = np.arange(1 << 20, dtype=np.int64) * 37
+    assert common.in_bitmap(held, own).all()
+    assert np.unpackbits(np.frombuffer(held, np.uint8)).sum() == len(np.unique(own % common.FILTER_BITS))
+    assert len(sent) == len(set(sent)) > 1
+
+
+def test_the_driver_gives_memory_back_after_training(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: done.append("trained") or {"n": len(texts)})
+    monkeypatch.setattr(toxicity, "give_back", lambda: done.append("given back"))
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, F.lit(True)) == {"n": 6} and done == ["trained", "given back"]
+
+
+def test_common_ngrams_are_gathered_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON", 3)
+    kept = []
+    plain = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, what: kept.append(what) or plain(df, what))
+    texts = [" ".join([*"abcde", *(["p q r s t"] if k % 2 else []), *(["f g h i j"] if k % 3 else []), f"u{k}"]) for k in range(60)]
+    found = ngram_join.common(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), "text", 5)
+    assert kept == ["common"] and len(found) == 3
+    assert found[-1] == ngram_join.shingles(pa.array(["a b c d e"]), 5, ngram_join.Words())[0][0]
+
+
 # -- n-gram join -------------------------------------------------------------
 
 
