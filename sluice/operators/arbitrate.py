@@ -13,6 +13,9 @@ from sluice.policy import Policy
 from sluice.sources.shared import written
 
 c = F.col
+#: Columns that deciding reads of a candidate or an incumbent.
+READ = ("flow_id", "generation", "resource_id", "resource_generation", "_resource", "reservation_id", "reservation_left", "lifecycle", "reason", "tier", "rank", "key_deadline", "key_stamp", "weight", "want", "capacity_left", "in_flight", "max_overlap", "estimated_work", "served_work", "preemption_protected", "preemptible", "deadline_tick", "open_attempt")
+
 
 @dataclass
 class World:
@@ -29,9 +32,9 @@ class World:
     spent: int = 0
 
 
-def candidates(world: World, policy: Policy, now: int) -> DataFrame:
+def candidates(world: World, policy: Policy, now: int, keep_gate: bool = False) -> DataFrame:
     """All flows with their reason, key, limits and what they may get; the ready ones have reason 'selected'."""
-    rows = readiness.classify(world.flows, world.reservations, now)
+    rows = readiness.classify(world.flows, world.reservations, now, keep_gate)
     rows = ranking.with_key(rows, world.priorities, policy, now)
     qos = world.qos.select("qos_id", c("generation").alias("_qos"), "preemption_protected", "max_service_per_dispatch")
     rows = rows.join(qos, "qos_id", "left")
@@ -53,15 +56,17 @@ def _unbound() -> Column:
     return c("_resource").isNull() | (c("_resource") != c("resource_generation"))
 
 
-def decide(world: World, policy: Policy, now: int, exact_fold: bool | None = None) -> DataFrame:
+def decide(world: World, policy: Policy, now: int, exact_fold: bool | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
     """The ready flows in full, with grant, decision, victim and victim_attempt, and the other open ones with why they do not run.
 
     Resources where a ready flow has a reservation, or may displace an incumbent, are folded in order; the others take the
     closed form, which is exact there (exact_fold forces one of the two on all).  Then two cuts apply, both found from a
     bounded number of rows: once the throttle is spent nobody displaces, and once the entries are full nobody runs.
-    Only the ready and the incumbents are written for that; the others are told from what world holds.
+    Only the ready and the incumbents are written for that; the others are told from what world holds, and both from one
+    gate.  columns: what is carried along (READ at least) if not all.
     """
-    all_ = candidates(world, policy, now)
+    all_ = candidates(world, policy, now, keep_gate=True)
+    all_ = all_.select(*columns) if columns else all_
     decided = _decided(all_, world, policy, now, exact_fold)
     why = F.when(c("reason") != "selected", c("reason")).otherwise("resource-unavailable")
     nothing = F.lit(None).cast("long")
@@ -70,8 +75,8 @@ def decide(world: World, policy: Policy, now: int, exact_fold: bool | None = Non
 
 
 def decide_ready(world: World, policy: Policy, now: int, exact_fold: bool | None = None) -> DataFrame:
-    """The rows of `decide` that are ready and whose resource is as they name it."""
-    return _decided(candidates(world, policy, now), world, policy, now, exact_fold)
+    """The rows of `decide` that are ready and whose resource is as they name it, with what deciding reads of them."""
+    return _decided(candidates(world, policy, now).select(*READ), world, policy, now, exact_fold)
 
 
 def _decided(all_: DataFrame, world: World, policy: Policy, now: int, exact_fold: bool | None) -> DataFrame:
@@ -120,4 +125,4 @@ def _decided(all_: DataFrame, world: World, policy: Policy, now: int, exact_fold
 
 def round_decisions(world: World, policy: Policy, now: int, exact_fold: bool | None = None) -> DataFrame:
     """A row per waiting, ready or ambiguous flow: flow_id, resource_id, tier, grant, decision, victim, victim_attempt."""
-    return decide(world, policy, now, exact_fold).select("flow_id", "resource_id", "tier", "grant", "decision", "victim", "victim_attempt")
+    return decide(world, policy, now, exact_fold, READ).select("flow_id", "resource_id", "tier", "grant", "decision", "victim", "victim_attempt")

@@ -67,8 +67,11 @@ def with_reservation(flows: DataFrame, reservations: DataFrame) -> DataFrame:
     return flows.join(named, "reservation_id", "left")
 
 
-def classify(flows: DataFrame, reservations: DataFrame, now: int) -> DataFrame:
-    """flows with reason: 'selected' if ready, else the first rule in order that keeps the flow back."""
+def classify(flows: DataFrame, reservations: DataFrame, now: int, keep_gate: bool = False) -> DataFrame:
+    """flows with reason: 'selected' if ready, else the first rule in order that keeps the flow back.
+
+    keep_gate: write the gate, for a result that is read several times.
+    """
     bound = c("reservation_id").isNotNull()
     signal = c("readiness_signal")
     before = [
@@ -82,7 +85,8 @@ def classify(flows: DataFrame, reservations: DataFrame, now: int) -> DataFrame:
     # the gate is asked only for flows that have dependencies and that no rule before it keeps back; no other row is dealt by its id
     gated = F.coalesce((F.size("dependencies") > 0) & first_match(before, None).isNull(), F.lit(False))
     asked = flows.filter(gated)
-    asked = asked.join(dependency_gate(asked, flows), "flow_id", "left")
+    gate = dependency_gate(asked, flows)
+    asked = asked.join(written(gate, "gate")[0] if keep_gate else gate, "flow_id", "left")
     free = flows.filter(~gated).withColumns({k: F.lit(None).cast("boolean") for k in ("deps_met", "deps_failed")})
     held = exclusively_held(reservations, now).withColumn("_excluded", F.lit(True))
     rows = with_reservation(asked.unionByName(free), reservations).join(held, "resource_id", "left")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators import arbitrate
+from sluice.operators import arbitrate, readiness
 from sluice.plans import rounds
 from sluice.plans.world import world_of
 from sluice.policy import Policy
@@ -237,3 +237,19 @@ def test_written_state_equals_the_join(spark, tmp_path):
         t = derived.Tables(spark, folder)
         want = t.state
         assert sorted(map(str, t.written_state(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_round_asks_one_gate_and_carries_what_deciding_reads(spark, monkeypatch):
+    kept = {}
+
+    def keep(df, what):
+        kept.setdefault(what, []).append(set(df.columns))
+        return written(df, what)
+
+    monkeypatch.setattr(arbitrate, "written", keep)
+    monkeypatch.setattr(readiness, "written", keep)
+    small = world_of(derived.Tables(spark, "/root/testdata/sf0.001"))
+    rows = arbitrate.round_decisions(small, NONE, derived.NOW)
+    assert kept["candidates"] == [set(arbitrate.READ)] and len(kept["gate"]) == 1
+    whole = arbitrate.decide(small, NONE, derived.NOW).select(*rows.columns)
+    assert sorted(rows.collect(), key=str) == sorted(whole.collect(), key=str)
